@@ -1,5 +1,6 @@
 """Imports every catalog module so their queries register."""
 
 from kiln.plans import (  # noqa: F401
+    cat_relational,
     cat_reports,
 )

@@ -120,3 +120,81 @@ def fact_asset_vulnerability_instance(t: Tables) -> DataFrame:
         F.concat(F.lit("<b>qty</b> "), F.col("l_quantity").cast("bigint").cast("string"), F.lit(" &gt; "),
                  F.col("l_returnflag")).alias("proof"),
     )
+
+
+# ------------------------------------------------------------ process digests
+
+def _filename() -> F.Column:
+    return F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("_"),
+                    F.col("p_partkey").cast("string"),
+                    F.when(F.col("p_type").isin("SMALL", "PROMO"), F.lit(".dll")).otherwise(F.lit(".exe")))
+
+
+def _pathroot() -> F.Column:
+    return F.when(F.col("p_size") == 1, F.lit(None).cast("string")).otherwise(F.col("p_brand"))
+
+
+def _customer() -> F.Column:
+    return F.when(F.col("l_returnflag") == "R", F.lit("acme")).otherwise(F.lit("globex"))
+
+
+def digest_image(t: Tables) -> DataFrame:
+    li, p = t.lineitem, t.part
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        _filename().alias("filename"), _pathroot().alias("pathroot"),
+        F.col("p_type").alias("probablecompanyname"), F.col("l_suppkey").alias("clientguid"),
+        _customer().alias("customer"))
+
+
+def digest_system(t: Tables) -> DataFrame:
+    return t.lineitem.select(_customer().alias("customer"), F.col("l_suppkey").alias("clientguid"),
+                             F.col("l_shipdate").alias("timestamp"))
+
+
+def label_process(t: Tables) -> DataFrame:
+    p = t.part
+    base = p.select(F.col("p_partkey").alias("id"), _filename().alias("filename"), _pathroot().alias("pathroot"),
+                    F.when(F.col("p_retailprice") < 950, "NL").otherwise("GOOD").alias("demeanor"),
+                    F.col("p_name").alias("description"), F.col("p_brand").alias("vendorname"),
+                    F.col("p_size").alias("prevelance"))
+    # a second, conflicting label for the largest parts: duplicate keys with
+    # different attributes, as a re-labelled process has
+    relabel = p.where(F.col("p_size") >= 48).select(
+        (F.col("p_partkey") + 1_000_000_000).alias("id"), _filename().alias("filename"),
+        _pathroot().alias("pathroot"), F.lit("BAD").alias("demeanor"), F.col("p_name").alias("description"),
+        F.col("p_brand").alias("vendorname"), F.col("p_size").alias("prevelance"))
+    return base.unionByName(relabel)
+
+
+def digest_scoring(t: Tables) -> DataFrame:
+    li, p = t.lineitem, t.part
+    attrs = (F.when(F.col("l_linestatus") == "O", F.lit("run;AUTOSTART;svc"))
+             .when(F.col("l_returnflag") == "A", F.lit("manual"))
+             .otherwise(F.lit("Autostart-delayed")))
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        _filename().alias("filename"), _pathroot().alias("pathroot"),
+        attrs.alias("extraneousattributes"), F.col("l_shipdate").alias("timestamp"))
+
+
+# ------------------------------------------------------------------- e-mails
+
+def emails(t: Tables) -> DataFrame:
+    """Addresses: one per customer (with the awkward spellings a real table
+    has) plus every address written in a document."""
+    c = t.customer
+    local = F.lower(F.replace(F.col("c_name"), F.lit("Customer#"), F.lit("cust")))
+    domain = F.concat(F.lit("mail"), F.col("c_nationkey").cast("string"),
+                      F.when(F.col("c_nationkey") % 5 == 3, F.lit(".co.uk")).otherwise(F.lit(".com")))
+    seg = F.col("c_mktsegment")
+    email = (F.when(F.col("c_acctbal") < -900, F.lit(None).cast("string"))
+             .when(seg == "AUTOMOBILE", F.concat(local, F.lit(" at "), domain))
+             .when(seg == "BUILDING", F.concat(F.lit("  "), F.upper(local), F.lit("@"), F.upper(domain), F.lit(" ")))
+             .when(seg == "FURNITURE", F.concat(local, F.lit("@"), local, F.lit("@"), domain))
+             .when((seg == "HOUSEHOLD") & (F.col("c_acctbal") < 0), F.concat(local, F.lit("@bcde")))
+             .otherwise(F.concat(local, F.lit("@"), domain)))
+    from_customers = c.select(F.col("c_custkey").alias("email_id"), email.alias("email"))
+    found = t.documents.select(
+        (-F.col("doc_id") - 1).alias("email_id"),
+        F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), 1))
+         .alias("email"))
+    return from_customers.unionByName(found)
