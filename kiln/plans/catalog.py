@@ -4,4 +4,5 @@ from kiln.plans import (  # noqa: F401
     cat_profile,
     cat_relational,
     cat_reports,
+    cat_scalars,
 )

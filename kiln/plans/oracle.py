@@ -157,3 +157,53 @@ emails AS (
   UNION ALL
   SELECT -doc_id - 1, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)', 1)) FROM documents)
 """
+
+
+CONN_CTE = """
+conn AS (
+  SELECT epoch_us(CAST(ts AS TIMESTAMP)) / 1000000.0 AS ts, 'C' || CAST(event_id AS VARCHAR) AS uid,
+         '192.168.1.' || CAST(user_id % 250 + 1 AS VARCHAR) AS "id.orig_h",
+         CAST(((event_id * 7919) % 65536 + 65536) % 65536 AS INTEGER) AS "id.orig_p",
+         concat_ws('.', CAST((event_id * 37) % 256 AS VARCHAR), CAST((event_id * 91) % 256 AS VARCHAR),
+                   CAST((user_id * 13) % 256 AS VARCHAR), CAST(event_id % 256 AS VARCHAR)) AS "id.resp_h",
+         CAST(CASE event_type WHEN 'view' THEN 80 WHEN 'click' THEN 443 WHEN 'purchase' THEN 8443 WHEN 'signup' THEN 0
+              ELSE ((user_id * 31) % 65536 + 65536) % 65536 END AS INTEGER) AS "id.resp_p",
+         CASE WHEN event_type IN ('view', 'click') THEN 'tcp' WHEN event_type = 'error' THEN 'icmp' ELSE 'udp' END AS proto,
+         CASE WHEN event_type IN ('view', 'purchase') THEN 'http' WHEN event_type = 'click' THEN 'ssl' END AS service,
+         CASE WHEN event_type <> 'error' THEN value / 10.0 END AS duration,
+         CAST(trunc(value * 100) AS BIGINT) AS orig_bytes, CAST(trunc(value * 37) AS BIGINT) AS resp_bytes,
+         CAST(trunc(value * 100) AS BIGINT) % 7 * 5000 AS missed_bytes,
+         user_id % 20 + 1 AS orig_pkts,
+         CAST(trunc(value * 100) AS BIGINT) + 40 * (user_id % 20 + 1) AS orig_ip_bytes,
+         event_id % 150 AS resp_pkts,
+         CAST(trunc(value * 37) AS BIGINT) + 40 * (event_id % 150) AS resp_ip_bytes,
+         CASE WHEN user_id % 50 = 0 THEN 'T' || CAST(user_id AS VARCHAR) END AS tunnel_parents,
+         CASE WHEN user_id = 0 THEN NULL WHEN event_type = 'error' THEN 'Malicious   C&C'
+              WHEN event_type = 'signup' THEN 'Malicious   DDoS' ELSE 'Benign' END AS label
+  FROM events)"""
+
+NET_CTES = """
+hx AS (SELECT s.*, lpad(hex((s_suppkey * 2654435761) % 281474976710656), 12, '0') AS h FROM supplier s),
+expected AS (
+  SELECT s_suppkey AS host_id,
+         CASE WHEN s_acctbal < 0 THEN 'zz' || substr(h, 3, 10)
+              WHEN s_nationkey % 4 = 0 THEN upper(concat_ws('-', substr(h, 1, 2), substr(h, 3, 2), substr(h, 5, 2),
+                                                             substr(h, 7, 2), substr(h, 9, 2), substr(h, 11, 2)))
+              ELSE lower(concat_ws(':', substr(h, 1, 2), substr(h, 3, 2), substr(h, 5, 2), substr(h, 7, 2),
+                                   substr(h, 9, 2), substr(h, 11, 2))) END AS mac,
+         '10.0.' || CAST(s_suppkey % 4 AS VARCHAR) || '.' || CAST((s_suppkey // 4) % 150 + 100 AS VARCHAR) AS ip,
+         lower(replace(s_name, '#', '')) || '.corp.example.com' AS fqdn,
+         s_acctbal, s_nationkey
+  FROM hx),
+arp AS (
+  SELECT lower(replace(mac, '-', ':')) AS mac,
+         CASE WHEN s_nationkey = 7 THEN '10.9.9.' || CAST(host_id % 250 AS VARCHAR) ELSE ip END AS ip,
+         split_part(fqdn, '.', 1) AS host
+  FROM expected WHERE s_acctbal > 0),
+dns_a AS (
+  SELECT CASE WHEN s_nationkey = 2 THEN upper(fqdn) ELSE fqdn END AS fqdn,
+         CASE WHEN s_nationkey = 9 THEN '10.8.8.8' ELSE ip END AS ip
+  FROM expected WHERE s_nationkey <> 5),
+dns_ptr AS (
+  SELECT ip, CASE WHEN host_id % 2 = 0 THEN fqdn || '.' ELSE fqdn END AS host FROM expected WHERE s_nationkey <> 6)
+"""

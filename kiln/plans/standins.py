@@ -198,3 +198,98 @@ def emails(t: Tables) -> DataFrame:
         F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), 1))
          .alias("email"))
     return from_customers.unionByName(found)
+
+
+# ------------------------------------------------------------ connection log
+
+def conn_log(t: Tables) -> DataFrame:
+    """Connection records (the log's columns, dotted names included) from
+    ``events``: one connection per event."""
+    e = t.events
+    et = F.col("event_type")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    resp_p = (F.when(et == "view", 80).when(et == "click", 443).when(et == "purchase", 8443)
+              .when(et == "signup", 0).otherwise(F.pmod(uid * 31, F.lit(65536))))
+    return e.select(
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)).alias("ts"),
+        F.concat(F.lit("C"), eid.cast("string")).alias("uid"),
+        F.concat(F.lit("192.168.1."), (uid % 250 + 1).cast("string")).alias("id.orig_h"),
+        F.pmod(eid * 7919, F.lit(65536)).cast("int").alias("id.orig_p"),
+        F.concat_ws(".", ((eid * 37) % 256).cast("string"), ((eid * 91) % 256).cast("string"),
+                    ((uid * 13) % 256).cast("string"), (eid % 256).cast("string")).alias("id.resp_h"),
+        resp_p.cast("int").alias("id.resp_p"),
+        F.when(et.isin("view", "click"), "tcp").when(et == "error", "icmp").otherwise("udp").alias("proto"),
+        F.when(et.isin("view", "purchase"), F.lit("http")).when(et == "click", F.lit("ssl")).alias("service"),
+        F.when(et != "error", F.col("value") / 10.0).alias("duration"),
+        (F.col("value") * 100).cast("long").alias("orig_bytes"),
+        (F.col("value") * 37).cast("long").alias("resp_bytes"),
+        ((F.col("value") * 100).cast("long") % 7 * 5000).alias("missed_bytes"),
+        (uid % 20 + 1).alias("orig_pkts"),
+        ((F.col("value") * 100).cast("long") + 40 * (uid % 20 + 1)).alias("orig_ip_bytes"),
+        (eid % 150).alias("resp_pkts"),
+        ((F.col("value") * 37).cast("long") + 40 * (eid % 150)).alias("resp_ip_bytes"),
+        F.when(uid % 50 == 0, F.concat(F.lit("T"), uid.cast("string"))).alias("tunnel_parents"),
+        F.when(uid == 0, F.lit(None).cast("string")).when(et == "error", F.lit("Malicious   C&C"))
+         .when(et == "signup", F.lit("Malicious   DDoS")).otherwise(F.lit("Benign")).alias("label"),
+    )
+
+
+# ------------------------------------------------------------------ network
+
+def _mac_hex() -> F.Column:
+    return F.lpad(F.hex(F.pmod(F.col("s_suppkey") * 2654435761, F.lit(281474976710656))), 12, "0")
+
+
+def expected_hosts(t: Tables) -> DataFrame:
+    s = t.supplier
+    h = _mac_hex()
+    pairs = [F.substring(h, i, 2) for i in range(1, 13, 2)]
+    mac = (F.when(F.col("s_acctbal") < 0, F.concat(F.lit("zz"), F.substring(h, 3, 10)))
+           .when(F.col("s_nationkey") % 4 == 0, F.upper(F.concat_ws("-", *pairs)))
+           .otherwise(F.lower(F.concat_ws(":", *pairs))))
+    return s.select(
+        F.col("s_suppkey").alias("host_id"), mac.alias("mac"),
+        F.concat(F.lit("10.0."), (F.col("s_suppkey") % 4).cast("string"), F.lit("."),
+                 (F.expr("s_suppkey div 4") % 150 + 100).cast("string")).alias("ip"),
+        F.concat(F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit(""))), F.lit(".corp.example.com"))
+         .alias("fqdn"))
+
+
+def arp_table(t: Tables) -> DataFrame:
+    e = expected_hosts(t).join(t.supplier.select("s_suppkey", "s_acctbal", "s_nationkey"),
+                               F.col("host_id") == F.col("s_suppkey"))
+    live = e.where(F.col("s_acctbal") > 0)
+    return live.select(
+        F.lower(F.translate(F.col("mac"), "-", ":")).alias("mac"),
+        F.when(F.col("s_nationkey") == 7, F.concat(F.lit("10.9.9."), (F.col("host_id") % 250).cast("string")))
+         .otherwise(F.col("ip")).alias("ip"),
+        F.substring_index(F.col("fqdn"), ".", 1).alias("host"))
+
+
+def dns_a(t: Tables) -> DataFrame:
+    e = expected_hosts(t).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("host_id") == F.col("s_suppkey"))
+    return e.where(F.col("s_nationkey") != 5).select(
+        F.when(F.col("s_nationkey") == 2, F.upper("fqdn")).otherwise(F.col("fqdn")).alias("fqdn"),
+        F.when(F.col("s_nationkey") == 9, F.lit("10.8.8.8")).otherwise(F.col("ip")).alias("ip"))
+
+
+def dns_ptr(t: Tables) -> DataFrame:
+    e = expected_hosts(t).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("host_id") == F.col("s_suppkey"))
+    return e.where(F.col("s_nationkey") != 6).select(
+        "ip", F.when(F.col("host_id") % 2 == 0, F.concat(F.col("fqdn"), F.lit("."))).otherwise(F.col("fqdn"))
+        .alias("host"))
+
+
+def ip_ranges(t: Tables) -> DataFrame:
+    """Network ranges (start, end, country, asn): each nation owns ten /8
+    blocks; generated from the nation keys."""
+    n = t.nation
+    start = (F.col("n_nationkey") * 10).cast("long") * F.lit(16777216)
+    return n.select(start.alias("start_ip"), (start + F.lit(10 * 16777216 - 1)).alias("end_ip"),
+                    F.col("n_name").alias("country"), (F.col("n_nationkey") + 64512).cast("long").alias("asn"))
+
+
+def document_ips(t: Tables) -> DataFrame:
+    return t.documents.select(
+        "doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"), 1))
+        .alias("ip"))
