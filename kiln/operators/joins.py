@@ -18,7 +18,7 @@ def ip_range_join(points: DataFrame, ranges: DataFrame, ip_col: str, bucket_bits
     the exact bounds are checked as the residual condition. Private and
     reserved addresses (and unparsable text) get nulls when
     ``public_only``. Points are never dropped (left join)."""
-    ipn = ipv4_to_long(F.col(ip_col))
+    ipn = ipv4_to_long(F.col(f"`{ip_col}`"))
     pts = points.withColumn("__ipn", ipn)
     ok = is_public_ipv4(F.col("__ipn")) if public_only else F.col("__ipn").isNotNull()
     pts = pts.withColumn("__b", F.when(ok, F.shiftright(F.col("__ipn"), bucket_bits)))

@@ -293,3 +293,36 @@ def document_ips(t: Tables) -> DataFrame:
     return t.documents.select(
         "doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"), 1))
         .alias("ip"))
+
+
+# ------------------------------------------------------ CRM opportunities
+
+def opportunities(t: Tables) -> DataFrame:
+    """Sales opportunities: one per order, with the CRM's column names, a
+    JSON formula column and a pipe-delimited product."""
+    o, c, n, r = t.orders, t.customer, t.nation, t.region
+    j = (o.join(c, o.o_custkey == c.c_custkey)
+         .join(n, c.c_nationkey == n.n_nationkey)
+         .join(r, n.n_regionkey == r.r_regionkey))
+    qtr = F.quarter("o_orderdate")
+    prod = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("managed_service|A|"))
+            .when(F.col("o_orderpriority") == "2-HIGH", F.lit("product|B|saas_platform"))
+            .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("product|C|on_prem"))
+            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("")))
+    formulas = F.to_json(F.struct(qtr.alias("quarter_created"),
+                                  (F.pmod(qtr + F.col("o_custkey") % 3 - 1, F.lit(4)) + 1).alias("quarter_closed"),
+                                  prod.alias("primary_product"),
+                                  (F.col("c_acctbal") > 5000).alias("partner_involved")))
+    return j.select(
+        F.concat(F.lit("OPP-"), F.col("o_orderkey").cast("string")).alias("CRM Identifier"),
+        F.col("c_mktsegment").alias("Industry"),
+        F.concat(F.lit("REP"), F.lpad((F.col("o_custkey") % 40).cast("string"), 2, "0")).alias("Sales Rep ID"),
+        F.when(F.col("c_nationkey") == 24, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.col("r_name"), F.lit(" - "), F.col("n_name"))).alias("Sales team name"),
+        (F.month("o_orderdate") % 8).alias("Num times opp pushed"),
+        (F.dayofyear("o_orderdate") * 2).alias("Age of opp in days"),
+        F.when(F.col("c_acctbal") < -900, F.lit(None).cast("long"))
+         .otherwise(F.col("o_totalprice").cast("long")).alias("Deal size (USD)"),
+        F.when(F.col("o_orderstatus") == "F", F.lit(True)).when(F.col("o_orderstatus") == "O", F.lit(False))
+         .alias("Won"),
+        formulas.alias("array_of_sfdc_formulas"))
