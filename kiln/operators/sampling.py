@@ -34,7 +34,8 @@ def hash_long(seed, *cols, digits: int = 15) -> Column:
     return F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("long")
 
 
-def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_index") -> DataFrame:
+def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_index",
+                 keep_partition: bool = False) -> DataFrame:
     """Exact 0-based position of each row in ``order_cols`` order.
 
     Range-partitions by the key, cuts lineage with a reliable checkpoint (so
@@ -54,7 +55,7 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
     w = Window.partitionBy("__pid").orderBy(*[_c(c) for c in order_cols])
     return (s.join(F.broadcast(off), "__pid")
             .withColumn(name, F.col("__off") + F.row_number().over(w) - 1)
-            .drop("__pid", "__off"))
+            .drop(*(["__off"] if keep_partition else ["__pid", "__off"])))
 
 
 def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], seed=123456,

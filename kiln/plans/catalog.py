@@ -6,4 +6,5 @@ from kiln.plans import (  # noqa: F401
     cat_relational,
     cat_reports,
     cat_scalars,
+    cat_stats,
 )
