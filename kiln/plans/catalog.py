@@ -1,6 +1,7 @@
 """Imports every catalog module so their queries register."""
 
 from kiln.plans import (  # noqa: F401
+    cat_ml,
     cat_prep,
     cat_profile,
     cat_relational,
