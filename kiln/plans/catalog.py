@@ -7,5 +7,6 @@ from kiln.plans import (  # noqa: F401
     cat_relational,
     cat_reports,
     cat_scalars,
+    cat_sources,
     cat_stats,
 )

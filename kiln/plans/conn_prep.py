@@ -1,12 +1,14 @@
 """Connection-log preparation for the malware classifier.
 
-Three aggregate passes (moments and order statistics for scaling and
-winsorizing, one-hot levels, label correlations); every transform between
-them is a projection in the same lazy plan."""
+``fit`` makes the aggregate passes once (one-hot levels; order statistics
+for winsorizing; moments for standardising) and ``apply`` is a pure
+projection with those constants, so the same preparation runs on a batch
+table or on a stream of arriving records."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kiln.functions.net import port_range
 from kiln.functions.timefn import epoch_to_hour, shift_hour
@@ -14,6 +16,7 @@ from kiln.operators import prep as P
 from kiln.operators import profile as PR
 from kiln.operators import relational as O
 from kiln.operators import sampling as SM
+from kiln.operators.quantiles import order_statistics
 
 LABEL = "is_IoT_malware"
 
@@ -21,34 +24,54 @@ LABEL = "is_IoT_malware"
 FILL_ZERO = ["duration", "orig_bytes", "resp_bytes", "missed_bytes", "resp_ip_bytes", "resp_pkts", "orig_pkts",
              "orig_ip_bytes"]
 WINSOR_THEN_ZSCORE = ["duration", "orig_pkts", "orig_ip_bytes"]
+WINSOR_LIMITS = (0.05, 0.05)
 CLIP_UPPER = {"missed_bytes": 25000, "resp_pkts": 100, "resp_ip_bytes": 7500}
 ZSCORE = ["orig_bytes", "resp_bytes", "missed_bytes", "resp_pkts", "resp_ip_bytes"]
 HOUR_SHIFT = -18
 CORR_THRESHOLD = 0.04
 DROP = ["uid", "id.orig_h", "id.resp_h", "tunnel_parents"]
+ONE_HOT = ["service", "proto"]
 
 
-def base_features(conn: DataFrame) -> DataFrame:
+def _base(conn: DataFrame) -> DataFrame:
     df = O.fill_missing(conn, {c: 0 for c in FILL_ZERO})
     df = df.withColumn(LABEL, O.label_not_in("label", ["Benign"])).drop("label")
     df = df.withColumn("hour_of_day", shift_hour(epoch_to_hour("ts"), HOUR_SHIFT)).drop("ts")
     df = P.minmax_fixed(df, {"hour_of_day": (0, 23)})
     df = df.withColumn("src_port_range_name", port_range("`id.orig_p`").cast("tinyint")).drop("id.orig_p")
-    df = df.drop(*DROP)
-    return P.one_hot_columns(df, ["service", "proto"])
+    return df.drop(*DROP)
 
 
-def scaled(df: DataFrame) -> DataFrame:
-    df = P.winsorize_percent(df, WINSOR_THEN_ZSCORE, (0.05, 0.05))
-    df = P.zscore_population(df, WINSOR_THEN_ZSCORE)
+def fit(conn: DataFrame) -> dict:
+    base = _base(conn)
+    levels = P.one_hot_levels(base, ONE_HOT)
+    n = {c: v for c, v in base.agg(*[F.count(c).alias(c) for c in WINSOR_THEN_ZSCORE]).first().asDict().items()}
+    lo_rank = {c: int(WINSOR_LIMITS[0] * n[c]) for c in WINSOR_THEN_ZSCORE}
+    hi_rank = {c: n[c] - int(WINSOR_LIMITS[1] * n[c]) - 1 for c in WINSOR_THEN_ZSCORE}
+    stats = order_statistics(base, {c: {lo_rank[c], hi_rank[c]} for c in WINSOR_THEN_ZSCORE})
+    bounds = {c: (stats[c][lo_rank[c]], stats[c][hi_rank[c]]) for c in WINSOR_THEN_ZSCORE}
+    w = base.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in bounds.items()})
+    m1 = P.moments(w, WINSOR_THEN_ZSCORE)
+    clipped = P.clip_upper(w, CLIP_UPPER)
+    m2 = P.moments(clipped, ZSCORE)
+    scale = {c: (m1[c][0], m1[c][2]) for c in WINSOR_THEN_ZSCORE}
+    scale.update({c: (m2[c][0], m2[c][2]) for c in ZSCORE})
+    return {"levels": levels, "bounds": bounds, "scale": scale}
+
+
+def apply(conn: DataFrame, consts: dict) -> DataFrame:
+    """Projection only: usable on a streaming DataFrame."""
+    df = _base(conn)
+    df = P.one_hot_columns(df, ONE_HOT, levels=consts["levels"])
+    df = df.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in consts["bounds"].items()})
     df = P.clip_upper(df, CLIP_UPPER)
-    df = P.zscore_population(df, ZSCORE)
+    df = df.withColumns({c: (F.col(c) - F.lit(mu)) / F.lit(sd) for c, (mu, sd) in consts["scale"].items()})
     return O.bools_to_ints(df)
 
 
 def prepare(conn: DataFrame) -> DataFrame:
     """Up to (not including) feature selection and shuffling."""
-    return scaled(base_features(conn))
+    return apply(conn, fit(conn))
 
 
 def prepare_for_training(conn: DataFrame, seed=123456) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,12 +47,12 @@ def _is_local(spark: SparkSession) -> bool:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must exist (it names storage every executor
-    can reach). Only a local session without one gets a private temp folder,
-    which is how tests run.
-    """
+    The session setting wins (on a cluster it names storage every executor
+    can reach); the SparkContext's checkpoint directory is the fallback.
+    Only a local session with neither gets a private temp folder, which is
+    how tests run."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
@@ -64,8 +65,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path
 
 
+_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = checkpoint_root(spark)
-    base = root if "://" in root else os.path.abspath(root)
+    base = root if _SCHEME.match(root) else os.path.abspath(root)
     return f"{base}/kiln-{name}-{uuid.uuid4().hex[:12]}"
