@@ -22,9 +22,14 @@ def json_to_columns(df: DataFrame, col: str, schema: T.StructType, defaults: Map
     outside the schema are found with one distinct pass over the object
     keys (bounded by MAX_DISCOVERED_KEYS) and added as string columns."""
     opts = {"mode": "FAILFAST"} if strict else {}
-    parsed = F.from_json(F.col(col), schema, opts)
-    out = {f.name: (F.coalesce(parsed[f.name], F.lit(defaults[f.name]).cast(f.dataType))
-                    if defaults.get(f.name) is not None else parsed[f.name]) for f in schema.fields}
+    # Parse once per row: the struct goes through a one-element ``inline``
+    # (a generator), so neither field extraction nor later filters on the
+    # fields can copy the parser into several expressions.
+    parsed = F.from_json(F.col(col), schema, opts).alias("__json")
+    df = df.select("*", F.inline(F.array(F.struct(parsed))))
+    field = F.col("__json")
+    out = {f.name: (F.coalesce(field[f.name], F.lit(defaults[f.name]).cast(f.dataType))
+                    if defaults.get(f.name) is not None else field[f.name]) for f in schema.fields}
     if discover:
         known = {f.name for f in schema.fields}
         keys = (df.select(F.explode(F.json_object_keys(F.col(col))).alias("k")).distinct()
@@ -33,7 +38,7 @@ def json_to_columns(df: DataFrame, col: str, schema: T.StructType, defaults: Map
             raise ValueError(f"more than {MAX_DISCOVERED_KEYS} distinct JSON keys in {col}")
         for k in sorted(r["k"] for r in keys if r["k"] not in known):
             out[k] = F.get_json_object(F.col(col), f"$.{k}")
-    res = df.withColumns(out)
+    res = df.withColumns(out).drop("__json")
     return res.drop(col) if drop_source else res
 
 

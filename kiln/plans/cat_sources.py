@@ -80,9 +80,12 @@ def q_read_json_listing(spark, sf_dir):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("created_utc"),
         F.concat(F.lit("r/conv"), F.col("conv_id").cast("string")).alias("subreddit"),
         F.col("role").alias("author"), F.col("text").alias("body")).alias("data"))
-    # one listing page per conversation (a conversation's turns are one page)
-    pages = c.groupBy("conv_id").agg(F.collect_list(child).alias("children")).select(
-        F.to_json(F.struct(F.struct(F.concat(F.lit("t3_"), F.col("conv_id").cast("string")).alias("after"),
+    # listing pages of at most 100 children (conversation, block of 100 turns),
+    # so no page grows with a long conversation
+    page = F.floor(F.col("turn") / 100)
+    pages = c.groupBy("conv_id", page.alias("page")).agg(F.collect_list(child).alias("children")).select(
+        F.to_json(F.struct(F.struct(F.concat(F.lit("t3_"), F.col("conv_id").cast("string"), F.lit("_"),
+                                             F.col("page").cast("string")).alias("after"),
                                     "children").alias("data"))).alias("value"))
     path = scratch_path(spark, "listing")
     pages.write.text(path)

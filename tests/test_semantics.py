@@ -134,8 +134,13 @@ def test_assert_trainable(spark):
 
 def test_json_to_columns_defaults_and_discovery(spark):
     from pyspark.sql import types as T
-    df = spark.createDataFrame([(1, '{"quarter_created": 2, "extra": "x"}'), (2, '{}')], "id int, j string")
+    df = spark.createDataFrame([(1, '{"quarter_created": 2, "extra": "x"}'), (2, '{}'), (3, None)],
+                               "id int, j string")
     schema = T.StructType([T.StructField("quarter_created", T.IntegerType()),
                            T.StructField("primary_product", T.StringType())])
     out = ST.json_to_columns(df, "j", schema, {"quarter_created": 0}).orderBy("id").collect()
-    assert [(r["quarter_created"], r["primary_product"], r["extra"]) for r in out] == [(2, None, "x"), (0, None, None)]
+    assert [(r["id"], r["quarter_created"], r["primary_product"], r["extra"]) for r in out] == [
+        (1, 2, None, "x"), (2, 0, None, None), (3, 0, None, None)]
+    bad = spark.createDataFrame([(1, '{"quarter_created": ')], "id int, j string")
+    with pytest.raises(Exception):
+        ST.json_to_columns(bad, "j", schema, {}, discover=False).collect()
