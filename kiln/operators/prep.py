@@ -121,13 +121,14 @@ class PopulationScaler:
 def winsorize_percent(df: DataFrame, cols: Sequence[str], limits=(0.05, 0.05)) -> DataFrame:
     """Replace the lowest int(lo*n) and highest int(hi*n) values by the
     nearest kept order statistic (exact, via distributed order statistics)."""
-    counts = df.agg(*[F.count(q(c)).alias(c) for c in cols]).first()
+    counts = df.agg(*[F.count_if(q(c).isNotNull() & ~F.isnan(q(c).cast("double"))).alias(c)
+                      for c in cols]).first()
     ranks = {}
     for c in cols:
         n = counts[c]
         if n:
             ranks[c] = {int(limits[0] * n), n - int(limits[1] * n) - 1}
-    stats = order_statistics(df, ranks)
+    stats = order_statistics(df, ranks, counts={c: counts[c] for c in ranks})
     out = {}
     for c in cols:
         n = counts[c]

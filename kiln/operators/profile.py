@@ -39,13 +39,23 @@ def _unpivot_row(df: DataFrame, pairs: Sequence[tuple[str, str, Column]], value_
     return row.select(F.inline(arr))
 
 
+def _value(df: DataFrame, c: str) -> Column:
+    """Numeric value with NaN treated as missing (pandas' rule)."""
+    dt = df.schema[c].dataType
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(q(c)), q(c))
+    return q(c)
+
+
 def numeric_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, float]]:
-    """count/mean/std(n-1)/std(n)/min/max for every column in one pass."""
+    """count/mean/std(n-1)/std(n)/min/max for every column in one pass;
+    null and NaN are both missing."""
     aggs = []
     for c in cols:
-        aggs += [F.count(q(c)).alias(f"{c}__count"), F.avg(q(c)).alias(f"{c}__mean"),
-                 F.stddev_samp(q(c)).alias(f"{c}__std"), F.stddev_pop(q(c)).alias(f"{c}__stdp"),
-                 F.min(q(c)).alias(f"{c}__min"), F.max(q(c)).alias(f"{c}__max")]
+        v = _value(df, c)
+        aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
+                 F.stddev_samp(v).alias(f"{c}__std"), F.stddev_pop(v).alias(f"{c}__stdp"),
+                 F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
     row = df.agg(*aggs).first().asDict()
     return {c: {s: row[f"{c}__{s}"] for s in ("count", "mean", "std", "stdp", "min", "max")} for c in cols}
 

@@ -6,10 +6,10 @@ order statistic is found by narrowing:
 
 1. ``percentile_approx`` proposes up to ``buckets - 1`` split points inside
    the current value window (one pass, all windows at once);
-2. every row in a window gets the number of its bucket through a balanced
-   CASE tree of comparisons (log2(buckets) deep, codegen friendly) and the
-   rows are counted per (window, bucket) with partial aggregation (one pass,
-   only bucket counts are shuffled);
+2. every row in a window gets the number of its bucket from Spark ML's
+   ``Bucketizer`` (a binary search in the JVM) and the rows are counted per
+   (window, bucket) with partial aggregation (one pass, only bucket counts
+   are shuffled);
 3. the bucket holding the wanted rank becomes the next window; a window
    whose min equals its max is resolved (a hot value needs no more work),
    and a window of at most ``collect_limit`` rows is finished by collecting
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +56,11 @@ def _in_window(v: Column, lo, hi) -> Column:
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: int = 256,
-                     collect_limit: int = 200_000) -> dict[str, dict[int, float]]:
+                     collect_limit: int = 200_000,
+                     counts: dict[str, int] | None = None) -> dict[str, dict[int, float]]:
     """Exact k-th smallest values (0-based ranks over non-null, non-NaN
-    values) for several columns: ``{col: {rank: value}}``."""
+    values) for several columns: ``{col: {rank: value}}``. ``counts`` (the
+    non-null, non-NaN count per column), when known, saves one pass."""
     # window: (col, lo, hi, offset) -> ranks wanted inside it (absolute ranks)
     windows: dict[tuple, set[int]] = {}
     for c, ranks in wanted.items():
@@ -66,20 +69,28 @@ def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: i
             windows[(c, None, None, 0)] = rs
     out: dict[str, dict[int, float]] = {c: {} for c in wanted}
     src = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in wanted])
+    # window sizes: counted once for the whole columns, afterwards known from
+    # the bucket counts of the previous level
+    size: dict[tuple, int] = {}
+    first = list(windows)
+    if first and counts is not None and all(k[0] in counts for k in first):
+        size = {k: counts[k[0]] for k in first}
+    elif first:
+        row = src.agg(*[F.count_if(_in_window(F.col(c), lo, hi)).alias(f"w{i}")
+                        for i, (c, lo, hi, off) in enumerate(first)]).first()
+        size = {k: row[f"w{i}"] for i, k in enumerate(first)}
     while windows:
         keys = list(windows)
-        sizes = src.agg(*[F.count_if(_in_window(F.col(c), lo, hi)).alias(f"w{i}")
-                          for i, (c, lo, hi, off) in enumerate(keys)]).first()
-        small = [k for i, k in enumerate(keys) if sizes[f"w{i}"] <= collect_limit]
-        large = [k for i, k in enumerate(keys) if sizes[f"w{i}"] > collect_limit]
+        small = [k for k in keys if size[k] <= collect_limit]
+        large = [k for k in keys if size[k] > collect_limit]
         if small:
-            parts = [src.where(_in_window(F.col(c), lo, hi)).select(F.lit(i).alias("w"), F.col(c).alias("v"))
-                     for i, (c, lo, hi, off) in enumerate(small)]
-            u = parts[0]
-            for p in parts[1:]:
-                u = u.unionByName(p)
+            # one scan: each row emits (window, value) for the small windows it is in
+            items = F.array(*[F.struct(F.lit(i).alias("w"),
+                                       F.when(_in_window(F.col(c), lo, hi), F.col(c)).alias("v"))
+                              for i, (c, lo, hi, off) in enumerate(small)])
+            hits = src.select(F.explode(items).alias("x")).select("x.w", "x.v").where(F.col("v").isNotNull())
             vals: dict[int, list[float]] = {i: [] for i in range(len(small))}
-            for r in u.collect():
+            for r in hits.collect():
                 vals[r["w"]].append(r["v"])
             for i, k in enumerate(small):
                 c, lo, hi, off = k
@@ -90,29 +101,31 @@ def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: i
         if large:
             nb = max(2, buckets)
             qs = [j / nb for j in range(1, nb)]
-            approx = src.agg(*[F.percentile_approx(F.when(_in_window(F.col(c), lo, hi), F.col(c)), qs,
-                                                   max(10_000, 40 * nb)).alias(f"w{i}")
-                               for i, (c, lo, hi, off) in enumerate(large)]).first()
+            approx = src.agg(*[F.percentile_approx(F.when(_in_window(F.col(c), lo, hi), F.col(c)), qs, 8 * nb)
+                               .alias(f"w{i}") for i, (c, lo, hi, off) in enumerate(large)]).first()
             splits = []
             for i, (c, lo, hi, off) in enumerate(large):
                 sp = set(approx[f"w{i}"])
                 if lo is not None and hi is not None:
                     sp.add(lo + (hi - lo) / 2.0)  # guarantees the value range halves
-                splits.append(sorted(sp))
-
-            def bucket(c, lo, sp):
-                tree = _bucket_expr(F.col(c), sp)
-                # the window minimum gets a bucket of its own, so a window
-                # dominated by one value always makes progress
-                return tree if lo is None else F.when(F.col(c) == F.lit(lo), F.lit(-1)).otherwise(tree)
-
+                splits.append([-math.inf] + sorted(sp) + [math.inf])
+            # bucket numbers from Spark ML's Bucketizer (binary search in the
+            # JVM); rows outside a window are null there and get no bucket
+            ins = {f"__x{i}": F.when(_in_window(F.col(c), lo, hi), F.col(c)) for i, (c, lo, hi, off) in
+                   enumerate(large)}
+            bucketed = Bucketizer(splitsArray=splits, inputCols=list(ins), handleInvalid="keep",
+                                  outputCols=[f"__b{i}" for i in range(len(large))]).transform(src.withColumns(ins))
+            # the window minimum gets a bucket of its own, so a window
+            # dominated by one value always makes progress
             items = F.array(*[
                 F.struct(F.lit(i).alias("w"),
-                         F.when(_in_window(F.col(c), lo, hi), bucket(c, lo, splits[i])).alias("b"),
-                         F.col(c).alias("v"))
+                         (F.col(f"__b{i}").cast("int") if lo is None else
+                          F.when(F.col(f"__x{i}") == F.lit(lo), F.lit(-1)).otherwise(F.col(f"__b{i}").cast("int")))
+                         .alias("b"),
+                         F.col(f"__x{i}").alias("v"))
                 for i, (c, lo, hi, off) in enumerate(large)])
-            hits = (src.select(F.explode(F.filter(items, lambda x: x["b"].isNotNull())).alias("x"))
-                    .select("x.w", "x.b", "x.v"))
+            hits = (bucketed.select(F.explode(items).alias("x")).select("x.w", "x.b", "x.v")
+                    .where(F.col("v").isNotNull()))
             stats = (hits.groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                                  F.max("v").alias("hi")).collect())
             by_w: dict[int, list] = {}
@@ -130,7 +143,9 @@ def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: i
                             for rank in hit:
                                 out[c][rank] = r["lo"]
                         else:
-                            nxt.setdefault((c, r["lo"], r["hi"], start), set()).update(hit)
+                            w = (c, r["lo"], r["hi"], start)
+                            nxt.setdefault(w, set()).update(hit)
+                            size[w] = r["n"]
                     start = end
         windows = nxt
     return out
@@ -155,7 +170,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         n = counts[c]
         if n:
             wanted[c] = {r for p in probs for r in linear_ranks(n, p)[:2]}
-    stats = order_statistics(df, wanted, **kw)
+    stats = order_statistics(df, wanted, counts=counts, **kw)
     out: dict[str, list] = {}
     for c in cols:
         n = counts[c]

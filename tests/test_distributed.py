@@ -16,9 +16,11 @@ from kiln.operators.windows import prefix_sums
 
 
 def _skewed(spark, n=3000, seed=7):
+    """A third of the rows hold one value; a few nulls and NaN are ignored."""
     rnd = random.Random(seed)
     vals = [42.0 if i % 3 == 0 else rnd.uniform(-100, 100) for i in range(n)]
-    return spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double"), vals
+    extra = [(n + 1, None), (n + 2, float("nan")), (n + 3, None)]
+    return spark.createDataFrame([(i, v) for i, v in enumerate(vals)] + extra, "id long, v double"), vals
 
 
 def test_order_statistics_exact_with_hot_value(spark):
