@@ -11,7 +11,8 @@ __all__ = ["sha256_of", "md5_bigint", "row_text", "table_fingerprint", "table_fi
 
 
 def sha256_of(c) -> Column:
-    return F.sha2(as_col(c).cast("string") if not isinstance(c, str) else F.col(c), 256)
+    """Hex SHA-256 of a string or binary column (file content, record text)."""
+    return F.sha2(as_col(c), 256)
 
 
 def md5_bigint(c, hex_digits: int = 15) -> Column:

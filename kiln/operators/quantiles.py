@@ -184,7 +184,3 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             res.append(a + (b - a) * frac if frac else a)
         out[c] = res
     return out
-
-
-def lower_order_statistic(df: DataFrame, cols: Sequence[str], ranks_by_col: dict[str, list[int]], **kw):
-    return order_statistics(df, ranks_by_col, **kw)

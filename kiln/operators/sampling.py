@@ -78,7 +78,9 @@ def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], see
 def upsample_class(df: DataFrame, label: str, positive=1, factor: float = 1.6, order_cols=None,
                    seed=123456) -> DataFrame:
     """Positives resampled with replacement to int(factor * n_pos), then all
-    other rows appended."""
+    other rows appended. The input is checkpointed once (it is read by the
+    count, the index and the append), which also cuts its lineage."""
+    df = df.checkpoint(eager=True)
     pos = df.where(F.col(label) == positive)
     rest = df.where(~(F.col(label) == positive) | F.col(label).isNull())
     n_pos = pos.count()
