@@ -63,9 +63,12 @@ def asset_tags(t: Tables) -> DataFrame:
             .agg(sorted_string_agg("tag_name").alias("asset_tags")))
 
 
-def asset_vulnerability_solution(t: Tables) -> DataFrame:
+def asset_vulnerability_solution(t: Tables, fix_as_text: bool = False) -> DataFrame:
+    sol = S.dim_solution(t)
+    if fix_as_text:  # convert each solution once, before it fans out over (asset, vulnerability)
+        sol = sol.withColumn("fix", html_to_text("fix"))
     return (S.dim_asset_vulnerability_best_solution(t)
-            .join(S.dim_solution(t), "solution_id")
+            .join(sol, "solution_id")
             .select("asset_id", "vulnerability_id", "solution_id", F.col("fix").alias("vuln_solution")))
 
 
@@ -80,8 +83,10 @@ def exploit_method(t: Tables) -> DataFrame:
 def risk_score_report(t: Tables) -> DataFrame:
     favi = S.fact_asset_vulnerability_instance(t)
     at = asset_tags(t)
-    vr = vuln_references(t, keep_orphans=False)
-    avs = asset_vulnerability_solution(t)
+    # markup is converted per vulnerability / per solution before the joins,
+    # not once per instance row after them
+    vr = vuln_references(t, keep_orphans=False).withColumn("vuln_text", html_to_text("description"))
+    avs = asset_vulnerability_solution(t, fix_as_text=True)
     # The report's final ON names a table out of scope; it is bound to the
     # vulnerability's access vector, and the lookup is kept one row per type
     # so the fact is not multiplied by every vulnerability of that type.
@@ -100,9 +105,9 @@ def risk_score_report(t: Tables) -> DataFrame:
         "asset_id", F.col("name").alias("protocol"),
         F.when(F.col("port") == -1, F.lit(None)).otherwise(F.col("port")).alias("ports"),
         "vuln_name",
-        html_to_text(vr.description).alias("vuln_synopsis"),
-        html_to_text(vr.description).alias("vuln_description"),
-        html_to_text("vuln_solution").alias("solution"),
+        F.col("vuln_text").alias("vuln_synopsis"),
+        F.col("vuln_text").alias("vuln_description"),
+        F.col("vuln_solution").alias("solution"),
         F.col("other_references").alias("see_also_additional_resources"),
         html_to_text("proof").alias("plugin_output_proof"),
         "exploitability",
