@@ -7,7 +7,7 @@ documents only, unseen terms are dropped. Frequent terms skew the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: a token is a maximal run of two or more letters, digits or
@@ -36,4 +36,18 @@ def tfidf_transform(docs: DataFrame, idf: DataFrame, id_col: str, text_col: str)
 
 
 def tfidf(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return tfidf_transform(docs, idf_fit(train, id_col, text_col), id_col, text_col)
+    """Fit on ``train`` (a subset of ``docs``) and transform ``docs``, with
+    one tokenization: the (doc, term) counts feed both the document
+    frequencies of the training documents and the term weights."""
+    # (doc, term) counts are read by two branches: cut lineage once (reliable
+    # checkpoint in the shared folder) instead of tokenizing the texts twice
+    tf = (tokens(docs, id_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+          .checkpoint(eager=True))
+    train_ids = train.select(F.col(id_col).alias("doc")).distinct()
+    n = train_ids.count()
+    df_t = tf.join(train_ids, "doc", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df_t.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # the norm is a window over one document's terms (bounded by its length)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return w.select(F.col("doc").alias(id_col), "term", (F.col("w") / norm).alias("weight"))
