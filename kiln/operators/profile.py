@@ -273,7 +273,7 @@ def cumulative_bins(df: DataFrame, col: str, step: float = 0.25) -> DataFrame:
     edges, so the data is scanned once and only edge counts move."""
     from pyspark.sql import Window
 
-    from kiln.operators.quantiles import bucket_index
+    from pyspark.ml.feature import Bucketizer
     m = df.agg(F.min(q(col)).alias("mn"), F.max(q(col)).alias("mx"), F.count(F.lit(1)).alias("n")).first()
     mn, mx, n = m["mn"], m["mx"], m["n"]
     rng = mx - mn
@@ -282,8 +282,14 @@ def cumulative_bins(df: DataFrame, col: str, step: float = 0.25) -> DataFrame:
     while right <= mx + step:
         edges.append(right)
         right += step
-    first_edge = bucket_index(q(col), edges, strict=True)  # number of edges < x
-    counts = df.where(q(col).isNotNull()).groupBy(first_edge.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    # k = number of edges < x, i.e. the first edge holding x. Bucketizer
+    # (binary search) counts splits <= its input, so it is fed -x against the
+    # negated edges: that counts edges >= x, and k = len(edges) - that.
+    neg = [-math.inf] + sorted(-e for e in edges) + [math.inf]
+    b = Bucketizer(splits=neg, inputCol="__negx", outputCol="__ge", handleInvalid="keep").transform(
+        df.where(q(col).isNotNull()).select((-q(col).cast("double")).alias("__negx")))
+    first_edge = F.lit(len(edges)) - F.col("__ge").cast("int")
+    counts = b.groupBy(first_edge.alias("k")).agg(F.count(F.lit(1)).alias("c"))
     spark = df.sparkSession
     edge_df = spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "k int, bin_right double")
     w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded edge list
