@@ -29,23 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _bucket_expr(v: Column, splits: Sequence[float], lo: int = 0, hi: int | None = None,
-                 strict: bool = False) -> Column:
-    """Bucket of ``v`` through a balanced CASE tree over sorted ``splits``:
-    the number of splits <= v, or with ``strict`` the number of splits < v."""
-    if hi is None:
-        hi = len(splits)
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    left = (v <= F.lit(splits[mid])) if strict else (v < F.lit(splits[mid]))
-    return F.when(left, _bucket_expr(v, splits, lo, mid, strict)).otherwise(
-        _bucket_expr(v, splits, mid + 1, hi, strict))
-
-
-bucket_index = _bucket_expr
-
-
 def _in_window(v: Column, lo, hi) -> Column:
     cond = v.isNotNull() & ~F.isnan(v)
     if lo is not None:

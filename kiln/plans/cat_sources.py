@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from kiln.operators import models as ML
 from kiln.plans import conn_prep as CP
 from kiln.plans import standins as S
-from kiln.plans._q import rounded, tables
+from kiln.plans._q import tables
 from kiln.plans.oracle import CONN_CTE
 from kiln.registry import query
 from kiln.session import scratch_path

@@ -5,7 +5,6 @@ build one lazy plan. Actions happen only where a fitted constant is needed
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.strings import first_token

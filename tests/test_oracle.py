@@ -1,7 +1,6 @@
 """Each registered query against its DuckDB oracle on sf0.01 (the driver's
 correctness gate), and every query without an oracle must at least run."""
 
-import duckdb
 import pytest
 
 from kiln.registry import entries
