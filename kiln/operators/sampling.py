@@ -65,7 +65,10 @@ def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], see
     n = n_rows if n_rows is not None else df.count()
     if n == 0 or n_samples <= 0:
         return df.limit(0)
-    indexed = global_index(df, order_cols, "__idx")
+    # a row-id tie-breaker keeps a heavily repeated row from filling one
+    # range partition; identical rows are interchangeable, so draws are unchanged
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    indexed = global_index(tied, list(order_cols) + ["__tie"], "__idx").drop("__tie")
     draws = spark.range(n_samples).select(
         F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10)
                .cast("long"), F.lit(n)).alias("__idx"))

@@ -190,10 +190,12 @@ def ks_exponential_p(rows) -> dict:
     return {r[0]: kolmogorov_exact_p(int(r["n"]), float(r["d"])) for r in rows}
 
 
-def counterbalance(df: DataFrame, subject: str, condition: str, order: str):
+def counterbalance(df: DataFrame, subject: str, condition: str, order):
     """Position x condition counts and (predecessor, condition) counts;
-    balanced when every cell of each table holds the same count."""
-    r = family_rank(df.select(subject, condition, order), [subject], [order], "position", "__n").drop("__n")
+    balanced when every cell of each table holds the same count. ``order``
+    is a column or a list of columns (add a key to break ties)."""
+    order = [order] if isinstance(order, str) else list(order)
+    r = family_rank(df.select(subject, condition, *order), [subject], order, "position", "__n").drop("__n")
     pos = r.groupBy("position", _c(condition).alias("condition")).agg(F.count(F.lit(1)).alias("n"))
     prev = r.select(_c(subject).alias("__s"), (F.col("position") + 1).alias("__p"),
                     _c(condition).alias("previous"))

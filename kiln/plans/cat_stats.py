@@ -192,7 +192,7 @@ SELECT * FROM pos UNION ALL SELECT * FROM pairs
 def q_counterbalance_check(spark, sf_dir):
     o = tables(spark, sf_dir).orders
     pos, pairs = ST.counterbalance(o.select("o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey"),
-                                   "o_custkey", "o_orderpriority", "o_orderdate")
+                                   "o_custkey", "o_orderpriority", ["o_orderdate", "o_orderkey"])
     a = pos.select(F.lit("position").alias("kind"), F.col("position").cast("string").alias("level"),
                    "condition", "n")
     b = pairs.select(F.lit("predecessor").alias("kind"), F.col("previous").alias("level"), "condition", "n")
