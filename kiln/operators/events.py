@@ -33,9 +33,9 @@ def trailing_sum(df: DataFrame, pair: Sequence[str], ts: str, value, seconds: fl
     work of a busy pair by one bucket of time instead of its whole history."""
     v = value if not isinstance(value, str) else F.col(value)
     base = df.withColumn("__v", v).withColumn("__b", F.floor(F.col(f"`{ts}`") / F.lit(seconds)))
-    own = base.withColumn("__own", F.lit(True))
-    ctx = base.withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))
-    both = own.unionByName(ctx)
+    # one scan: each row is emitted as itself and as context for the next bucket
+    both = (base.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
+            .withColumn("__b", F.when(F.col("__own"), F.col("__b")).otherwise(F.col("__b") + 1)))
     w = (Window.partitionBy(*[F.col(f"`{p}`") for p in pair], F.col("__b")).orderBy(F.col(f"`{ts}`"))
          .rangeBetween(-int(seconds), 0))
     return (both.withColumn(out, F.sum("__v").over(w)).where(F.col("__own"))
