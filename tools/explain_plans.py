@@ -18,8 +18,10 @@ from kiln.session import get_spark  # noqa: E402
 
 NOTES = {
     "risk_score_report": "Two pre-aggregations (references per vulnerability, tags per asset) meet the instance "
-                         "table; small dimensions are broadcast from runtime sizes, the solution table's hash "
-                         "partitioning on (asset, vulnerability) is reused by its join (no extra exchange).",
+                         "table; small dimensions are broadcast from runtime sizes. Partitionings are reused: the tag "
+                         "aggregate runs on the asset-keyed join's partitions and feeds the fact join on asset "
+                         "without another exchange, and the solution table's (asset, vulnerability) partitioning "
+                         "is reused by its join.",
     "process_prevalence_report": "Distinct-client counts via the two-step distinct rewrite with partial "
                                  "aggregation; the scoring side is reduced to distinct (key, attributes) first.",
     "describe_table": "The registered query shows the final assembly; the work is the one-pass moments aggregate "
