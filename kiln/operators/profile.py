@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kiln.operators.quantiles import exact_quantiles
+from kiln.operators.quantiles import exact_quantiles, level0_splits
 from kiln.operators.relational import numeric_columns
 
 
@@ -47,17 +47,21 @@ def _value(df: DataFrame, c: str) -> Column:
     return q(c)
 
 
-def numeric_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, float]]:
+def numeric_moments(df: DataFrame, cols: Sequence[str], with_splits: bool = False) -> dict[str, dict]:
     """count/mean/std(n-1)/std(n)/min/max for every column in one pass;
-    null and NaN are both missing."""
+    null and NaN are both missing. ``with_splits`` folds the first level of
+    the exact-quantile search into the same pass."""
     aggs = []
     for c in cols:
         v = _value(df, c)
         aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
                  F.stddev_samp(v).alias(f"{c}__std"), F.stddev_pop(v).alias(f"{c}__stdp"),
                  F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
+        if with_splits:
+            aggs.append(level0_splits(q(c)).alias(f"{c}__splits"))
     row = df.agg(*aggs).first().asDict()
-    return {c: {s: row[f"{c}__{s}"] for s in ("count", "mean", "std", "stdp", "min", "max")} for c in cols}
+    stats = ("count", "mean", "std", "stdp", "min", "max") + (("splits",) if with_splits else ())
+    return {c: {s: row[f"{c}__{s}"] for s in stats} for c in cols}
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
@@ -65,8 +69,9 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     """pandas ``describe`` for numeric columns as long rows
     (column, stat, value): count, mean, std, min, percentiles, max."""
     cols = list(cols or numeric_columns(df))
-    m = numeric_moments(df, cols)
-    qs = exact_quantiles(df, cols, percentiles, counts={c: int(m[c]["count"]) for c in cols})
+    m = numeric_moments(df, cols, with_splits=True)
+    qs = exact_quantiles(df, cols, percentiles, counts={c: int(m[c]["count"]) for c in cols},
+                         initial_splits={c: m[c]["splits"] for c in cols})
     rows = []
     for c in cols:
         rows += [(c, "count", float(m[c]["count"])), (c, "mean", m[c]["mean"]), (c, "std", m[c]["std"]),

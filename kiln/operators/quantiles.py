@@ -38,12 +38,20 @@ def _in_window(v: Column, lo, hi) -> Column:
     return cond
 
 
+def level0_splits(c: Column, buckets: int = 256) -> Column:
+    """The first level's split proposal for a column, as an aggregate that a
+    caller can fold into its own one-pass ``agg`` (see ``initial_splits``)."""
+    v = F.when(c.isNotNull() & ~F.isnan(c.cast("double")), c.cast("double"))
+    return F.percentile_approx(v, [j / buckets for j in range(1, buckets)], 8 * buckets)
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: int = 256,
-                     collect_limit: int = 200_000,
-                     counts: dict[str, int] | None = None) -> dict[str, dict[int, float]]:
+                     collect_limit: int = 200_000, counts: dict[str, int] | None = None,
+                     initial_splits: dict[str, list] | None = None) -> dict[str, dict[int, float]]:
     """Exact k-th smallest values (0-based ranks over non-null, non-NaN
     values) for several columns: ``{col: {rank: value}}``. ``counts`` (the
-    non-null, non-NaN count per column), when known, saves one pass."""
+    non-null, non-NaN count per column) and ``initial_splits`` (from
+    ``level0_splits``), when the caller already has them, each save a pass."""
     # window: (col, lo, hi, offset) -> ranks wanted inside it (absolute ranks)
     windows: dict[tuple, set[int]] = {}
     for c, ranks in wanted.items():
@@ -84,8 +92,15 @@ def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: i
         if large:
             nb = max(2, buckets)
             qs = [j / nb for j in range(1, nb)]
-            approx = src.agg(*[F.percentile_approx(F.when(_in_window(F.col(c), lo, hi), F.col(c)), qs, 8 * nb)
-                               .alias(f"w{i}") for i, (c, lo, hi, off) in enumerate(large)]).first()
+            given = {i: initial_splits[c] for i, (c, lo, hi, off) in enumerate(large)
+                     if lo is None and hi is None and initial_splits and initial_splits.get(c)}
+            todo = [(i, k) for i, k in enumerate(large) if i not in given]
+            approx = dict(given)
+            if todo:
+                row = src.agg(*[F.percentile_approx(F.when(_in_window(F.col(c), lo, hi), F.col(c)), qs, 8 * nb)
+                                .alias(f"w{i}") for i, (c, lo, hi, off) in todo]).first()
+                approx.update({i: row[f"w{i}"] for i, _ in todo})
+            approx = {f"w{i}": v for i, v in approx.items()}
             splits = []
             for i, (c, lo, hi, off) in enumerate(large):
                 sp = set(approx[f"w{i}"])
@@ -143,7 +158,8 @@ def linear_ranks(n: int, p: float) -> tuple[int, int, float]:
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     counts: dict[str, int] | None = None, **kw) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column (nulls and NaN skipped)."""
+    """Linear-interpolated quantiles per column (nulls and NaN skipped);
+    extra keyword arguments go to ``order_statistics``."""
     if counts is None:
         row = df.agg(*[F.count_if(_in_window(F.col(f"`{c}`").cast("double"), None, None)).alias(c)
                        for c in cols]).first()
