@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.sources.tables import spread
+
 # Fixed value: a token is a maximal run of two or more letters, digits or
 # underscores (the word-character rule, written with explicit classes).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -41,7 +43,7 @@ def tfidf(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> Data
     frequencies of the training documents and the term weights."""
     # (doc, term) counts are read by two branches: cut lineage once (reliable
     # checkpoint in the shared folder) instead of tokenizing the texts twice
-    tf = (tokens(docs, id_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = (tokens(spread(docs), id_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
           .checkpoint(eager=True))
     train_ids = train.select(F.col(id_col).alias("doc")).distinct()
     n = train_ids.count()
