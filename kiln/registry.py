@@ -9,6 +9,7 @@ by row count only.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -45,8 +46,19 @@ def entries() -> dict[str, Entry]:
     return dict(_REGISTRY)
 
 
+def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Run a query with the session time zone pinned to UTC (hour-of-day,
+    zone conversion and epoch rules are defined in UTC), whatever session
+    the caller brings."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: e.fn for k, e in entries().items()}
+    return {k: _utc(e.fn) for k, e in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
