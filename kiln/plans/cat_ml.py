@@ -216,7 +216,7 @@ def _conn_training(spark, sf_dir):
 @query("gbt_classification", section="2.9")
 def q_gbt_classification(spark, sf_dir):
     prepped, feats = _conn_training(spark, sf_dir)
-    split = SM.train_test_split(prepped.withColumn("__row", F.monotonically_increasing_id()), feats, 0.3)
+    split = SM.train_test_split(prepped, feats, 0.3)  # stable: keyed on the feature values
     train = split.where(F.col("split") == "train")
     m = ML.fit_gbt_classifier(train, [f"`{f}`" if "." in f else f for f in feats], CP.LABEL)
     return m.transform(split).select(CP.LABEL, "split", "prediction", "probability")
