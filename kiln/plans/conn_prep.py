@@ -51,11 +51,10 @@ def fit(conn: DataFrame) -> dict:
     stats = order_statistics(base, {c: {lo_rank[c], hi_rank[c]} for c in WINSOR_THEN_ZSCORE})
     bounds = {c: (stats[c][lo_rank[c]], stats[c][hi_rank[c]]) for c in WINSOR_THEN_ZSCORE}
     w = base.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in bounds.items()})
-    m1 = P.moments(w, WINSOR_THEN_ZSCORE)
-    clipped = P.clip_upper(w, CLIP_UPPER)
-    m2 = P.moments(clipped, ZSCORE)
-    scale = {c: (m1[c][0], m1[c][2]) for c in WINSOR_THEN_ZSCORE}
-    scale.update({c: (m2[c][0], m2[c][2]) for c in ZSCORE})
+    # clipping touches none of the winsorized columns, so one moments pass
+    # over the clipped frame serves both standardisations
+    m = P.moments(P.clip_upper(w, CLIP_UPPER), WINSOR_THEN_ZSCORE + ZSCORE)
+    scale = {c: (m[c][0], m[c][2]) for c in WINSOR_THEN_ZSCORE + ZSCORE}
     return {"levels": levels, "bounds": bounds, "scale": scale}
 
 
