@@ -22,6 +22,8 @@ bucket counts and at most ``collect_limit`` values per window.
 from __future__ import annotations
 
 import math
+
+import numpy as np
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -80,14 +82,12 @@ def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: i
                                        F.when(_in_window(F.col(c), lo, hi), F.col(c)).alias("v"))
                               for i, (c, lo, hi, off) in enumerate(small)])
             hits = src.select(F.explode(items).alias("x")).select("x.w", "x.v").where(F.col("v").isNotNull())
-            vals: dict[int, list[float]] = {i: [] for i in range(len(small))}
-            for r in hits.collect():
-                vals[r["w"]].append(r["v"])
+            pdf = hits.toPandas()  # Arrow transfer of at most collect_limit values per window
             for i, k in enumerate(small):
                 c, lo, hi, off = k
-                sv = sorted(vals[i])
+                sv = np.sort(pdf["v"].to_numpy()[pdf["w"].to_numpy() == i])
                 for rank in windows[k]:
-                    out[c][rank] = sv[rank - off]
+                    out[c][rank] = float(sv[rank - off])
         nxt: dict[tuple, set[int]] = {}
         if large:
             nb = max(2, buckets)
