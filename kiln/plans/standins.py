@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.sources.tables import Tables
+from kiln.sources.tables import Tables, spread
 
 # ------------------------------------------------------ vulnerability warehouse
 
@@ -206,7 +206,7 @@ def emails(t: Tables) -> DataFrame:
 def conn_log(t: Tables) -> DataFrame:
     """Connection records (the log's columns, dotted names included) from
     ``events``: one connection per event."""
-    e = t.events
+    e = spread(t.events)
     et = F.col("event_type")
     eid, uid = F.col("event_id"), F.col("user_id")
     resp_p = (F.when(et == "view", 80).when(et == "click", 443).when(et == "purchase", 8443)
@@ -301,7 +301,7 @@ def document_ips(t: Tables) -> DataFrame:
 def opportunities(t: Tables) -> DataFrame:
     """Sales opportunities: one per order, with the CRM's column names, a
     JSON formula column and a pipe-delimited product."""
-    o, c, n, r = t.orders, t.customer, t.nation, t.region
+    o, c, n, r = spread(t.orders), t.customer, t.nation, t.region
     j = (o.join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey)
          .join(r, n.n_regionkey == r.r_regionkey))
