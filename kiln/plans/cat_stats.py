@@ -187,7 +187,8 @@ WITH r AS (SELECT o_custkey, o_orderpriority AS c,
 pos AS (SELECT 'position' AS kind, CAST(position AS VARCHAR) AS level, c AS condition, count(*) AS n FROM r GROUP BY 2, 3),
 pairs AS (SELECT 'predecessor' AS kind, p.c AS level, r.c AS condition, count(*) AS n
           FROM r JOIN r p ON r.o_custkey = p.o_custkey AND r.position = p.position + 1 GROUP BY 2, 3)
-SELECT * FROM pos UNION ALL SELECT * FROM pairs
+SELECT *, min(n) OVER (PARTITION BY kind) = max(n) OVER (PARTITION BY kind) AS balanced
+FROM (SELECT * FROM pos UNION ALL SELECT * FROM pairs)
 """)
 def q_counterbalance_check(spark, sf_dir):
     o = tables(spark, sf_dir).orders
@@ -196,7 +197,11 @@ def q_counterbalance_check(spark, sf_dir):
     a = pos.select(F.lit("position").alias("kind"), F.col("position").cast("string").alias("level"),
                    "condition", "n")
     b = pairs.select(F.lit("predecessor").alias("kind"), F.col("previous").alias("level"), "condition", "n")
-    return a.unionByName(b)
+    cells = a.unionByName(b)
+    # balanced when every cell of a table holds the same count (a small
+    # grouped table: one row per kind)
+    flag = cells.groupBy("kind").agg((F.min("n") == F.max("n")).alias("balanced"))
+    return cells.join(flag, "kind")
 
 
 @query("ordered_levels", section="2.8", sql="SELECT count(DISTINCT o_orderpriority) AS n_levels FROM orders")
