@@ -161,9 +161,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """Linear-interpolated quantiles per column (nulls and NaN skipped);
     extra keyword arguments go to ``order_statistics``."""
     if counts is None:
-        row = df.agg(*[F.count_if(_in_window(F.col(f"`{c}`").cast("double"), None, None)).alias(c)
-                       for c in cols]).first()
-        counts = {c: row[c] for c in cols}
+        # one pass: the counts and the first level's split proposals together
+        aggs = []
+        for c in cols:
+            aggs += [F.count_if(_in_window(F.col(f"`{c}`").cast("double"), None, None)).alias(f"{c}__n"),
+                     level0_splits(F.col(f"`{c}`"), kw.get("buckets", 256)).alias(f"{c}__s")]
+        row = df.agg(*aggs).first()
+        counts = {c: row[f"{c}__n"] for c in cols}
+        kw.setdefault("initial_splits", {c: row[f"{c}__s"] for c in cols})
     wanted = {}
     for c in cols:
         n = counts[c]
