@@ -167,11 +167,14 @@ def _evaluate(q: tuple, postings: Column, nothing: Column) -> Column:
 def candidates(index: DataFrame, queries: dict[str, tuple], id_type: str) -> DataFrame:
     """(id, kinds): the documents that a rule's query names, with the rules."""
     nothing = F.array().cast(f"array<{id_type}>")
+
+    def of(kind: str, q: tuple) -> Column:
+        docs = _evaluate(q, F.col("postings"), nothing)
+        return F.transform(docs, lambda d: F.struct(d.alias("id"), F.lit(kind).alias("kind")))
+
     lists = index.groupBy("segment").agg(
         F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("postings"))
-    named = F.concat(*[
-        F.transform(_evaluate(q, F.col("postings"), nothing), lambda d, k=k: F.struct(d.alias("id"), F.lit(k).alias("kind")))
-        for k, q in queries.items()])
+    named = F.concat(*[of(k, q) for k, q in queries.items()])
     return (lists.select(F.explode(named).alias("c")).select("c.id", "c.kind")
             .groupBy("id").agg(F.collect_set("kind").alias("kinds")))
 
@@ -242,9 +245,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_spans(rule: Rule, rank: int) -> str:
     p = rule.pattern.replace("'", "''")
     return f"""
-  SELECT rid, list_filter(list_transform(range(1, len(m) + 1), i -> {{
-      'start': list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0),
-      'rank': {rank}, 'kind': '{rule.kind}', 'size': length(m[i]), 'part': length(w[i])}}), s -> s.part >= {rule.least}) AS found
+  SELECT rid, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+      'start': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
+      'rank': {rank}, 'kind': '{rule.kind}', 'size': length(m[i]), 'part': length(w[i])}}), lambda s: s.part >= {rule.least}) AS found
   FROM (SELECT rid, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {rule.group}) AS w,
                string_split_regex(t, '{p}') AS g FROM texts)"""
 

@@ -70,11 +70,13 @@ def path_of(url: Column) -> Column:
 def _ngrams(text: Column, mark: str, lengths: tuple[int, ...]) -> Column:
     """Marked character n-grams of a text with a bound on each side."""
     letters = F.split(F.concat(F.lit("\u0002"), text, F.lit("\u0003")), "")
-    grams = []
-    for n in lengths:
-        starts = F.when(F.size(letters) >= n, F.sequence(F.lit(1), F.size(letters) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.concat(F.lit(mark), F.array_join(F.slice(letters, i, F.lit(n)), ""))))
-    return F.concat(*grams)
+
+    def of(n: int) -> Column:
+        last = F.size(letters) - (n - 1)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.array_join(F.slice(letters, i, F.lit(n)), "")))
+
+    return F.concat(*[of(n) for n in lengths])
 
 
 def features(df: DataFrame, url_col: str = "url", lengths: tuple[int, ...] = NGRAMS) -> DataFrame:
