@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kiln.llm import packing, quality, secret_scan, url_filter
+from kiln.llm import embed_dedup, packing, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
     "op2_packing": packing.query,
     "op3_url_filters": url_filter.query,
     "op4_quality_rules": quality.query,
+    "op7_embedding_near_dedup": embed_dedup.query,
 }
 
 ORACLES = {
