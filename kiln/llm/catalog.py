@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from kiln.llm import embed_dedup, mixing, packing, quality, secret_scan, url_filter
+from kiln.llm import embed_dedup, line_dedup, mixing, packing, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
     "op2_packing": packing.query,
     "op3_url_filters": url_filter.query,
     "op4_quality_rules": quality.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_embedding_near_dedup": embed_dedup.query,
     "op9_mixing": mixing.query,
 }
 
 ORACLES = {
     "op1_secret_scans": secret_scan.ORACLE_SQL,
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
