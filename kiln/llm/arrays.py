@@ -132,3 +132,51 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again[order] = same[:-1]
     twice[order] = same[:-1] | same[1:]
     return twice, again
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables that end where a group of equal keys ends, from sorted batches."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        same = np.ones(len(held), bool)
+        for k in keys:
+            column = held[k].to_numpy()
+            same &= column == column[-1]
+        cut = len(same) - int(same.sum())
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def shingles(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of ``size`` words of a row, in text order, each
+    with the number of the row's equal runs before it hashed in; a row of fewer
+    words is one run."""
+    total = len(word)
+    roll = word.copy()
+    for step in range(1, min(size, total)):
+        inside = np.flatnonzero(row[:-step] == row[step:])
+        roll[inside] = roll[inside] * _INVERSE + word[inside + step]
+    first = np.ones(total, bool)
+    first[1:] = row[1:] != row[:-1]
+    keep = np.zeros(total, bool)
+    if total >= size:
+        keep[:total - size + 1] = row[:total - size + 1] == row[size - 1:]
+    at = np.flatnonzero(keep | first)
+    value, of = mix(roll[at]), row[at]
+    key = value ^ mix(of.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    place = np.arange(len(order))
+    count = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    times = np.empty(len(order), np.uint64)
+    times[order] = count
+    return mix(value + times * _ODD), of

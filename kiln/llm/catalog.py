@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kiln.llm import embed_dedup, line_dedup, mixing, packing, quality, secret_scan, url_filter
+from kiln.llm import embed_dedup, line_dedup, mixing, order_minhash, packing, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_embedding_near_dedup": embed_dedup.query,
     "op9_mixing": mixing.query,
+    "op10_minhash_near_dedup": order_minhash.query,
 }
 
 ORACLES = {

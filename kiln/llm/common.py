@@ -53,6 +53,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def id128(*cols: Column) -> Column:
-    """Two chained 64-bit hashes of the columns: a 128-bit identity for texts."""
-    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("salt"), *cols).alias("b"))
+#: Tables of at most so many short fixed-width rows are broadcast in joins with texts.
+BROADCAST_ROWS = 400_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a stored table whose counted rows are few; otherwise let the
+    join shuffle. The count reads file footers only."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kiln.llm import arrays as A
 from kiln.llm.common import read, ship, stored
 from kiln.llm.graph import connected_components
 
@@ -172,24 +173,11 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .select("bucket", "node", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
            .join(nodes.select("node", "v", "copies"), "node"))
-    # the partitions follow the planned comparisons' size, not the session's default alone
     met = met.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            last = [held[c][-1].as_py() for c in ("bucket", "p", "q")]
-            same = (held["bucket"].to_numpy() == last[0]) & (held["p"].to_numpy() == last[1]) & (held["q"].to_numpy() == last[2])
-            cut = len(same) - int(same.sum())
-            if cut:
-                yield _compare(held.slice(0, cut).combine_chunks(), cosine, count, tables)
-                held = held.slice(cut)
-        if held is not None:
-            yield _compare(held.combine_chunks(), cosine, count, tables)
+        for group in A.whole_groups(batches, ("bucket", "p", "q")):
+            yield _compare(group, cosine, count, tables)
 
     found = stored(met.mapInArrow(compared, "a long, b long, links long"), "vector-links")
     counts = found.groupBy(F.col("a").alias("c_node")).agg(F.sum("links").alias("n"))

@@ -26,14 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.common import read, stored
+from kiln.llm.common import bounded, read, stored
 
 MIN_CHARS = 20
 #: A variant's hash is put together from hashes of blocks of this many
 #: characters, so a long line costs a block for each character, not a line.
 BLOCK = 256
-#: Tables of at most so many short fixed-width rows are broadcast in joins with texts.
-BROADCAST_ROWS = 400_000
 
 ORDER = ("id", "th", "pos")
 
@@ -57,11 +55,6 @@ def _ends(line: Column, c: Column) -> list[Column]:
     return [F.xxhash64(F.lit("first"), F.substr(line, F.lit(1), c)), F.xxhash64(F.lit("last"), F.right(line, c))]
 
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table whose counted rows are few; otherwise let the join shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def variants(line: Column, block: int = BLOCK) -> Column:
     """Structs (key, at): the line's own keys (``at`` null, one for each block)
     and one key for each character left out (``at`` its place).
@@ -98,7 +91,7 @@ def _suspects(occurrences: DataFrame) -> DataFrame:
     shared = stored(ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("end"),
                     "line-ends")
     ends = occurrences.select("h1", "h2", F.explode(F.array_compact(F.array("first", "last", "first2", "last2"))).alias("end"))
-    return ends.join(_bounded(shared), "end", "left_semi").select("h1", "h2").distinct()
+    return ends.join(bounded(shared), "end", "left_semi").select("h1", "h2").distinct()
 
 
 def _closer(lines: DataFrame) -> DataFrame:
@@ -141,11 +134,11 @@ def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
     occurrences = stored(lines.select(*ORDER, *_line_key(), first.alias("first"), last.alias("last"),
                                       other(first2).alias("first2"), other(last2).alias("last2")), "line-hashes")
     suspects = stored(_suspects(occurrences), "line-suspects")
-    texts = (lines.select(*ORDER, "line", *_line_key()).join(_bounded(suspects), ["h1", "h2"], "left_semi")
+    texts = (lines.select(*ORDER, "line", *_line_key()).join(bounded(suspects), ["h1", "h2"], "left_semi")
              .groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct(*ORDER)).alias("order")))
     near = stored(_near(stored(_closer(stored(texts, "line-texts")), "line-close")), "line-near")
     earliest = occurrences.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("order"))
-    stay = earliest.join(_bounded(near), ["h1", "h2"], "left_anti")
+    stay = earliest.join(bounded(near), ["h1", "h2"], "left_anti")
     return stay.groupBy(F.col("order.id").alias("k_id"), F.col("order.th").alias("k_th")).agg(F.collect_set("order.pos").alias("places"))
 
 
