@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kiln.llm import embed_dedup, line_dedup, mixing, order_minhash, packing, quality, secret_scan, url_filter
+from kiln.llm import embed_dedup, line_dedup, lm_score, mixing, order_minhash, packing, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
     "op2_packing": packing.query,
     "op3_url_filters": url_filter.query,
     "op4_quality_rules": quality.query,
+    "op5_lm_scoring": lm_score.query,
     "op6_line_dedup": line_dedup.query,
     "op7_embedding_near_dedup": embed_dedup.query,
     "op9_mixing": mixing.query,
