@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kiln.llm import embed_dedup, line_dedup, lm_score, mixing, order_minhash, packing, quality, secret_scan, url_filter
+from kiln.llm import embed_dedup, line_dedup, lm_score, mixing, order_minhash, packing, pii, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm_scoring": lm_score.query,
     "op6_line_dedup": line_dedup.query,
     "op7_embedding_near_dedup": embed_dedup.query,
+    "op8_pii": pii.query,
     "op9_mixing": mixing.query,
     "op10_minhash_near_dedup": order_minhash.query,
 }
