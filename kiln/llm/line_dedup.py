@@ -55,34 +55,32 @@ def _ends(line: Column, c: Column) -> list[Column]:
     return [F.xxhash64(F.lit("first"), F.substr(line, F.lit(1), c)), F.xxhash64(F.lit("last"), F.right(line, c))]
 
 
-def variants(line: Column, block: int = BLOCK) -> Column:
-    """Structs (key, at): the line's own keys (``at`` null, one for each block)
-    and one key for each character left out (``at`` its place).
+def variants(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(h1, h2, order, key, at) for every line: the line's own keys (``at`` null,
+    one for each block) and one key for each character left out (``at`` its place).
 
     A key hashes the block number, the blocks before, the block and the blocks
-    after, cut every ``block`` characters of the variant."""
-    n = F.length(line)
-    js = F.sequence(F.lit(0), F.floor(n / block).cast("int"))
-    piece = lambda start, size: F.substr(line, start, size)
-    here = F.transform(js, lambda j: F.xxhash64(piece(j * block + 1, F.lit(block))))
-    shifted = F.transform(js, lambda j: F.xxhash64(piece(j * block + 2, F.lit(block))))
-
-    def key(j: Column, middle: Column, after: Column, size: Column) -> Column:
-        rest = F.greatest(F.ceil(size / block).cast("int") - j - 1, F.lit(0))
-        return F.xxhash64(j, F.slice(here, F.lit(1), j), middle, F.slice(after, j + 2, rest), size)
-
-    own = F.transform(js, lambda j: F.struct(key(j, F.xxhash64(piece(j * block + 1, F.lit(block))), here, n).alias("key"),
-                                             F.lit(None).cast("int").alias("at")))
-
-    def without(j: Column) -> Column:
-        text = piece(j * block + 1, F.lit(block + 1))
-        last = F.least(F.lit(block), n - j * block)
-        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda t: F.struct(
-            key(j, F.xxhash64(F.concat(F.substr(text, F.lit(1), t - 1), F.substr(text, t + 1))), shifted, n - 1).alias("key"),
-            (j * block + t).alias("at")))
-
-    return F.concat(own, F.flatten(F.transform(js, without)))
+    after, cut every ``block`` characters of the variant; the hashes of the
+    other blocks are taken once for each block, before its characters."""
+    n, line, j = F.col("n"), F.col("line"), F.col("j")
+    js = F.sequence(F.lit(0), F.floor(F.length("line") / block).cast("int"))
+    piece = lambda at: F.xxhash64(F.substr(line, at, F.lit(block)))
+    hashed = lines.select("h1", "h2", "order", "line", F.length("line").alias("n"), js.alias("js"),
+                          F.transform(js, lambda k: piece(k * block + 1)).alias("here"),
+                          F.transform(js, lambda k: piece(k * block + 2)).alias("shifted"))
+    rest = lambda size: F.greatest(F.ceil(size / block).cast("int") - j - 1, F.lit(0))
+    blocks = hashed.select("*", F.explode("js").alias("j")).select(
+        "h1", "h2", "order", "n", "j", F.substr(line, j * block + 1, F.lit(block + 1)).alias("text"),
+        F.element_at("here", j + 1).alias("own"), F.xxhash64(j, F.slice("here", F.lit(1), j)).alias("before"),
+        F.xxhash64(F.slice("here", j + 2, rest(n)), n).alias("after"),
+        F.xxhash64(F.slice("shifted", j + 2, rest(n - 1)), n - 1).alias("after_cut"))
+    last = F.least(F.lit(block), n - j * block)
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(places, lambda t: F.struct(
+        F.xxhash64("before", F.xxhash64(F.concat(F.substr("text", F.lit(1), t - 1), F.substr("text", t + 1))), "after_cut").alias("key"),
+        (j * block + t).alias("at")))
+    whole = F.array(F.struct(F.xxhash64("before", "own", "after").alias("key"), F.lit(None).cast("int").alias("at")))
+    return blocks.select("h1", "h2", "order", F.explode(F.concat(whole, cut)).alias("v")).select("h1", "h2", "order", "v.key", "v.at")
 
 
 def _suspects(occurrences: DataFrame) -> DataFrame:
@@ -110,8 +108,7 @@ def _near(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier line within one edit; ``lines``
     has distinct lines with ``order``, their earliest place."""
     me = F.struct("order", "h1", "h2")
-    rows = (lines.select("h1", "h2", "order", F.explode(variants(F.col("line"))).alias("v"))
-            .select("h1", "h2", "order", "v.key", "v.at", me.alias("me")))
+    rows = variants(lines).withColumn("me", me)
     by = Window.partitionBy("key")
     own, cut = F.min(F.when(F.col("at").isNull(), F.col("me"))).over(by), F.min(F.when(F.col("at").isNotNull(), F.col("me"))).over(by)
     beside = F.min("me").over(Window.partitionBy("key", "at"))
