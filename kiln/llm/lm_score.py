@@ -63,7 +63,8 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     shift = np.zeros_like(x)
     for k in range(8):
         shift += np.log(x + k)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - shift
 
 
 def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
