@@ -26,15 +26,18 @@ def row_text(cols) -> Column:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint: row count plus bit_xor / sum of xxhash64."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    """Order-free fingerprint: row count plus bit_xor / sum of xxhash64 over
+    canonical row text (a null and its column count)."""
+    h = F.xxhash64(row_text(df.columns))
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.bit_xor(h).alias("xor_hash"),
                   F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
 def table_fingerprint_md5(df: DataFrame, cols=None) -> DataFrame:
-    """Portable variant: bit_xor of md5-derived longs over canonical row text."""
+    """Portable variant: bit_xor and sum of md5-derived longs over canonical
+    row text. The sum tells apart tables whose repeated rows cancel in the xor."""
     cols = cols or df.columns
     h = md5_bigint(row_text(cols))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"),
+                  F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))

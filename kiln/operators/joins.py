@@ -17,7 +17,8 @@ def ip_range_join(points: DataFrame, ranges: DataFrame, ip_col: str, bucket_bits
     the /(32-bucket_bits) prefixes it covers, giving an equi-join key, and
     the exact bounds are checked as the residual condition. Private and
     reserved addresses (and unparsable text) get nulls when
-    ``public_only``. Points are never dropped (left join)."""
+    ``public_only`` and stay out of the join, where they would share one
+    null key. Points are never dropped."""
     ipn = ipv4_to_long(F.col(f"`{ip_col}`"))
     pts = points.withColumn("__ipn", ipn)
     ok = is_public_ipv4(F.col("__ipn")) if public_only else F.col("__ipn").isNotNull()
@@ -26,11 +27,13 @@ def ip_range_join(points: DataFrame, ranges: DataFrame, ip_col: str, bucket_bits
     rng = ranges.withColumn("__b", F.explode(F.sequence(F.shiftright(F.col(start), bucket_bits),
                                                         F.shiftright(F.col(end), bucket_bits))))
     r = rng.alias("r")
-    j = pts.alias("p").join(r, (F.col("p.__b") == F.col("r.__b"))
-                            & F.col("p.__ipn").between(F.col(f"r.{start}"), F.col(f"r.{end}")), "left")
-    keep = [F.col(f"p.`{c}`") for c in points.columns] + [F.col(f"r.`{c}`") for c in rcols
-                                                            if c not in (start, end)]
-    return j.select(*keep)
+    j = pts.where(F.col("__b").isNotNull()).alias("p").join(
+        r, (F.col("p.__b") == F.col("r.__b")) & F.col("p.__ipn").between(F.col(f"r.{start}"), F.col(f"r.{end}")), "left")
+    mine, theirs = points.columns, [c for c in rcols if c not in (start, end)]
+    found = j.select(*[F.col(f"p.`{c}`") for c in mine], *[F.col(f"r.`{c}`") for c in theirs])
+    rest = pts.where(F.col("__b").isNull()).select(
+        *[F.col(f"`{c}`") for c in mine], *[F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in theirs])
+    return found.union(rest)
 
 
 def incremental_manifest(files: DataFrame, manifest: DataFrame, path_col: str = "path",
@@ -44,12 +47,12 @@ def incremental_manifest(files: DataFrame, manifest: DataFrame, path_col: str =
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, compare_cols=None) -> DataFrame:
     """added / removed / changed / unchanged per key: one full outer join on
-    the key with a row hash compared on both sides."""
+    the key, the compared columns held side by side (null equals null)."""
     cols = compare_cols or [c for c in new.columns if c != key]
     def h(df):
-        return df.select(F.col(key), F.xxhash64(*[F.col(c) for c in cols]).alias("h"))
+        return df.select(F.col(key), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("h"), F.lit(True).alias("here"))
     o, n = h(old).alias("o"), h(new).alias("n")
     j = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    status = (F.when(F.col("o.h").isNull(), "added").when(F.col("n.h").isNull(), "removed")
-              .when(F.col("o.h") != F.col("n.h"), "changed").otherwise("unchanged"))
+    status = (F.when(F.col("o.here").isNull(), "added").when(F.col("n.here").isNull(), "removed")
+              .when(~F.col("o.h").eqNullSafe(F.col("n.h")), "changed").otherwise("unchanged"))
     return j.select(F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key), status.alias("status"))

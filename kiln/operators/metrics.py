@@ -69,7 +69,9 @@ def classification_metrics(df: DataFrame, truth: str, pred: str, score: str | No
            "balanced_accuracy": (recall + spec) / 2, "kappa": kappa, f"f{beta:g}": fbeta,
            "brier_loss": c["brier"], "brier_skill": (1 - c["brier"] / ref) if ref else None,
            "tp": tp, "fp": fp, "tn": tn, "fn": fn}
-    hard = ranking_metrics(df, truth, pred)
+    # a 0/1 prediction is a curve through one point: its area is the balanced
+    # accuracy, its average precision two steps
+    hard = {"roc_auc": (recall + spec) / 2, "average_precision": recall * precision + (1 - recall) * base}
     out["roc_auc_hard"] = hard["roc_auc"]
     if score:
         out.update(ranking_metrics(df, truth, score))
@@ -114,8 +116,6 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, truth: str, pred: str) -> dict:
-    m = df.agg(F.avg(truth).alias("mean"), F.count(F.lit(1)).alias("n")).first()
-    r = df.agg(F.sum((F.col(truth) - F.col(pred)) ** 2).alias("sse"),
-               F.sum((F.col(truth) - F.lit(m["mean"])) ** 2).alias("sst")).first()
-    return {"rmse": math.sqrt(r["sse"] / m["n"]), "r2": 1 - r["sse"] / r["sst"] if r["sst"] else None,
-            "n": m["n"]}
+    r = df.agg(F.sum((F.col(truth) - F.col(pred)) ** 2).alias("sse"), F.var_pop(truth).alias("var"), F.count(F.lit(1)).alias("n")).first()
+    sst = (r["var"] or 0.0) * r["n"]
+    return {"rmse": math.sqrt(r["sse"] / r["n"]), "r2": 1 - r["sse"] / sst if sst else None, "n": r["n"]}

@@ -115,8 +115,3 @@ def glm(df: DataFrame, features: Sequence[str], label: str, family: str, link: s
         kw["link"] = link
     est = GeneralizedLinearRegression(labelCol=label, **kw)
     return Pipeline(stages=[assembler(features), est]).fit(df)
-
-
-def evaluators():
-    return {"rmse": RegressionEvaluator(metricName="rmse"), "r2": RegressionEvaluator(metricName="r2"),
-            "auc": BinaryClassificationEvaluator(metricName="areaUnderROC")}

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from kiln.operators.quantiles import order_statistics
 
-MAX_ONE_HOT_LEVELS = 1000
 
 
 def q(c: str) -> Column:
@@ -84,20 +83,26 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
     return {c: (r[f"{c}__m"], r[f"{c}__s"], r[f"{c}__p"], r[f"{c}__n"]) for c in cols}
 
 
+def _scaled(c: str, mean: float | None, std: float | None):
+    if not std:
+        return F.lit(None).cast("double")
+    return (q(c) - F.lit(mean)) / F.lit(std)
+
+
 def zscore_sample(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x - mean) / std with n - 1."""
+    """(x - mean) / std with n - 1; null where the column is constant."""
     m = moments(df, cols)
-    return df.withColumns({c: (q(c) - F.lit(m[c][0])) / F.lit(m[c][1]) for c in cols})
+    return df.withColumns({c: _scaled(c, m[c][0], m[c][1]) for c in cols})
 
 
 def zscore_population(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / std with n; a column holding any null becomes all null
-    (the NaN-propagating rule), so fill first."""
+    (the NaN-propagating rule), so fill first; a constant column too."""
     m = moments(df, cols)
     out = {}
     for c in cols:
         mean, _, std, nulls = m[c]
-        out[c] = (F.lit(None).cast("double") if nulls else (q(c) - F.lit(mean)) / F.lit(std))
+        out[c] = F.lit(None).cast("double") if nulls else _scaled(c, mean, std)
     return df.withColumns(out)
 
 
@@ -128,7 +133,7 @@ def winsorize_percent(df: DataFrame, cols: Sequence[str], limits=(0.05, 0.05)) -
         n = counts[c]
         if n:
             ranks[c] = {int(limits[0] * n), n - int(limits[1] * n) - 1}
-    stats = order_statistics(df, ranks, counts={c: counts[c] for c in ranks})
+    stats = order_statistics(df, ranks)
     out = {}
     for c in cols:
         n = counts[c]
@@ -140,26 +145,32 @@ def winsorize_percent(df: DataFrame, cols: Sequence[str], limits=(0.05, 0.05)) -
     return df.withColumns(out)
 
 
-def one_hot_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_ONE_HOT_LEVELS) -> dict[str, list]:
-    """Distinct non-null levels of several columns in one pass, guarded."""
+def one_hot_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Distinct non-null levels of several columns in one pass. They become
+    column names, so they are as many as the wide result has columns; for a
+    column of unbounded values use ``one_hot_long``."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("string").alias("v"))
                                          for c in cols])).alias("x")).select("x.*")
-    rows = long.where(F.col("v").isNotNull()).distinct().limit(max_levels * len(cols) + 1).collect()
+    rows = long.where(F.col("v").isNotNull()).distinct().collect()
     levels: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         levels[r["c"]].append(r["v"])
-    for c, vs in levels.items():
-        if len(vs) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels; refusing to one-hot encode")
+    for vs in levels.values():
         vs.sort()
     return levels
 
 
-def one_hot_columns(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_ONE_HOT_LEVELS,
-                    levels: Mapping[str, list] | None = None) -> DataFrame:
+def one_hot_long(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """The encoding as rows (key, feature): one row for each non-null cell,
+    ``<col>_<value>`` as in the wide form, with no level list on the driver."""
+    cells = F.array(*[F.concat(F.lit(f"{c}_"), q(c).cast("string")) for c in cols])
+    return df.select(q(key), F.explode(F.array_compact(cells)).alias("feature"))
+
+
+def one_hot_columns(df: DataFrame, cols: Sequence[str], levels: Mapping[str, list] | None = None) -> DataFrame:
     """``<col>_<value>`` 0/1 columns (tinyint), value-sorted, no level
     dropped, null -> all 0; the source columns are dropped."""
-    levels = levels or one_hot_levels(df, cols, max_levels)
+    levels = levels or one_hot_levels(df, cols)
     keep = [q(c) for c in df.columns if c not in cols]
     flags = [F.coalesce((q(c).cast("string") == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
              .alias(f"{c}_{v}") for c in cols for v in levels[c]]
@@ -170,11 +181,6 @@ def one_hot(df: DataFrame, col: str, **kw) -> DataFrame:
     return one_hot_columns(df, [col], **kw)
 
 
-def bools_to_ints(df: DataFrame) -> DataFrame:
-    from kiln.operators.relational import bools_to_ints as b2i
-    return b2i(df)
-
-
 def _numeric_or_bool(dt: T.DataType) -> bool:
     return isinstance(dt, (T.NumericType, T.BooleanType))
 

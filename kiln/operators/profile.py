@@ -160,16 +160,16 @@ def class_entropy_log_loss(df: DataFrame, label: str, multi: int = 10_000) -> Da
 def unique_value_counts(df: DataFrame, cols: Sequence[str] | None = None, max_distinct: int = 20,
                         null_token: str = "_None_") -> DataFrame:
     """Value counts for string columns with at most ``max_distinct`` values,
-    nulls reported as ``null_token``."""
+    nulls reported as ``null_token`` (a row apart from that text as a value)."""
     cols = list(cols or string_columns(df))
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                  F.coalesce(q(c), F.lit(null_token)).alias("value"))
+                                                  q(c).alias("value"))
                                          for c in cols])).alias("x")).select("x.*")
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     # distinct non-null values per column, from the grouped (small) result
-    nd = (counts.where(F.col("value") != null_token).groupBy("column_name")
+    nd = (counts.where(F.col("value").isNotNull()).groupBy("column_name")
           .agg(F.count(F.lit(1)).alias("nd")).where(F.col("nd") <= max_distinct).select("column_name"))
-    return counts.join(nd, "column_name")
+    return counts.join(nd, "column_name").withColumn("value", F.coalesce("value", F.lit(null_token)))
 
 
 def nunique_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -187,12 +187,13 @@ def top_variance_columns(df: DataFrame, n: int, cols: Sequence[str] | None = Non
 
 
 def zscore_extremes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Most negative and most positive z-score per column (population std)."""
+    """Most negative and most positive z-score per column (population std);
+    null for a constant column."""
     cols = list(cols or numeric_columns(df))
     aggs = []
     for c in cols:
-        aggs += [((F.min(q(c)) - F.avg(q(c))) / F.stddev_pop(q(c))).alias(f"{c}__zmin"),
-                 ((F.max(q(c)) - F.avg(q(c))) / F.stddev_pop(q(c))).alias(f"{c}__zmax")]
+        sd = F.nullif(F.stddev_pop(q(c)), F.lit(0.0))
+        aggs += [((F.min(q(c)) - F.avg(q(c))) / sd).alias(f"{c}__zmin"), ((F.max(q(c)) - F.avg(q(c))) / sd).alias(f"{c}__zmax")]
     row = df.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__zmin").alias("z_min"),
                              F.col(f"{c}__zmax").alias("z_max")) for c in cols])
@@ -226,6 +227,14 @@ def iqr_outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, k: floa
         .orderBy(F.desc("n_outliers"), "column_name"))
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are present; null if
+    either is constant there."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str], lower_with_diagonal: bool = True,
                       block: int = 500) -> DataFrame:
     """Pairwise-complete Pearson correlations as long rows (col_a, col_b, corr).
@@ -238,7 +247,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], lower_with_diagonal: b
     rows = []
     for s in range(0, len(pairs), block):
         chunk = pairs[s:s + block]
-        r = df.agg(*[F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"v{i}")
+        r = df.agg(*[_corr(q(a), q(b)).alias(f"v{i}")
                      for i, (a, b) in enumerate(chunk)]).first()
         rows += [(a, b, r[f"v{i}"]) for i, (a, b) in enumerate(chunk)]
     return spark.createDataFrame(rows, "col_a string, col_b string, corr double")
@@ -246,14 +255,14 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], lower_with_diagonal: b
 
 def leakage_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     c = correlation_pairs(df, cols, lower_with_diagonal=False)
-    return c.withColumn("abs_corr", F.abs("corr")).orderBy(F.desc("abs_corr"), "col_a", "col_b")
+    return c.withColumn("abs_corr", F.abs("corr")).orderBy(F.desc_nulls_last("abs_corr"), "col_a", "col_b")
 
 
 def feature_target_corr(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    long = _unpivot_row(df, [(c, "corr", F.corr(q(c).cast("double"), q(target).cast("double"))) for c in cols])
+    long = _unpivot_row(df, [(c, "corr", _corr(q(c), q(target))) for c in cols])
     return (long.select(F.col("column_name").alias("feature"), F.col("value").alias("corr"))
-            .withColumn("abs_corr", F.abs("corr")).orderBy(F.desc("abs_corr"), "feature"))
+            .withColumn("abs_corr", F.abs("corr")).orderBy(F.desc_nulls_last("abs_corr"), "feature"))
 
 
 def top_correlated_features(df: DataFrame, target: str, n: int, cols=None) -> DataFrame:

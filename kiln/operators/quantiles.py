@@ -10,20 +10,18 @@ order statistic is found by narrowing:
    ``Bucketizer`` (a binary search in the JVM) and the rows are counted per
    (window, bucket) with partial aggregation (one pass, only bucket counts
    are shuffled);
-3. the bucket holding the wanted rank becomes the next window; a window
-   whose min equals its max is resolved (a hot value needs no more work),
-   and a window of at most ``collect_limit`` rows is finished by collecting
-   its values.
+3. a rank that falls on a bucket's first or last row is that bucket's min or
+   max, and a bucket whose min equals its max resolves all its ranks (a hot
+   value needs no more work); otherwise the bucket is the next window.
 
-Each level cuts the window by ~``buckets``; the driver only ever holds
-bucket counts and at most ``collect_limit`` values per window.
+Each level cuts the window by ~``buckets``, and the driver only ever holds
+bucket counts and bounds. Values are compared as doubles.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -48,12 +46,10 @@ def level0_splits(c: Column, buckets: int = 256) -> Column:
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: int = 256,
-                     collect_limit: int = 200_000, counts: dict[str, int] | None = None,
                      initial_splits: dict[str, list] | None = None) -> dict[str, dict[int, float]]:
     """Exact k-th smallest values (0-based ranks over non-null, non-NaN
-    values) for several columns: ``{col: {rank: value}}``. ``counts`` (the
-    non-null, non-NaN count per column) and ``initial_splits`` (from
-    ``level0_splits``), when the caller already has them, each save a pass."""
+    values) for several columns: ``{col: {rank: value}}``. ``initial_splits``
+    (from ``level0_splits``), when the caller already has them, save a pass."""
     # window: (col, lo, hi, offset) -> ranks wanted inside it (absolute ranks)
     windows: dict[tuple, set[int]] = {}
     for c, ranks in wanted.items():
@@ -62,89 +58,65 @@ def order_statistics(df: DataFrame, wanted: dict[str, Iterable[int]], buckets: i
             windows[(c, None, None, 0)] = rs
     out: dict[str, dict[int, float]] = {c: {} for c in wanted}
     src = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in wanted])
-    # window sizes: counted once for the whole columns, afterwards known from
-    # the bucket counts of the previous level
-    size: dict[tuple, int] = {}
-    first = list(windows)
-    if first and counts is not None and all(k[0] in counts for k in first):
-        size = {k: counts[k[0]] for k in first}
-    elif first:
-        row = src.agg(*[F.count_if(_in_window(F.col(c), lo, hi)).alias(f"w{i}")
-                        for i, (c, lo, hi, off) in enumerate(first)]).first()
-        size = {k: row[f"w{i}"] for i, k in enumerate(first)}
     while windows:
-        keys = list(windows)
-        small = [k for k in keys if size[k] <= collect_limit]
-        large = [k for k in keys if size[k] > collect_limit]
-        if small:
-            # one scan: each row emits (window, value) for the small windows it is in
-            items = F.array(*[F.struct(F.lit(i).alias("w"),
-                                       F.when(_in_window(F.col(c), lo, hi), F.col(c)).alias("v"))
-                              for i, (c, lo, hi, off) in enumerate(small)])
-            hits = src.select(F.explode(items).alias("x")).select("x.w", "x.v").where(F.col("v").isNotNull())
-            pdf = hits.toPandas()  # Arrow transfer of at most collect_limit values per window
-            for i, k in enumerate(small):
-                c, lo, hi, off = k
-                sv = np.sort(pdf["v"].to_numpy()[pdf["w"].to_numpy() == i])
-                for rank in windows[k]:
-                    out[c][rank] = float(sv[rank - off])
+        large = list(windows)
         nxt: dict[tuple, set[int]] = {}
-        if large:
-            nb = max(2, buckets)
-            qs = [j / nb for j in range(1, nb)]
-            given = {i: initial_splits[c] for i, (c, lo, hi, off) in enumerate(large)
-                     if lo is None and hi is None and initial_splits and initial_splits.get(c)}
-            todo = [(i, k) for i, k in enumerate(large) if i not in given]
-            approx = dict(given)
-            if todo:
-                row = src.agg(*[F.percentile_approx(F.when(_in_window(F.col(c), lo, hi), F.col(c)), qs, 8 * nb)
-                                .alias(f"w{i}") for i, (c, lo, hi, off) in todo]).first()
-                approx.update({i: row[f"w{i}"] for i, _ in todo})
-            approx = {f"w{i}": v for i, v in approx.items()}
-            splits = []
-            for i, (c, lo, hi, off) in enumerate(large):
-                sp = set(approx[f"w{i}"])
-                if lo is not None and hi is not None:
-                    sp.add(lo + (hi - lo) / 2.0)  # guarantees the value range halves
-                splits.append([-math.inf] + sorted(sp) + [math.inf])
-            # bucket numbers from Spark ML's Bucketizer (binary search in the
-            # JVM); rows outside a window are null there and get no bucket
-            ins = {f"__x{i}": F.when(_in_window(F.col(c), lo, hi), F.col(c)) for i, (c, lo, hi, off) in
-                   enumerate(large)}
-            bucketed = Bucketizer(splitsArray=splits, inputCols=list(ins), handleInvalid="keep",
-                                  outputCols=[f"__b{i}" for i in range(len(large))]).transform(src.withColumns(ins))
-            # the window minimum gets a bucket of its own, so a window
-            # dominated by one value always makes progress
-            items = F.array(*[
-                F.struct(F.lit(i).alias("w"),
-                         (F.col(f"__b{i}").cast("int") if lo is None else
-                          F.when(F.col(f"__x{i}") == F.lit(lo), F.lit(-1)).otherwise(F.col(f"__b{i}").cast("int")))
-                         .alias("b"),
-                         F.col(f"__x{i}").alias("v"))
-                for i, (c, lo, hi, off) in enumerate(large)])
-            hits = (bucketed.select(F.explode(items).alias("x")).select("x.w", "x.b", "x.v")
-                    .where(F.col("v").isNotNull()))
-            stats = (hits.groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                                 F.max("v").alias("hi")).collect())
-            by_w: dict[int, list] = {}
-            for r in stats:
-                by_w.setdefault(r["w"], []).append(r)
-            for i, k in enumerate(large):
-                c, lo, hi, off = k
-                rows = sorted(by_w.get(i, []), key=lambda r: r["b"])
-                start = off
-                for r in rows:
-                    end = start + r["n"]
-                    hit = [rank for rank in windows[k] if start <= rank < end]
-                    if hit:
-                        if r["lo"] == r["hi"]:
-                            for rank in hit:
-                                out[c][rank] = r["lo"]
+        nb = max(2, buckets)
+        qs = [j / nb for j in range(1, nb)]
+        given = {i: initial_splits[c] for i, (c, lo, hi, off) in enumerate(large)
+                 if lo is None and hi is None and initial_splits and initial_splits.get(c)}
+        todo = [(i, k) for i, k in enumerate(large) if i not in given]
+        approx = dict(given)
+        if todo:
+            row = src.agg(*[F.percentile_approx(F.when(_in_window(F.col(c), lo, hi), F.col(c)), qs, 8 * nb)
+                            .alias(f"w{i}") for i, (c, lo, hi, off) in todo]).first()
+            approx.update({i: row[f"w{i}"] for i, _ in todo})
+        approx = {f"w{i}": v for i, v in approx.items()}
+        splits = []
+        for i, (c, lo, hi, off) in enumerate(large):
+            sp = set(approx[f"w{i}"])
+            if lo is not None and hi is not None:
+                sp.add(lo + (hi - lo) / 2.0)  # guarantees the value range halves
+            sp = {x for x in sp if math.isfinite(x)}
+            splits.append([-math.inf] + sorted(sp) + [math.inf])
+        # bucket numbers from Spark ML's Bucketizer (binary search in the
+        # JVM); rows outside a window are null there and get no bucket
+        ins = {f"__x{i}": F.when(_in_window(F.col(c), lo, hi), F.col(c)) for i, (c, lo, hi, off) in
+               enumerate(large)}
+        bucketed = Bucketizer(splitsArray=splits, inputCols=list(ins), handleInvalid="keep",
+                              outputCols=[f"__b{i}" for i in range(len(large))]).transform(src.withColumns(ins))
+        # the window minimum gets a bucket of its own, so a window
+        # dominated by one value always makes progress
+        items = F.array(*[
+            F.struct(F.lit(i).alias("w"),
+                     (F.col(f"__b{i}").cast("int") if lo is None else
+                      F.when(F.col(f"__x{i}") == F.lit(lo), F.lit(-1)).otherwise(F.col(f"__b{i}").cast("int")))
+                     .alias("b"),
+                     F.col(f"__x{i}").alias("v"))
+            for i, (c, lo, hi, off) in enumerate(large)])
+        hits = (bucketed.select(F.explode(items).alias("x")).select("x.w", "x.b", "x.v")
+                .where(F.col("v").isNotNull()))
+        stats = (hits.groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                             F.max("v").alias("hi")).collect())
+        by_w: dict[int, list] = {}
+        for r in stats:
+            by_w.setdefault(r["w"], []).append(r)
+        for i, k in enumerate(large):
+            c, lo, hi, off = k
+            rows = sorted(by_w.get(i, []), key=lambda r: r["b"])
+            start = off
+            for r in rows:
+                end = start + r["n"]
+                hit = [rank for rank in windows[k] if start <= rank < end]
+                if hit:
+                    for rank in hit:
+                        if rank == start or r["lo"] == r["hi"]:
+                            out[c][rank] = r["lo"]
+                        elif rank == end - 1:
+                            out[c][rank] = r["hi"]
                         else:
-                            w = (c, r["lo"], r["hi"], start)
-                            nxt.setdefault(w, set()).update(hit)
-                            size[w] = r["n"]
-                    start = end
+                            nxt.setdefault((c, r["lo"], r["hi"], start), set()).add(rank)
+                start = end
         windows = nxt
     return out
 
@@ -174,7 +146,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         n = counts[c]
         if n:
             wanted[c] = {r for p in probs for r in linear_ranks(n, p)[:2]}
-    stats = order_statistics(df, wanted, counts=counts, **kw)
+    stats = order_statistics(df, wanted, **kw)
     out: dict[str, list] = {}
     for c in cols:
         n = counts[c]

@@ -184,10 +184,6 @@ def head_rows(df: DataFrame, n: int, keys: Iterable, ascending=True) -> DataFram
 # --------------------------------------------------------------------- joins
 
 
-def join_using(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
-    """Equi-join USING(keys): one copy of each key column in the output."""
-    return left.join(right, list(keys), how)
-
 
 def anti_join_missing(expected: DataFrame, observed: DataFrame, key: str,
                       observed_key: str | None = None, case_insensitive: bool = True) -> DataFrame:

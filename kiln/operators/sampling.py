@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.operators.quantiles import order_statistics
@@ -38,24 +38,26 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
                  keep_partition: bool = False) -> DataFrame:
     """Exact 0-based position of each row in ``order_cols`` order.
 
-    Range-partitions by the key, cuts lineage with a reliable checkpoint (so
-    the partition each row is in is fixed), counts rows per partition (one
-    small row per partition reaches the driver) and numbers rows within a
-    partition from its offset. ``order_cols`` should be unique."""
+    One range exchange: the rows are sorted inside their range partition,
+    numbered there (partition id in the high bits) and written to the reliable
+    checkpoint, which fixes partition and place. One small row per partition,
+    its count, reaches the driver and gives each partition its offset.
+    ``order_cols`` should be unique."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(parts, *[_c(c) for c in order_cols])
-         .withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True))
+    keys = [_c(c) for c in order_cols]
+    s = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+         .withColumn("__at", F.monotonically_increasing_id()).checkpoint(eager=True)
+         .withColumn("__pid", F.shiftright("__at", 33).cast("int")))
     counts = sorted((r["__pid"], r["n"]) for r in s.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, run = [], 0
     for pid, n in counts:
         offsets.append((pid, run))
         run += n
     off = spark.createDataFrame(offsets, "__pid int, __off long")  # one row per partition
-    w = Window.partitionBy("__pid").orderBy(*[_c(c) for c in order_cols])
-    return (s.join(F.broadcast(off), "__pid")
-            .withColumn(name, F.col("__off") + F.row_number().over(w) - 1)
-            .drop(*(["__off"] if keep_partition else ["__pid", "__off"])))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (s.join(F.broadcast(off), "__pid").withColumn(name, F.col("__off") + place)
+            .drop("__at", *(["__off"] if keep_partition else ["__pid", "__off"])))
 
 
 def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], seed=123456,

@@ -211,22 +211,32 @@ def _cell_table(df, response, subject, factors):
     return df.groupBy(_c(subject), *[_c(f) for f in factors]).agg(F.avg(_c(response)).alias("__y"))
 
 
+def _sums_of_squares(df: DataFrame, response: str, subject: str, factors: Sequence[str],
+                     sets: Sequence[Sequence[str]]) -> tuple[int, dict[tuple, tuple[float, int]]]:
+    """(number of cells, {set: (sum of squares of its means about the grand
+    mean, number of levels)}); the set of all keys gives the total. The cells
+    are computed once, and one aggregate over grouping sets serves every set."""
+    keys = [subject, *factors]
+    cells = _cell_table(df, response, subject, factors).checkpoint(eager=True)
+    total = cells.agg(F.avg("__y").alias("g"), F.count(F.lit(1)).alias("n")).first()
+    wanted = [tuple(s) for s in sets] + [tuple(keys)]
+    means = cells.groupingSets([[_c(k) for k in s] for s in wanted], *[_c(k) for k in keys]).agg(
+        F.grouping_id().alias("__set"), F.avg("__y").alias("m"), F.count(F.lit(1)).alias("w"))
+    rows = means.groupBy("__set").agg(F.sum(F.col("w") * (F.col("m") - F.lit(total["g"])) ** 2).alias("ss"),
+                                      F.count(F.lit(1)).alias("levels")).collect()
+    by = {r["__set"]: (r["ss"], r["levels"]) for r in rows}
+    code = lambda s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+    return total["n"], {s: by[code(s)] for s in wanted}
+
+
 def rm_anova_oneway(df: DataFrame, response: str, factor: str, subject: str) -> dict:
     """Random-intercept one-way repeated-measures F test (balanced data).
 
     When the subject variance estimate is not positive the model is at its
     boundary: subject and error sums of squares are pooled into the error
     mean square, df2 kept."""
-    cells = _cell_table(df, response, subject, [factor])
-    g = cells.agg(F.avg("__y").alias("g"), F.count(F.lit(1)).alias("N")).first()
-    grand, N = g["g"], g["N"]
-    lv = cells.groupBy(_c(factor)).agg(F.avg("__y").alias("m"), F.count(F.lit(1)).alias("n"))
-    sb = cells.groupBy(_c(subject)).agg(F.avg("__y").alias("m"), F.count(F.lit(1)).alias("k"))
-    a = lv.agg(F.sum(F.col("n") * (F.col("m") - grand) ** 2).alias("ss"), F.count(F.lit(1)).alias("k")).first()
-    s = sb.agg(F.sum(F.col("k") * (F.col("m") - grand) ** 2).alias("ss"), F.count(F.lit(1)).alias("n")).first()
-    tot = cells.agg(F.sum((F.col("__y") - grand) ** 2).alias("ss")).first()["ss"]
-    k, n = a["k"], s["n"]
-    ss_a, ss_s = a["ss"], s["ss"]
+    N, ss = _sums_of_squares(df, response, subject, [factor], [[factor], [subject]])
+    (ss_a, k), (ss_s, n), (tot, _) = ss[(factor,)], ss[(subject,)], ss[(subject, factor)]
     ss_e = tot - ss_a - ss_s
     df1, df2 = k - 1, (n - 1) * (k - 1)
     ms_e, ms_s = ss_e / df2, ss_s / (n - 1)
@@ -240,19 +250,9 @@ def rm_anova_oneway(df: DataFrame, response: str, factor: str, subject: str) ->
 def rm_anova_twoway(df: DataFrame, response: str, a: str, b: str, subject: str) -> list[dict]:
     """Two within-subject factors and their interaction, one random
     intercept, df2 = (n-1)(ab-1); same boundary pooling rule."""
-    cells = _cell_table(df, response, subject, [a, b])
-    grand = cells.agg(F.avg("__y")).first()[0]
-
-    def ss_of(keys):
-        g = cells.groupBy(*[_c(k) for k in keys]).agg(F.avg("__y").alias("m"), F.count(F.lit(1)).alias("w"))
-        r = g.agg(F.sum(F.col("w") * (F.col("m") - grand) ** 2).alias("ss"), F.count(F.lit(1)).alias("l")).first()
-        return r["ss"], r["l"]
-
-    ss_a, la = ss_of([a])
-    ss_b, lb = ss_of([b])
-    ss_ab_cells, _ = ss_of([a, b])
-    ss_s, n = ss_of([subject])
-    tot = cells.agg(F.sum((F.col("__y") - grand) ** 2)).first()[0]
+    _, ss = _sums_of_squares(df, response, subject, [a, b], [[a], [b], [a, b], [subject]])
+    (ss_a, la), (ss_b, lb), (ss_ab_cells, _) = ss[(a,)], ss[(b,)], ss[(a, b)]
+    (ss_s, n), (tot, _) = ss[(subject,)], ss[(subject, a, b)]
     ss_ab = ss_ab_cells - ss_a - ss_b
     ss_e = tot - ss_a - ss_b - ss_ab - ss_s
     df_e = (n - 1) * (la * lb - 1)

@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 
 from kiln.functions.strings import split_part_or_null
 
-MAX_DISCOVERED_KEYS = 1000
-
 
 def json_to_columns(df: DataFrame, col: str, schema: T.StructType, defaults: Mapping[str, object],
                     discover: bool = True, strict: bool = True, drop_source: bool = True) -> DataFrame:
@@ -19,8 +17,9 @@ def json_to_columns(df: DataFrame, col: str, schema: T.StructType, defaults: Map
 
     Known keys are parsed with an explicit schema (malformed JSON raises when
     ``strict``) and missing values take ``defaults``. With ``discover``, keys
-    outside the schema are found with one distinct pass over the object
-    keys (bounded by MAX_DISCOVERED_KEYS) and added as string columns."""
+    outside the schema are found with one distinct pass over the object keys
+    and added as string columns, so there are as many as the result has
+    columns; a key that is already a column's name gets the suffix ``_json``."""
     opts = {"mode": "FAILFAST"} if strict else {}
     # Parse once per row: the struct goes through a one-element ``inline``
     # (a generator), so neither field extraction nor later filters on the
@@ -32,13 +31,19 @@ def json_to_columns(df: DataFrame, col: str, schema: T.StructType, defaults: Map
                     if defaults.get(f.name) is not None else field[f.name]) for f in schema.fields}
     if discover:
         known = {f.name for f in schema.fields}
-        keys = (df.select(F.explode(F.json_object_keys(F.col(col))).alias("k")).distinct()
-                .limit(MAX_DISCOVERED_KEYS + 1).collect())
-        if len(keys) > MAX_DISCOVERED_KEYS:
-            raise ValueError(f"more than {MAX_DISCOVERED_KEYS} distinct JSON keys in {col}")
-        for k in sorted(r["k"] for r in keys if r["k"] not in known):
-            out[k] = F.get_json_object(F.col(col), f"$.{k}")
-    res = df.withColumns(out).drop("__json")
+        keys = df.select(F.explode(F.json_object_keys(F.col(col))).alias("k")).distinct().collect()
+        taken = {c.lower() for c in df.columns} | {k.lower() for k in known}
+        whole = F.from_json(F.col(col), "map<string,string>").alias("__keys")
+        found = sorted(r["k"] for r in keys if r["k"] not in known)
+        if found:
+            df = df.select("*", F.inline(F.array(F.struct(whole))))
+        for k in found:
+            name = k
+            while name.lower() in taken:
+                name += "_json"
+            taken.add(name.lower())
+            out[name] = F.col("__keys")[k]
+    res = df.withColumns(out).drop("__json", "__keys")
     return res.drop(col) if drop_source else res
 
 

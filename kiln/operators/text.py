@@ -7,47 +7,24 @@ documents only, unseen terms are dropped. Frequent terms skew the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.sources.tables import spread
-
 # Fixed value: a token is a maximal run of two or more letters, digits or
 # underscores (the word-character rule, written with explicit classes).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc"),
-                     F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
-                     .alias("term"))
-
-
-def idf_fit(train: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    n = train.select(id_col).distinct().count()
-    df_t = tokens(train, id_col, text_col).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df_t.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-
-
-def tfidf_transform(docs: DataFrame, idf: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    tf = tokens(docs, id_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (w.join(norm, "doc").select(F.col("doc").alias(id_col), "term",
-                                       (F.col("w") / F.col("norm")).alias("weight")))
-
-
-def tfidf(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Fit on ``train`` (a subset of ``docs``) and transform ``docs``, with
-    one tokenization: the (doc, term) counts feed both the document
-    frequencies of the training documents and the term weights."""
-    # (doc, term) counts are read by two branches: cut lineage once (reliable
-    # checkpoint in the shared folder) instead of tokenizing the texts twice
-    tf = (tokens(spread(docs), id_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-          .checkpoint(eager=True))
-    train_ids = train.select(F.col(id_col).alias("doc")).distinct()
-    n = train_ids.count()
-    df_t = tf.join(train_ids, "doc", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def tfidf(docs: DataFrame, is_train: Column, id_col: str, text_col: str) -> DataFrame:
+    """Fit on the documents of ``docs`` where ``is_train`` holds and transform
+    all of them: the (doc, term) counts carry the flag, so one tokenization
+    feeds both the document frequencies and the term weights."""
+    flagged = docs.select(F.col(id_col).alias("doc"), is_train.alias("train"), F.col(text_col).alias("text"))
+    n = flagged.where("train").select("doc").distinct().count()
+    # read by two branches: cut lineage once (reliable checkpoint in the shared folder)
+    terms = flagged.select("doc", "train", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0)).alias("term"))
+    tf = terms.groupBy("doc", "train", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
+    df_t = tf.where("train").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_t.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     # the norm is a window over one document's terms (bounded by its length)

@@ -163,8 +163,7 @@ SELECT doc AS doc_id, term, round(w / norm, 6) AS weight FROM w JOIN nm USING (d
 """)
 def q_tfidf(spark, sf_dir):
     d = tables(spark, sf_dir).documents.select("doc_id", "text")
-    train = SM.train_test_split(d, ["doc_id"], 0.2).where(F.col("split") == "train")
-    return rounded(TX.tfidf(d, train, "doc_id", "text"))
+    return rounded(TX.tfidf(d, SM.hash_unit(123456, "doc_id") >= 0.2, "doc_id", "text"))
 
 
 # ------------------------------------------------------------------ models

@@ -429,7 +429,7 @@ def q_conn_prep_legacy(spark, sf_dir):
     c = c.withColumn("is_cc", O.label_in("label", ["Malicious   C&C"])) \
          .withColumn("is_tunneled", F.col("tunnel_parents").isNotNull())
     rng = S.ip_ranges(t).withColumnRenamed("country", "resp_country").withColumnRenamed("asn", "resp_asn")
-    c = ip_range_join(c, rng, "id.resp_h", bucket_bits=24)
+    c = ip_range_join(c, rng, "id.resp_h")
     c = c.select("ts", "duration", "orig_bytes", "resp_bytes", "`id.orig_p`", "`id.resp_p`", "is_tunneled",
                  "resp_country", "resp_asn", "proto", "is_cc")
     c = P.one_hot(c, "proto")

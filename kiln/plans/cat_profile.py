@@ -81,12 +81,12 @@ TEXT_SQL = """
 txt AS (SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
                CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'False' END AS c_positive,
                strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate
-        FROM customer JOIN orders ON o_orderkey = c_custkey)"""
+        FROM customer JOIN orders ON o_custkey = c_custkey)"""
 
 
 def _text_view(t):
     c, o = t.customer, t.orders
-    return c.join(o, o.o_orderkey == c.c_custkey).select(
+    return c.join(o, o.o_custkey == c.c_custkey).select(
         F.col("c_custkey").cast("string").alias("c_custkey"), "c_name",
         F.col("c_acctbal").cast("string").alias("c_acctbal"),
         F.when(F.col("c_acctbal") > 0, "true").otherwise("False").alias("c_positive"),

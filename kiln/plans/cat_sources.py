@@ -39,7 +39,8 @@ WITH {CONN_CTE} SELECT {', '.join(f'"{c}"' for c in CONN_COLS)} FROM conn
 def q_read_conn_log(spark, sf_dir):
     conn = S.conn_log(tables(spark, sf_dir))
     path = scratch_path(spark, "conn-log")
-    (conn.repartition(4).write.option("header", True).option("sep", "|").option("nullValue", "-")
+    # gzip files cannot be split: as many files as the rows' size asks for
+    (conn.hint("rebalance").write.option("header", True).option("sep", "|").option("nullValue", "-")
      .option("compression", "gzip").csv(path))
     return FL.read_conn_log(spark, f"{path}/*.csv.gz", conn.schema, CONN_COLS)
 
@@ -48,13 +49,9 @@ def q_read_conn_log(spark, sf_dir):
 def q_concat_files(spark, sf_dir):
     e = tables(spark, sf_dir).events
     root = scratch_path(spark, "events-by-type")
-    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # a handful of event types
-    paths = []
-    for k in kinds:
-        p = f"{root}/{k}"
-        e.where(F.col("event_type") == k).write.parquet(p)
-        paths.append(p)
-    return FL.concat_files(spark, paths, "parquet")
+    # one pass writes a folder for each event type, a null type included
+    e.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(root)
+    return FL.concat_files(spark, [f"{root}/kind=*"], "parquet")
 
 
 LISTING_SCHEMA = T.StructType([T.StructField("data", T.StructType([
@@ -124,18 +121,17 @@ RUN_COLS = ["run", "l_returnflag", "n_rows", "total_quantity"]
 
 
 @query("append_run_history", section="2.1", sql="""
-SELECT CAST(r.run AS VARCHAR) AS run, l_returnflag, CAST(count(*) AS VARCHAR) AS n_rows,
+SELECT CAST(row_number() OVER (ORDER BY l_returnflag) AS VARCHAR) AS run, l_returnflag, CAST(count(*) AS VARCHAR) AS n_rows,
        CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS total_quantity
-FROM lineitem JOIN (VALUES (1, 'A'), (2, 'N'), (3, 'R')) r(run, flag) ON l_returnflag = r.flag
-GROUP BY r.run, l_returnflag
+FROM lineitem GROUP BY l_returnflag
 """)
 def q_append_run_history(spark, sf_dir):
     li = tables(spark, sf_dir).lineitem
     path = scratch_path(spark, "history")
-    for run, flag in enumerate(["A", "N", "R"], start=1):  # one run per return flag
-        m = (li.where(F.col("l_returnflag") == flag).groupBy("l_returnflag")
-             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").cast("long").alias("total_quantity"))
-             .withColumn("run", F.lit(run)))
+    totals = (li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"),
+                                              F.sum("l_quantity").cast("long").alias("total_quantity")).collect())
+    for run, r in enumerate(sorted(totals, key=lambda r: r[0]), start=1):  # one run per return flag (a bounded domain)
+        m = spark.createDataFrame([(*r, run)], "l_returnflag string, n_rows long, total_quantity long, run int")
         SK.append_run_history(m, path, RUN_COLS)
     return SK.read_run_history(spark, path, RUN_COLS)
 
@@ -143,7 +139,8 @@ def q_append_run_history(spark, sf_dir):
 def _lineitem_files(spark, sf_dir):
     li = tables(spark, sf_dir).lineitem
     src = scratch_path(spark, "lineitem-files")
-    li.repartition(6, "l_returnflag", "l_linestatus").write.parquet(src)
+    # files of bounded rows arrive one after another, more of them as the table grows
+    li.write.option("maxRecordsPerFile", 20_000).parquet(src)
     return li, src
 
 
@@ -187,7 +184,7 @@ def q_stream_score(spark, sf_dir):
     feats = [c for c in train.columns if c != CP.LABEL]
     model = ML.fit_gbt_classifier(train, [f"`{f}`" if "." in f else f for f in feats], CP.LABEL, max_iter=20)
     src = scratch_path(spark, "conn-arrivals")
-    conn.repartition(4).write.parquet(src)
+    conn.write.option("maxRecordsPerFile", 20_000).parquet(src)
     sink = scratch_path(spark, "conn-scores")
     out = CH.score_stream(spark, src, conn.schema, lambda s: CP.apply(s, consts), model, sink)
     return out.select(CP.LABEL, "prediction")

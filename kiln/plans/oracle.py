@@ -26,7 +26,7 @@ dim_vulnerability AS (
          p_size % 4 AS exploits,
          CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'L' WHEN p_type = 'PROMO' THEN 'A' ELSE 'N' END
            AS cvss_access_vector_id
-  FROM part WHERE p_size > 2),
+  FROM part),
 dim_vulnerability_reference AS (
   SELECT DISTINCT l_partkey AS vulnerability_id,
          CASE WHEN l_returnflag = 'R' THEN 'CVE' ELSE 'BID' END AS source,
@@ -191,7 +191,8 @@ expected AS (
                                                              substr(h, 7, 2), substr(h, 9, 2), substr(h, 11, 2)))
               ELSE lower(concat_ws(':', substr(h, 1, 2), substr(h, 3, 2), substr(h, 5, 2), substr(h, 7, 2),
                                    substr(h, 9, 2), substr(h, 11, 2))) END AS mac,
-         '10.0.' || CAST(s_suppkey % 4 AS VARCHAR) || '.' || CAST((s_suppkey // 4) % 150 + 100 AS VARCHAR) AS ip,
+         CAST((s_suppkey // 16777216) % 100 + 10 AS VARCHAR) || '.' || CAST((s_suppkey // 65536) % 256 AS VARCHAR) || '.' ||
+           CAST((s_suppkey // 256) % 256 AS VARCHAR) || '.' || CAST(s_suppkey % 256 AS VARCHAR) AS ip,
          lower(replace(s_name, '#', '')) || '.corp.example.com' AS fqdn,
          s_acctbal, s_nationkey
   FROM hx),

@@ -76,8 +76,13 @@ def exploit_method(t: Tables) -> DataFrame:
     """Access vector LEFT JOIN vulnerability: one row per (vector, vulnerability)."""
     dcav = S.dim_cvss_access_vector(t)
     dv = S.dim_vulnerability(t).select("vulnerability_id", "cvss_access_vector_id")
-    return dcav.join(dv, dcav.type_id == dv.cvss_access_vector_id, "left").select(
-        "type_id", "description", "vulnerability_id")
+    # a left join would gather the vulnerabilities by their few vectors; an
+    # inner join lets the small side be broadcast, and the vectors without a
+    # vulnerability are added by themselves
+    found = dv.join(dcav, dcav.type_id == dv.cvss_access_vector_id).select("type_id", "description", "vulnerability_id")
+    used = dv.select(F.col("cvss_access_vector_id").alias("type_id")).distinct()
+    return found.unionByName(dcav.join(used, "type_id", "left_anti").select(
+        "type_id", "description", F.lit(None).cast(dv.schema["vulnerability_id"].dataType).alias("vulnerability_id")))
 
 
 def risk_score_report(t: Tables) -> DataFrame:

@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.sources.tables import Tables, spread
+from kiln.sources.tables import Tables
 
 # ------------------------------------------------------ vulnerability warehouse
 
 
 def dim_vulnerability(t: Tables) -> DataFrame:
     p = t.part
-    return p.where(F.col("p_size") > 2).select(
+    return p.select(
         F.col("p_partkey").alias("vulnerability_id"),
         (F.col("p_size") / F.lit(5.3)).alias("cvss_score"),
         F.when(F.col("p_size") >= 40, "Critical").when(F.col("p_size") >= 25, "Severe")
@@ -206,7 +206,7 @@ def emails(t: Tables) -> DataFrame:
 def conn_log(t: Tables) -> DataFrame:
     """Connection records (the log's columns, dotted names included) from
     ``events``: one connection per event."""
-    e = spread(t.events)
+    e = t.events
     et = F.col("event_type")
     eid, uid = F.col("event_id"), F.col("user_id")
     resp_p = (F.when(et == "view", 80).when(et == "click", 443).when(et == "purchase", 8443)
@@ -250,8 +250,9 @@ def expected_hosts(t: Tables) -> DataFrame:
            .otherwise(F.lower(F.concat_ws(":", *pairs))))
     return s.select(
         F.col("s_suppkey").alias("host_id"), mac.alias("mac"),
-        F.concat(F.lit("10.0."), (F.col("s_suppkey") % 4).cast("string"), F.lit("."),
-                 (F.expr("s_suppkey div 4") % 150 + 100).cast("string")).alias("ip"),
+        # one address for each supplier, as far as four octets reach
+        F.concat_ws(".", (F.expr("s_suppkey div 16777216") % 100 + 10).cast("string"), (F.expr("s_suppkey div 65536") % 256).cast("string"),
+                    (F.expr("s_suppkey div 256") % 256).cast("string"), (F.col("s_suppkey") % 256).cast("string")).alias("ip"),
         F.concat(F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit(""))), F.lit(".corp.example.com"))
          .alias("fqdn"))
 
@@ -301,7 +302,7 @@ def document_ips(t: Tables) -> DataFrame:
 def opportunities(t: Tables) -> DataFrame:
     """Sales opportunities: one per order, with the CRM's column names, a
     JSON formula column and a pipe-delimited product."""
-    o, c, n, r = spread(t.orders), t.customer, t.nation, t.region
+    o, c, n, r = t.orders, t.customer, t.nation, t.region
     j = (o.join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey)
          .join(r, n.n_regionkey == r.r_regionkey))

@@ -53,8 +53,3 @@ def snapshot_table(df: DataFrame, name: str, path: str | None = None) -> DataFra
     path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def write_options(df: DataFrame, path: str, fmt: str, options: Mapping[str, str], mode="overwrite") -> str:
-    df.write.mode(mode).format(fmt).options(**options).save(path)
-    return path

@@ -31,12 +31,3 @@ class Tables:
         if name not in self._cache:
             self._cache[name] = read_table(self.spark, self.sf_dir, name)
         return self._cache[name]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows when the input has fewer partitions than the
-    cluster runs tasks in parallel (a few large files), so expensive per-row
-    work (tokenizing whole texts, markup stripping) uses every core. On a
-    well-partitioned input this is a no-op and adds no shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -30,12 +30,3 @@ def test_queries_pin_utc(spark):
         assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
-def test_spread_only_repartitions_thin_inputs(spark):
-    from kiln.sources.tables import spread
-    par = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=par)
-    thin = spark.range(0, 1000, numPartitions=1)
-    assert spread(wide) is wide
-    assert spread(thin).rdd.getNumPartitions() == par

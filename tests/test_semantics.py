@@ -2,11 +2,16 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kiln.functions import hashing as FH
 from kiln.functions import net as FN
 from kiln.functions import strings as FS
 from kiln.functions import timefn as FT
+from kiln.operators import joins as J
 from kiln.operators import prep as P
+from kiln.operators import profile as PR
+from kiln.operators import quantiles as QT
 from kiln.operators import relational as O
 from kiln.operators import structured as ST
 
@@ -117,10 +122,66 @@ def test_one_hot_null_is_all_zero(spark):
     assert [tuple(r) for r in out] == [(1, 0), (0, 0), (0, 1)]
 
 
-def test_one_hot_level_guard(spark):
-    df = spark.range(30).select(F.col("id").cast("string").alias("v"))
-    with pytest.raises(ValueError):
-        P.one_hot(df, "v", max_levels=10)
+def test_one_hot_has_no_level_limit(spark):
+    df = spark.range(1200).select("id", F.col("id").cast("string").alias("v"))
+    wide = P.one_hot(df, "v")
+    assert len(wide.columns) == 1201
+    assert wide.where("id = 7").select("v_7", "v_8").first() == (1, 0)
+    assert P.one_hot_long(df, "id", ["v"]).where("id = 7").collect() == [(7, "v_7")]
+
+
+def test_constant_columns_give_null_not_an_error(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 1.0), (2.0, 5.0, 4.0), (3.0, 5.0, 9.0)], "a double, k double, t double")
+    assert [r.k for r in P.zscore_sample(df, ["a", "k"]).collect()] == [None] * 3
+    assert [r.k for r in P.zscore_population(df, ["k"]).collect()] == [None] * 3
+    z = {r.column_name: r.z_min for r in PR.zscore_extremes(df).collect()}
+    assert z["k"] is None and z["a"] < 0
+    corr = PR.feature_target_corr(df, "t").collect()
+    assert [r.feature for r in corr] == ["a", "k"] and corr[1].corr is None
+    pairs = {(r.col_a, r.col_b): r.corr for r in PR.correlation_pairs(df, ["a", "k", "t"]).collect()}
+    assert pairs["k", "a"] is None and abs(pairs["a", "a"] - 1) < 1e-12
+    assert PR.drop_low_corr_features(df, "t", 0.5).columns == ["a", "t"]
+
+
+def test_snapshot_diff_tells_nulls_apart(spark):
+    old = spark.createDataFrame([(1, "a", None), (2, "x", "y"), (3, None, None)], "k int, p string, q string")
+    new = spark.createDataFrame([(1, None, "a"), (2, "x", "y"), (4, None, None)], "k int, p string, q string")
+    got = {r.k: r.status for r in J.snapshot_diff(old, new, "k").collect()}
+    assert got == {1: "changed", 2: "unchanged", 3: "removed", 4: "added"}
+
+
+def test_fingerprints_tell_repeated_and_null_rows_apart(spark):
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    for f in (FH.table_fingerprint, FH.table_fingerprint_md5):
+        assert f(one(1, 1, 3)).first() != f(one(2, 2, 3)).first()
+        assert f(one(3, 1, 2)).first() == f(one(1, 2, 3)).first()
+        two = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string")
+        assert f(two("x", None)).first() != f(two(None, "x")).first()
+
+
+def test_json_keys_with_dots_clashes_and_no_limit(spark):
+    wide = "{" + ", ".join(f'"k{i}": {i}' for i in range(1100)) + "}"
+    df = spark.createDataFrame([('{"a": "1", "b.c": "2", "x": "3"}', "old"), (wide, "w")], "j string, x string")
+    out = ST.json_to_columns(df, "j", T.StructType([T.StructField("a", T.StringType())]), {})
+    assert len(out.columns) == 1 + 1 + 2 + 1100
+    r = out.where("x = 'old'").first()
+    assert r["b.c"] == "2" and r["x_json"] == "3" and r["x"] == "old" and r["k7"] is None
+
+
+def test_none_text_and_null_are_two_values(spark):
+    df = spark.createDataFrame([("_None_",), (None,), ("v",)], "s string")
+    got = sorted((r.value, r.n) for r in PR.unique_value_counts(df).collect())
+    assert got == [("_None_", 1), ("_None_", 1), ("v", 1)]
+
+
+def test_order_statistics_bring_no_values_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as D
+    monkeypatch.setattr(D, "toPandas", lambda self: pytest.fail("values reached the driver"))
+    sizes, collect = [], D.collect
+    monkeypatch.setattr(D, "collect", lambda self: (lambda rows: sizes.append(len(rows)) or rows)(collect(self)))
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).cast("double").alias("v"))
+    assert QT.order_statistics(df, {"v": [0, 17, 2500, 4999]}, buckets=16)["v"] == {0: 0.0, 17: 17.0, 2500: 2500.0, 4999: 4999.0}
+    assert max(sizes) <= 16 * 8  # bucket counts only
 
 
 def test_assert_trainable(spark):
