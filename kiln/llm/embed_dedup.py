@@ -7,8 +7,10 @@ bucket of more than ``BLOCK`` nodes is cut into blocks and compared block
 against block, each in its own group; pairs are counted inside the group, in
 the first table in which they meet, and only counts and one link per node leave.
 
-With 14 planes and 32 tables a pair at cosine 0.95 meets with probability
-0.9997, and closer pairs more surely.
+The number of planes follows the number of nodes, so that a bucket holds a
+handful of unrelated ones at every size, and the number of tables follows the
+planes, so that a pair at the wanted cosine meets with probability ``RECALL``,
+and closer pairs more surely (14 planes, 32 tables for 50,000 nodes at 0.95).
 
 Defined cases: a vector that is null, empty or zero, or holds null, infinite or
 NaN components, has no links and is its own component; vectors of different
@@ -19,6 +21,7 @@ table gives an empty result; other columns are neither read nor used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +29,33 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kiln.llm import arrays as A
 from kiln.llm.common import read, ship, stored
 from kiln.llm.graph import connected_components
 
 COSINE = 0.95
-PLANES, TABLES = 14, 32
+#: Least probability that a pair at the wanted cosine shares a bucket.
+RECALL = 0.9997
+#: Unrelated nodes that a bucket is planned to hold.
+CROWD = 4
 #: Nodes of a bucket that one task compares with each other.
 BLOCK = 1024
 
 
-def planes(size: int, count: int = PLANES, tables: int = TABLES) -> np.ndarray:
+def plan(nodes: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """(planes, tables) for a number of nodes."""
+    count = max(8, math.ceil(math.log2(max(nodes, 1) / CROWD)))
+    meet = (1 - math.acos(cosine) / math.pi) ** count
+    return count, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def planes(size: int, count: int, tables: int) -> np.ndarray:
     return np.random.default_rng(7919 + size).standard_normal((size, tables * count))
 
 
-def signatures(vectors: np.ndarray, count: int = PLANES, tables: int = TABLES) -> np.ndarray:
+def signatures(vectors: np.ndarray, count: int, tables: int) -> np.ndarray:
     """One hash per vector and table."""
     signs = (vectors @ planes(vectors.shape[1], count, tables) > 0).reshape(len(vectors), tables, count)
     return (signs * (1 << np.arange(count))).sum(2)
@@ -62,12 +76,12 @@ def _usable(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows[good], m[good]
 
 
-def _units(raw: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors) by length, from binary float64 columns."""
+def _units(raw: pa.Array, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors in double precision) by length, from binary columns of ``kind``."""
     sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False)
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
-        m = np.frombuffer(b"".join(raw.take(pa.array(rows)).to_pylist()), np.float64).reshape(len(rows), -1)
+        m = np.frombuffer(b"".join(raw.take(pa.array(rows)).to_pylist()), kind).reshape(len(rows), -1).astype(np.float64)
         m = m / np.abs(m).max(1, keepdims=True)
         yield rows, m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -98,7 +112,7 @@ def _pairs(run: np.ndarray, block: np.ndarray, inside: np.ndarray, m: np.ndarray
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _compare(group: pa.Table, cosine: float, count: int, tables: int) -> pa.RecordBatch:
+def _compare(group: pa.Table, kind: str, cosine: float, count: int, tables: int) -> pa.RecordBatch:
     """(a, b, links): the links counted for node a, or a link from a to b."""
     node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
     block, inside = group["block"].to_numpy(), group["p"].to_numpy() == group["q"].to_numpy()
@@ -106,7 +120,7 @@ def _compare(group: pa.Table, cosine: float, count: int, tables: int) -> pa.Reco
     run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
     table = (key[:, 0] >> count) % tables
     parts = []
-    for rows, m in _units(group["v"].combine_chunks()):
+    for rows, m in _units(group["v"].combine_chunks(), kind):
         i, j = _pairs(run[rows], block[rows], inside[rows], m, cosine)
         if not len(i):
             continue
@@ -135,31 +149,35 @@ def _compare(group: pa.Table, cosine: float, count: int, tables: int) -> pa.Reco
 
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
-         count: int = PLANES, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+         recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_links, component_id (least id of the
     component) and kept (whether that is the row's own id)."""
     spark = vectors.sparkSession
     ship(spark)
     picked = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    kind = picked.schema["id"].dataType.simpleString()
+    id_kind = picked.schema["id"].dataType.simpleString()
+    # single-precision input is carried as it is; all sums are in double precision
+    kind = "<f4" if picked.schema["vector"].dataType == T.ArrayType(T.FloatType()) else "<f8"
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes | None] = [None] * batch.num_rows
             for rows, m in _usable(batch.column("vector")):
                 for r, x in zip(rows, m + 0.0):  # + 0.0: a negative zero is a zero
-                    out[r] = x.tobytes()
+                    out[r] = x.astype(kind).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "v"])
 
-    rows = stored(picked.mapInArrow(raw, f"id {kind}, v binary")
+    rows = stored(picked.mapInArrow(raw, f"id {id_kind}, v binary")
                   .select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("salt"), "v").alias("h2")), "vectors")
     nodes = stored(rows.where("v IS NOT NULL").groupBy("h1", "h2")
                    .agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
                    .withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
 
+    count, tables = plan(nodes.count(), cosine, recall)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, m in _units(batch.column("v")) if batch.num_rows else ():
+            for part, m in _units(batch.column("v"), kind) if batch.num_rows else ():
                 key = (signatures(m, count, tables) + (np.arange(tables) << count)
                        + (m.shape[1] * tables << count))
                 node = batch.column("node").to_numpy()[part]
@@ -177,7 +195,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in A.whole_groups(batches, ("bucket", "p", "q")):
-            yield _compare(group, cosine, count, tables)
+            yield _compare(group, kind, cosine, count, tables)
 
     found = stored(met.mapInArrow(compared, "a long, b long, links long"), "vector-links")
     counts = found.groupBy(F.col("a").alias("c_node")).agg(F.sum("links").alias("n"))
