@@ -31,7 +31,7 @@ WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "lang": {"en": 6, "de": 3, "fr
 #: The budget in per cent of all tokens, and how often a document may be taken.
 PERCENT, EPOCHS = 80, 2
 #: Hex digits of the order hash that number the buckets of a leaf.
-DIGITS = 4
+DIGITS = 3
 LEVELS = ("domain", "lang", "source")
 KEYS = ("k1", "k2", "k3")
 
