@@ -30,6 +30,28 @@ def _design(t):
                      F.col("l_quantity").alias("y"))
 
 
+def _f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """P(F > f) by the midpoint rule: the beta integral with t = 1 - w^2."""
+    a, b = f"(({d2}) / 2.0)", f"(({d1}) / 2.0)"
+    w0 = f"sqrt(({d1}) * ({f}) / (({d2}) + ({d1}) * ({f})))"
+    w = f"({w0} + (1 - {w0}) * (list_i + 0.5) / 100000)"
+    return (f"(SELECT 2 * (1 - {w0}) / 100000 * sum(exp(({a} - 1) * ln(1 - {w} * {w}) + (2 * {b} - 1) * ln({w}) "
+            f"+ lgamma({a} + {b}) - lgamma({a}) - lgamma({b}))) FROM range(100000) steps(list_i))")
+
+
+def _normal_tail_sql(z: str) -> str:
+    """P(|Z| > |z|) by the midpoint rule over the next 12 deviations."""
+    return (f"(SELECT 2 * 12.0 / 100000 * sum(exp(-0.5 * pow(abs({z}) + 12.0 * (list_i + 0.5) / 100000, 2))) / sqrt(2 * pi()) "
+            "FROM range(100000) steps(list_i))")
+
+
+def _holm_sql(rows: str, columns: str, key: str) -> str:
+    """Holm over the rows of a short table with a column p."""
+    return f"""
+SELECT {columns}, round(p, 6) AS p, round(least(1.0, max((m - rn + 1) * p) OVER (ORDER BY p, {key} ROWS UNBOUNDED PRECEDING)), 6) AS p_holm
+FROM (SELECT *, row_number() OVER (ORDER BY p, {key}) AS rn, count(*) OVER () AS m FROM {rows})"""
+
+
 ONEWAY_SQL = """
 WITH d AS (SELECT l_suppkey AS s, l_returnflag AS a, l_quantity AS y FROM lineitem),
 full_s AS (SELECT s FROM d GROUP BY s HAVING count(DISTINCT a) = (SELECT count(DISTINCT a) FROM d)),
@@ -58,13 +80,15 @@ def _oneway(spark, sf_dir):
     return d, ST.rm_anova_oneway(d, "y", "flag", "subject")
 
 
-@query("rm_anova_oneway", section="2.8", sql=ONEWAY_SQL)
+@query("rm_anova_oneway", section="2.8", sql=f"""
+WITH a AS ({ONEWAY_SQL}) SELECT *, round({_f_tail_sql('f', 'df1', 'df2')}, 6) AS p FROM a
+""")
 def q_rm_anova_oneway(spark, sf_dir):
     _, r = _oneway(spark, sf_dir)
     return rounded(spark.createDataFrame(
-        [tuple(r[c] for c in ONEWAY_COLS)],
+        [tuple(r[c] for c in ONEWAY_COLS) + (ST.f_sf(round(r["f"], 6), r["df1"], r["df2"]),)],
         "n_subjects long, n_levels long, ss_factor double, ss_subject double, ss_error double, df1 long, "
-        "df2 long, pooled boolean, ms_error double, f double"))
+        "df2 long, pooled boolean, ms_error double, f double, p double"))
 
 
 @query("pairwise_tukey_z", section="2.8", sql=f"""
@@ -72,18 +96,22 @@ WITH a AS ({ONEWAY_SQL}),
 d AS (SELECT l_suppkey AS s, l_returnflag AS a, l_quantity AS y FROM lineitem),
 full_s AS (SELECT s FROM d GROUP BY s HAVING count(DISTINCT a) = (SELECT count(DISTINCT a) FROM d)),
 cells AS (SELECT s, a, avg(y) AS y FROM d WHERE s IN (SELECT s FROM full_s) GROUP BY 1, 2),
-lv AS (SELECT a, avg(y) AS m, count(*) AS n FROM cells GROUP BY a)
-SELECT x.a AS level_a, y.a AS level_b, round(x.m - y.m, 6) AS diff,
+lv AS (SELECT a, avg(y) AS m, count(*) AS n FROM cells GROUP BY a),
+pair AS (SELECT x.a AS level_a, y.a AS level_b, round(x.m - y.m, 6) AS diff,
        round(sqrt(2 * (SELECT ms_error FROM a) / x.n), 6) AS se,
        round((x.m - y.m) / sqrt(2 * (SELECT ms_error FROM a) / x.n), 4) AS z
-FROM lv x JOIN lv y ON x.a < y.a
+FROM lv x JOIN lv y ON x.a < y.a),
+tail AS (SELECT *, {_normal_tail_sql('z')} AS p FROM pair)
+{_holm_sql('tail', 'level_a, level_b, diff, se, z', 'level_a, level_b')}
 """)
 def q_pairwise_tukey_z(spark, sf_dir):
     d, r = _oneway(spark, sf_dir)
     ms = round(r["ms_error"], 6)  # the oracle carries the rounded mean square
     rows = ST.pairwise_z(d, "y", "flag", "subject", ms)
-    df = spark.createDataFrame([(x["level_a"], x["level_b"], x["diff"], x["se"], x["z"]) for x in rows],
-                               "level_a string, level_b string, diff double, se double, z double")
+    ps = [ST.norm_sf2(round(x["z"], 4)) for x in rows]
+    df = spark.createDataFrame([(x["level_a"], x["level_b"], x["diff"], x["se"], x["z"], p, h)
+                                for x, p, h in zip(rows, ps, ST.holm_list(ps))],
+                               "level_a string, level_b string, diff double, se double, z double, p double, p_holm double")
     return rounded(df).withColumn("z", F.round("z", 4))
 
 
@@ -113,23 +141,27 @@ m AS (SELECT *, ss_s / (n - 1) <= ss_e / df_e AS pooled,
 WITH {TWOWAY_CTES},
 eff AS (SELECT 'status' AS effect, sa.ss AS ss, sa.l - 1 AS df1 FROM sa
         UNION ALL SELECT 'band', sb.ss, sb.l - 1 FROM sb
-        UNION ALL SELECT 'status:band', sab.ss - sa.ss - sb.ss, (sa.l - 1) * (sb.l - 1) FROM sa, sb, sab)
-SELECT effect, round(ss, 6) AS ss, df1, df_e AS df2, pooled, round(ms_err, 6) AS ms_error,
-       round((ss / df1) / ms_err, 6) AS f FROM eff, m
+        UNION ALL SELECT 'status:band', sab.ss - sa.ss - sb.ss, (sa.l - 1) * (sb.l - 1) FROM sa, sb, sab),
+r AS (SELECT effect, round(ss, 6) AS ss, df1, df_e AS df2, pooled, round(ms_err, 6) AS ms_error,
+       round((ss / df1) / ms_err, 6) AS f FROM eff, m)
+SELECT *, round({_f_tail_sql('f', 'df1', 'df2')}, 6) AS p FROM r
 """)
 def q_rm_anova_twoway(spark, sf_dir):
     _, rows = _twoway(spark, sf_dir)
     return rounded(spark.createDataFrame(
-        [(r["effect"], r["ss"], r["df1"], r["df2"], r["pooled"], r["ms_error"], r["f"]) for r in rows],
-        "effect string, ss double, df1 long, df2 long, pooled boolean, ms_error double, f double"))
+        [(r["effect"], r["ss"], r["df1"], r["df2"], r["pooled"], r["ms_error"], r["f"],
+          ST.f_sf(round(r["f"], 6), r["df1"], r["df2"])) for r in rows],
+        "effect string, ss double, df1 long, df2 long, pooled boolean, ms_error double, f double, p double"))
 
 
 @query("planned_contrasts_t", section="2.8", sql=f"""
 WITH {TWOWAY_CTES},
-cm AS (SELECT a, b, avg(y) AS m, count(*) AS n FROM cells GROUP BY a, b)
-SELECT x.a AS status, round(x.m - y.m, 6) AS diff,
+cm AS (SELECT a, b, avg(y) AS m, count(*) AS n FROM cells GROUP BY a, b),
+r AS (SELECT x.a AS status, round(x.m - y.m, 6) AS diff,
        round((x.m - y.m) / sqrt(2 * round((SELECT ms_err FROM m), 6) / x.n), 4) AS t, (SELECT df_e FROM m) AS df
-FROM cm x JOIN cm y ON x.a = y.a AND x.b = 'hi' AND y.b = 'lo'
+FROM cm x JOIN cm y ON x.a = y.a AND x.b = 'hi' AND y.b = 'lo'),
+tail AS (SELECT *, {_f_tail_sql('t * t', '1', 'df')} AS p FROM r)
+{_holm_sql('tail', 'status, diff, t, df', 'status')}
 """)
 def q_planned_contrasts_t(spark, sf_dir):
     d, rows = _twoway(spark, sf_dir)
@@ -143,8 +175,10 @@ def q_planned_contrasts_t(spark, sf_dir):
         (mh, n), (ml, _) = cm[(s, "hi")], cm[(s, "lo")]
         diff = mh - ml
         t = diff / (2 * ms / n) ** 0.5
-        out.append((s, diff, t, df_e))
-    return rounded(spark.createDataFrame(out, "status string, diff double, t double, df long")).withColumn(
+        out.append((s, diff, t, df_e, ST.t_sf2(round(t, 4), df_e)))
+    holm = ST.holm_list([r[-1] for r in out])
+    return rounded(spark.createDataFrame([(*r, h) for r, h in zip(out, holm)],
+                                         "status string, diff double, t double, df long, p double, p_holm double")).withColumn(
         "t", F.round("t", 4))
 
 
