@@ -71,7 +71,8 @@ def classification_metrics(df: DataFrame, truth: str, pred: str, score: str | No
            "tp": tp, "fp": fp, "tn": tn, "fn": fn}
     # a 0/1 prediction is a curve through one point: its area is the balanced
     # accuracy, its average precision two steps
-    hard = {"roc_auc": (recall + spec) / 2, "average_precision": recall * precision + (1 - recall) * base}
+    hard = {"roc_auc": (recall + spec) / 2 if tp + fn and fp + tn else None,
+            "average_precision": recall * precision + (1 - recall) * base if tp + fn else None}
     out["roc_auc_hard"] = hard["roc_auc"]
     if score:
         out.update(ranking_metrics(df, truth, score))

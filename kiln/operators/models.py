@@ -10,13 +10,13 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression,
                                    LinearRegression, RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,21 +46,28 @@ def fit_gbt_classifier(df: DataFrame, features: Sequence[str], label: str, max_d
     return Pipeline(stages=[assembler(features), est]).fit(df)
 
 
-def text_classifier(text_col: str, label: str, num_features: int = 1024, hidden=(64, 32), max_iter=100,
+def text_classifier(text_col: str, label: str, vocab_size: int, hidden=(64, 32), max_iter=100,
                     step_size=0.01, seed=123456) -> Pipeline:
-    """Hashed TF-IDF into a dense network whose hidden layers halve in width
-    and end in a two-way output."""
-    layers = [num_features, *hidden, 2]
+    """L2-normalised TF-IDF over a counted vocabulary of ``vocab_size`` terms
+    (the caller's number: that of the training terms for the whole vocabulary)
+    into a dense network whose hidden layers halve in width and end in a
+    two-way output."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False,
                        toLowercase=True),
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="features"),
-        MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=max_iter, stepSize=step_size,
-                                       seed=seed, solver="gd"),
+        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size),
+        IDF(inputCol="tf", outputCol="tfidf"),
+        Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
+        MultilayerPerceptronClassifier(labelCol=label, layers=[vocab_size, *hidden, 2], maxIter=max_iter,
+                                       stepSize=step_size, seed=seed, solver="gd"),
     ])
 
 
+def vocabulary_size(df: DataFrame, text_col: str) -> int:
+    """Distinct terms, as the text classifier counts them."""
+    return df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("t")).distinct().count()
+
+
 def pca_fit(df: DataFrame, features: Sequence[str], k: int) -> PipelineModel:
     """Standardise (centre) then project on the top ``k`` components."""
     return Pipeline(stages=[
@@ -78,28 +85,62 @@ def with_folds(df: DataFrame, key: Sequence[str], k: int, seed=123456, col: str
     return df.withColumn(col, F.floor(hash_unit(seed, *key) * k).cast("int"))
 
 
-def grid_search_cv(df: DataFrame, estimator, grid: Mapping, evaluator, features: Sequence[str],
-                   key: Sequence[str], folds: int = 5, parallelism: int = 4, seed=123456):
-    """Exhaustive grid with k stable folds; returns the fitted CrossValidator
-    model and one row per parameter set (mean and std of the metric)."""
+def cross_validate(df: DataFrame, estimator, grid: Mapping, score, features: Sequence[str], key: Sequence[str],
+                   folds: int = 5, pca_k: int | None = None, seed=123456) -> list[dict]:
+    """Every parameter set over stable folds, scored by every metric that
+    ``score(scored frame)`` returns, on the held-out fold and on the training
+    folds. One dict per set: params, fit_seconds, and test and train as
+    {metric: (mean, std)}. With ``pca_k`` the features are projected first."""
     pb = ParamGridBuilder()
     for param, values in grid.items():
         pb = pb.addGrid(getattr(estimator, param), list(values))
-    maps = pb.build()
-    pipe = Pipeline(stages=[assembler(features), estimator])
+    pre = [assembler(features)] if not pca_k else [
+        VectorAssembler(inputCols=list(features), outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
+        PCA(k=pca_k, inputCol="scaled", outputCol="features")]
     data = with_folds(df, key, folds, seed).persist()
+    out = []
     try:
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=folds,
-                            parallelism=parallelism, seed=seed)
-        model = cv.fit(data)
-        rows = []
-        for pm, mean, std in zip(maps, model.avgMetrics, model.stdMetrics):
-            rows.append((";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda x: x[0].name)),
-                         float(mean), float(std)))
+        for pm in pb.build():
+            held, seen, seconds = [], [], []
+            for k in range(folds):
+                train = data.where(F.col("fold") != k)
+                t0 = time.perf_counter()
+                model = Pipeline(stages=[*pre, estimator.copy(pm)]).fit(train)
+                seconds.append(time.perf_counter() - t0)
+                held.append(score(model.transform(data.where(F.col("fold") == k))))
+                seen.append(score(model.transform(train)))
+
+            def spread(runs: list[dict]) -> dict:
+                both = {m: [r[m] for r in runs if r[m] is not None] for m in runs[0]}
+                return {m: (float(np.mean(v)), float(np.std(v))) if v else (None, None) for m, v in both.items()}
+
+            out.append({"params": ";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda x: x[0].name)),
+                        "fit_seconds": sum(seconds) / len(seconds), "test": spread(held), "train": spread(seen)})
     finally:
         data.unpersist()
-    res = df.sparkSession.createDataFrame(rows, "params string, mean_metric double, std_metric double")
-    return model, res
+    return out
+
+
+#: Metrics of which less is better.
+LESS = {"rmse", "brier_loss", "log_loss"}
+
+
+def best_of(results: list[dict], metric: str) -> dict:
+    sign = -1 if metric in LESS else 1
+    return max((r for r in results if r["test"][metric][0] is not None), key=lambda r: sign * r["test"][metric][0])
+
+
+def cv_table(spark, results: list[dict], metrics: Sequence[str]) -> DataFrame:
+    rows = [(r["params"], m, *r["test"][m], *r["train"][m]) for r in results for m in metrics]
+    return spark.createDataFrame(rows, "params string, metric string, mean_metric double, std_metric double, "
+                                       "mean_train double, std_train double")
+
+
+#: The fields of an experiment's history row, in their fixed order.
+HISTORY = ("started_at", "metric", "test_size", "best_score", "best_params", "param_grid", "folds", "grid_seconds", "model_class",
+           "seed", "scorer", "mean_fit_seconds", "x_hash", "y_hash", "n_features", "experiment_id", "class_balance", "objective",
+           "baseline_log_loss", "host", "version", "notes")
 
 
 def refit_best(df: DataFrame, estimator, param_map: Mapping, features: Sequence[str]):

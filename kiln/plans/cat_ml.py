@@ -7,12 +7,22 @@ numbers and are checked by row count only (no oracle SQL)."""
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+import itertools
+import socket
+import time
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from kiln import __version__
+from kiln.functions import hashing as FH
 from kiln.operators import metrics as M
 from kiln.operators import models as ML
+from kiln.operators import profile as PR
 from kiln.operators import sampling as SM
 from kiln.operators import text as TX
 from kiln.plans import conn_prep as CP
@@ -226,7 +236,8 @@ def q_mlp_text_classifier(spark, sf_dir):
     t = tables(spark, sf_dir)
     d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
     split = SM.train_test_split(d, ["doc_id"], 0.2)
-    m = ML.text_classifier("text", "label").fit(split.where(F.col("split") == "train"))
+    train = split.where(F.col("split") == "train")
+    m = ML.text_classifier("text", "label", ML.vocabulary_size(train, "text")).fit(train)
     return m.transform(split).select("doc_id", "label", "split", "prediction")
 
 
@@ -245,51 +256,78 @@ def q_pca_explained_variance(spark, sf_dir):
     return spark.createDataFrame(rows, "component int, explained_variance_ratio double, cumulative double")
 
 
+GRID = {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]}
+
+
+def _regression_scores(scored):
+    m = M.regression_metrics(scored, "label", "prediction")
+    return {"rmse": m["rmse"], "r2": m["r2"]}
+
+
 def _cv(spark, sf_dir, folds=5):
     d = _reg_data(spark, sf_dir).drop("prediction").withColumnRenamed("truth", "label")
     est = LinearRegression(labelCol="label", solver="normal")
-    return d, est, ML.grid_search_cv(d, est, {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]},
-                                     RegressionEvaluator(metricName="rmse"), ["n_lines", "qty", "disc", "tax"],
-                                     ["o_orderkey"], folds=folds)
+    return d, est, ML.cross_validate(d, est, GRID, _regression_scores, ["n_lines", "qty", "disc", "tax"], ["o_orderkey"], folds)
 
 
 @query("grid_search_cv", section="2.9")
 def q_grid_search_cv(spark, sf_dir):
-    _, _, (_, res) = _cv(spark, sf_dir)
-    return res
+    """Every parameter set by every scorer, on held-out and on training folds."""
+    _, _, results = _cv(spark, sf_dir)
+    return ML.cv_table(spark, results, ["rmse", "r2"])
 
 
 @query("refit_best", section="2.9")
 def q_refit_best(spark, sf_dir):
-    d, est, (cvm, res) = _cv(spark, sf_dir)
-    best = cvm.getEstimatorParamMaps()[min(range(len(cvm.avgMetrics)), key=lambda i: cvm.avgMetrics[i])]
-    params = {p: v for p, v in best.items() if p.parent == est.uid}
+    d, est, results = _cv(spark, sf_dir)
+    best = dict(x.split("=") for x in ML.best_of(results, "rmse")["params"].split(";"))
+    params = {getattr(est, k): float(v) for k, v in best.items()}
     model, secs = ML.refit_best(d, est, params, ["n_lines", "qty", "disc", "tax"])
     return spark.createDataFrame([(";".join(f"{p.name}={v}" for p, v in params.items()), float(secs))],
                                  "params string, fit_seconds double")
 
 
+def _labelled_documents(t):
+    return t.documents.join(t.labels, "doc_id").select(
+        "doc_id", F.col("quality").cast("double").alias("label"), F.col("toxic").cast("double").alias("toxic"),
+        (F.col("lang") == "en").cast("double").alias("lang_en"), (F.col("n_chars") / 1000.0).alias("kchars"),
+        (F.size(F.split("text", "\n")) / 10.0).alias("lines"))
+
+
+def _class_scores(scored):
+    m = M.classification_metrics(scored, "label", "prediction")
+    return {k: m[k] for k in ("f1", "recall", "precision", "accuracy", "roc_auc", "brier_loss")}
+
+
 @query("experiment_grid_loop", section="2.9")
 def q_experiment_grid_loop(spark, sf_dir):
-    """metric x folds x seed; one history row per run, failures recorded."""
-    d = _reg_data(spark, sf_dir).drop("prediction").withColumnRenamed("truth", "label")
-    path = scratch_path(spark, "run-history")
-    cols = ["metric", "folds", "seed", "status", "best_params", "best_score"]
-    for metric in ["rmse", "r2"]:
-        for folds in [3, 5]:
-            for seed in [1, 2]:
-                try:
-                    est = DecisionTreeRegressor(labelCol="label", seed=seed)
-                    cvm, res = ML.grid_search_cv(d, est, {"maxDepth": [2, 4]}, RegressionEvaluator(metricName=metric),
-                                                 ["n_lines", "qty", "disc", "tax"], ["o_orderkey"], folds=folds,
-                                                 seed=seed)
-                    best = res.orderBy(F.col("mean_metric").desc() if metric == "r2" else "mean_metric").first()
-                    row = (metric, folds, seed, "ok", best["params"], best["mean_metric"])
-                except Exception as exc:  # recorded, the loop goes on
-                    row = (metric, folds, seed, f"failed: {type(exc).__name__}", None, None)
-                append_run_history(spark.createDataFrame([row], "metric string, folds int, seed int, status string, "
-                                                              "best_params string, best_score double"), path, cols)
-    return read_run_history(spark, path, cols)
+    """metric x test size x folds x seed x PCA k; one history row per run. A
+    fit that fails on its parameters is recorded and the loop goes on."""
+    d = _labelled_documents(tables(spark, sf_dir))
+    feats = ["toxic", "lang_en", "kchars", "lines"]
+    path, experiment = scratch_path(spark, "run-history"), uuid.uuid4().hex
+    balance = ";".join(f"{r['label']}={r['n']}" for r in d.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect())
+    baseline = PR.class_entropy_log_loss(d, "label").first()["log_loss"]
+    x_hash, y_hash = (str(FH.table_fingerprint_md5(d, c).first()["xor_hash"]) for c in (feats, ["label"]))
+    grid = {"regParam": [0.0, 0.1]}
+    for metric, size, folds, seed, k in itertools.product(["f1", "brier_loss"], [0.2, 0.3], [3], [1], [None, 2]):
+        est = LogisticRegression(labelCol="label", maxIter=20)
+        started, t0 = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f"), time.perf_counter()
+        row = {"started_at": started, "metric": metric, "test_size": size, "param_grid": str(grid), "folds": folds, "seed": seed,
+               "model_class": type(est).__name__, "scorer": metric, "x_hash": x_hash, "y_hash": y_hash, "n_features": k or len(feats),
+               "experiment_id": experiment, "class_balance": balance, "objective": "binary:logistic", "baseline_log_loss": baseline,
+               "host": socket.gethostname(), "version": __version__}
+        try:
+            train = SM.train_test_split(d, ["doc_id"], size, seed=seed).where("split = 'train'").drop("split")
+            results = ML.cross_validate(train, est, grid, _class_scores, feats, ["doc_id"], folds, k, seed)
+            best = ML.best_of(results, metric)
+            row |= {"best_score": best["test"][metric][0], "best_params": best["params"], "grid_seconds": time.perf_counter() - t0,
+                    "mean_fit_seconds": sum(r["fit_seconds"] for r in results) / len(results), "notes": "finished"}
+        except (IllegalArgumentException, ValueError, ArithmeticError) as exc:
+            row |= {"best_score": "failed", "notes": f"failed: {type(exc).__name__}"}
+        values = tuple(None if row.get(c) is None else str(row[c]) for c in ML.HISTORY)
+        append_run_history(spark.createDataFrame([values], ", ".join(f"{c} string" for c in ML.HISTORY)), path, list(ML.HISTORY))
+    return read_run_history(spark, path, list(ML.HISTORY))
 
 
 @query("save_load_model", section="2.9")

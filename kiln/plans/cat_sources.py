@@ -7,9 +7,11 @@ operator, so the read path is exercised on the whole table."""
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kiln.operators import metrics as M
 from kiln.operators import models as ML
 from kiln.plans import conn_prep as CP
 from kiln.plans import standins as S
@@ -166,12 +168,21 @@ def q_train_per_chunk(spark, sf_dir):
     li, src = _lineitem_files(spark, sf_dir)
     sink = scratch_path(spark, "chunk-models")
 
+    def scores(scored):
+        m = M.classification_metrics(scored, "label", "prediction")
+        return {k: m[k] for k in ("f1", "recall", "precision", "accuracy")}
+
     def per_chunk(batch, batch_id):
-        m = ML.fit_regressor(batch, "linear", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-        scored = m.transform(batch)
-        e = scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col("l_extendedprice")) ** 2)).alias("rmse"),
-                       F.count(F.lit(1)).alias("n_rows"))
-        return e.withColumn("chunk", F.lit(batch_id))
+        """A grid search of its own on each chunk: is the line returned?"""
+        d = batch.withColumn("label", (F.col("l_returnflag") == "R").cast("double")).withColumn(
+            "age", F.datediff(F.lit("1998-12-31").cast("date"), F.col("l_shipdate").cast("date")).cast("double"))
+        results = ML.cross_validate(d, LogisticRegression(labelCol="label", maxIter=10), {"regParam": [0.0, 0.1]}, scores,
+                                    ["l_quantity", "l_discount", "l_tax", "age"], ["l_orderkey", "l_linenumber"], folds=3)
+        best = ML.best_of(results, "accuracy")
+        n = batch.count()
+        rows = [(batch_id, n, best["params"], m, *best["test"][m], best["train"][m][0]) for m in best["test"]]
+        return batch.sparkSession.createDataFrame(rows, "chunk long, n_rows long, best_params string, metric string, mean_metric double, "
+                                                        "std_metric double, mean_train double")
 
     return CH.process_in_chunks(spark, src, li.schema, per_chunk, sink, files_per_chunk=2)
 
