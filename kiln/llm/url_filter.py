@@ -31,14 +31,14 @@ MAX_LABELLED = 10_000
 
 # A small labelled table: advertising, gambling, pharmacy and link-farm names
 # against ordinary sites, written with different words, prefixes and paths.
-_BAD = ("casino", "casino-bonus", "online-casino", "mega-casino", "casino-win", "poker-win", "win-jackpot", "free-slots",
-        "free-bets", "sport-bets", "bets-online", "cheap-pills", "pills-online", "cheap-viagra", "cheap-meds", "pharma-cheap",
-        "spam-site", "spam-farm", "link-farm", "content-farm", "ads-server", "ads-track", "track-clicks", "clicks-ads",
+_BAD = ("casino", "casino-bonus", "online-casino", "mega-casino", "casino-royale", "poker-win", "win-jackpot", "free-slots",
+        "bets-today", "sport-bets", "bets-online", "pills-shop", "pills-online", "cheap-viagra", "cheap-meds", "pharma-cheap",
+        "spam-site", "spam-links", "link-farm", "content-farm", "ads-server", "ads-network", "track-clicks", "clicks-ads",
         "ad-tracker", "popup-ads", "free-prizes", "win-prizes", "quick-loans", "cheap-loans", "adult-cams", "free-cams")
 _GOOD = ("library", "university", "museum", "newsroom", "gazette", "archive", "weather", "history", "gardening", "recipes",
          "science", "physics", "cityhall", "railway", "orchestra", "theatre", "wetter", "nachrichten", "zeitung", "bibliothek",
-         "musee", "journal", "cuisine", "voyage", "noticias", "biblioteca", "thander", "theston", "therion", "ationer",
-         "ererand", "inghere")
+         "musee", "journal", "cuisine", "voyage", "noticias", "biblioteca", "weekly", "school", "garden-club", "mountain",
+         "harbour", "kitchen")
 _HOSTS = ("{0}.example.com", "www.{0}.example.org", "{0}.example.net", "m.{0}.example.com", "blog.{0}.example.org")
 _PATHS = ("/en/{1}", "/de/{1}.html", "/fr/{1}/", "/es/{1}?page=2", "/en/{1}#top")
 
