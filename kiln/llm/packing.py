@@ -36,7 +36,7 @@ END_ID = 1
 #: Hashed vector size, dimensions of the curve and bits of each.
 VECTOR, DIMENSIONS, BITS = 256, 4, 12
 #: Distinct words whose ids a worker remembers; others are encoded each time.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 TEXT_BYTES = 10_000_000
 
 
