@@ -183,7 +183,7 @@ class _Counts:
                 k, n = np.unique(part, return_counts=True)
                 self.parts.append((k, n * weight))
                 self.size += len(k)
-        if self.size > 2 * self.merged + 2_000_000:
+        if self.size > 2 * self.merged + 1_000_000:
             self.parts = [self.sums()]
             self.size = self.merged = len(self.parts[0][0])
 
