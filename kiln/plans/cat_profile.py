@@ -98,9 +98,9 @@ def _infer_sql():
     for c in ["c_custkey", "c_name", "c_acctbal", "c_positive", "o_orderdate"]:
         v = f"trim({c})"
         parts.append(f"""SELECT '{c}' AS column_name, count({c}) AS n,
-  count(*) FILTER (WHERE regexp_matches({v}, '{PR.INT_PATTERN}')) AS n_bigint,
-  count(*) FILTER (WHERE regexp_matches({v}, '{PR.FLOAT_PATTERN}')) AS n_double,
-  count(*) FILTER (WHERE regexp_matches({v}, '{PR.TIMESTAMP_PATTERN}')) AS n_timestamp,
+  count(*) FILTER (WHERE regexp_matches({v}, '^[+-]?\\d+$')) AS n_bigint,
+  count(*) FILTER (WHERE regexp_matches({v}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$')) AS n_double,
+  count(*) FILTER (WHERE regexp_matches({v}, '^\\d{{4}}-\\d\\d-\\d\\d([ T]\\d\\d:\\d\\d(:\\d\\d(\\.\\d+)?)?)?$')) AS n_timestamp,
   count(*) FILTER (WHERE lower({v}) IN ('true', 'false')) AS n_boolean FROM txt""")
     body = "\nUNION ALL\n".join(parts)
     return f"""WITH {TEXT_SQL}, w AS ({body})

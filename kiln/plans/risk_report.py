@@ -63,11 +63,11 @@ def asset_tags(t: Tables) -> DataFrame:
             .agg(sorted_string_agg("tag_name").alias("asset_tags")))
 
 
-def asset_vulnerability_solution(t: Tables, fix_as_text: bool = False) -> DataFrame:
+def asset_vulnerability_solution(t: Tables, fix_as_text: bool = False, fact: DataFrame | None = None) -> DataFrame:
     sol = S.dim_solution(t)
     if fix_as_text:  # convert each solution once, before it fans out over (asset, vulnerability)
         sol = sol.withColumn("fix", html_to_text("fix"))
-    return (S.dim_asset_vulnerability_best_solution(t)
+    return (S.dim_asset_vulnerability_best_solution(t, fact)
             .join(sol, "solution_id")
             .select("asset_id", "vulnerability_id", "solution_id", F.col("fix").alias("vuln_solution")))
 
@@ -86,12 +86,14 @@ def exploit_method(t: Tables) -> DataFrame:
 
 
 def risk_score_report(t: Tables) -> DataFrame:
-    favi = S.fact_asset_vulnerability_instance(t)
+    # lineitem meets orders once: the instances are written and feed both the
+    # report and the pairs of its solutions
+    favi = S.fact_asset_vulnerability_instance(t).checkpoint(eager=True)
     at = asset_tags(t)
     # markup is converted per vulnerability / per solution before the joins,
     # not once per instance row after them
     vr = vuln_references(t, keep_orphans=False).withColumn("vuln_text", html_to_text("description"))
-    avs = asset_vulnerability_solution(t, fix_as_text=True)
+    avs = asset_vulnerability_solution(t, fix_as_text=True, fact=favi)
     # The report's final ON names a table out of scope; it is bound to the
     # vulnerability's access vector, and the lookup is kept one row per type
     # so the fact is not multiplied by every vulnerability of that type.

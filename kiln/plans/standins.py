@@ -78,11 +78,10 @@ def dim_tag_asset(t: Tables) -> DataFrame:
     return by_nation.unionByName(by_region)
 
 
-def dim_asset_vulnerability_best_solution(t: Tables) -> DataFrame:
-    li, o = t.lineitem, t.orders
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .select(F.col("o_custkey").alias("asset_id"), F.col("l_partkey").alias("vulnerability_id"))
-            .distinct()
+def dim_asset_vulnerability_best_solution(t: Tables, fact: DataFrame | None = None) -> DataFrame:
+    """``fact``: the instance table, where the caller holds it already."""
+    fact = fact_asset_vulnerability_instance(t) if fact is None else fact
+    return (fact.select("asset_id", "vulnerability_id").distinct()
             .withColumn("solution_id", (F.col("vulnerability_id") % 5).cast("int")))
 
 
