@@ -186,8 +186,13 @@ def ks_exponential(df: DataFrame, group: str, value: str, key: Sequence[str]) ->
                                      F.max(dev).alias("d")))
 
 
-def ks_exponential_p(rows) -> dict:
-    return {r[0]: kolmogorov_exact_p(int(r["n"]), float(r["d"])) for r in rows}
+def kolmogorov_limit_p(n: str, d: str, terms: int = 100):
+    """P(D_n >= d) by Kolmogorov's limit, the caller's choice for large n
+    (``kolmogorov_exact_p`` is for samples whose n * d is some hundreds)."""
+    x = F.lit(-2.0) * F.col(n) * F.col(d) * F.col(d)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
+                         lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(x * k * k))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))
 
 
 def counterbalance(df: DataFrame, subject: str, condition: str, order):
