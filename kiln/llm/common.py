@@ -49,6 +49,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no column's name meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.common import bounded, read, stored
+from kiln.llm.common import bounded, read, stored, whole_row
 
 MIN_CHARS = 20
 #: A variant's hash is put together from hashes of blocks of this many
@@ -142,7 +142,7 @@ def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, text, n_lines, n_dropped): every input row as a struct of all its
     columns, its text without the dropped lines, and line counts."""
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"),
                         F.col(text_col).cast("string").alias("text"))
     kept = _kept(keyed.select("id", "text"), min_chars)
     joined = keyed.withColumn("th", F.hash("text")).join(

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.common import read, stored, text_or_empty
+from kiln.llm.common import read, stored, text_or_empty, whole_row
 
 SEED = "mix-1"
 #: Weights of a level's values among their siblings; values not named weigh 1.
@@ -125,7 +125,7 @@ def choose(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percen
     struct of all their columns, with how many epochs take them."""
     source = F.col("source") if source is None else source
     levels = (domain_of(source) if domain is None else domain, F.col("lang") if lang is None else lang, source)
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"),
                         text_or_empty(text_col).alias("text"), *[_key(c).alias(k) for c, k in zip(levels, KEYS)])
     narrow = stored(keyed.select("id", token_count(F.col("text")).alias("tokens"), *KEYS), "mix-tokens")
     placed = (keyed.join(_plan(narrow, weights, percent, epochs, seed), list(KEYS))

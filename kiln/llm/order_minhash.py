@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.llm import arrays as A
-from kiln.llm.common import bounded, read, ship, stored, text_or_empty
+from kiln.llm.common import bounded, read, ship, stored, text_or_empty, whole_row
 from kiln.llm.graph import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -313,7 +313,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             .withColumn("again", F.lit(False)).unionByName(again))
     gone = stored(gone.select(F.col("id").alias("g_id"), F.col("t1").alias("g_t1"), F.col("t2").alias("g_t2"), "again"), "omh-gone")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"),
+    keyed = docs.select(whole_row(docs).alias("row"), docs[id_col].alias("id"),
                         F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
     met = keyed.join(bounded(gone), F.col("id").eqNullSafe(F.col("g_id")) & (F.col("t1") == F.col("g_t1")) & (F.col("t2") == F.col("g_t2")),
                      "left")

@@ -130,14 +130,16 @@ def keep(docs: DataFrame, text_col: str = "text", ngram_limits: dict[int, float]
          line_limit: float = LINE_LIMIT) -> DataFrame:
     """The input rows that the rules accept, with all their columns."""
     ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    # plain names on the way through Arrow, whatever the columns are called
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array(_measured(texts, ngram_limits, line_limit)["kept"]))
+                yield batch.filter(pa.array(_measured(batch.column(at), ngram_limits, line_limit)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

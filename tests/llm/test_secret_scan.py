@@ -65,7 +65,7 @@ def test_other_rules_and_ids(spark):
 
 
 def test_odd_rows(spark):
-    extra = [(None, "token: abcdefghij", None, None, None, 90, "k", None, 0.5, 1, 2), (1, "token: abcdefghij", None, None, None, 91, "k", None, 0.5, 1, 2)]
+    extra = [(None, "token: abcdefghij", None, None, None, 90, "k", None, 0.5, 1, 2, "z"), (1, "token: abcdefghij", None, None, None, 91, "k", None, 0.5, 1, 2, "z")]
     df = odd_docs(spark).unionByName(spark.createDataFrame(extra, odd_docs(spark).schema))
     got = sorted((str(r.doc_id), r.text, [tuple(s) for s in r.spans]) for r in S.find(df).collect())
     assert got == sorted((str(r[0]), r[1] or "", brute(r[1])) for r in [*odd_rows(), *extra])
