@@ -1,8 +1,9 @@
 """Language-model scores by context-tree weighting (operator 5).
 
 A text is its UTF-8 bytes and one end byte; each byte is eight binary decisions,
-and a decision's context is the bits of its byte so far and the ``DEPTH`` bytes
-before it. Every node of the context tree keeps Krichevsky-Trofimov counts of
+and a decision's context is the bits of its byte so far and the ``depth`` bytes
+before it (``DEPTH`` in the registered query, at most 6: a run of a context and
+its byte is one 64-bit code). Every node of the context tree keeps Krichevsky-Trofimov counts of
 the training texts. Bottom-up, a node's weighted probability is the mean of its
 own estimate and the product of its children's; top-down, the posterior weights
 mix the estimates of all depths into one probability for each decision.
@@ -10,7 +11,8 @@ mix the estimates of all depths into one probability for each decision.
 The corpus is cut into blocks of whole texts. One pass counts the (context,
 byte) runs and words that each block holds, grouped sums give the corpus's
 counts, and the tree is evaluated in partitions that hold all runs with the same
-last two context bytes (at most 65,536 runs each, whatever the corpus). Each
+last two context bytes: at most 65,536 runs each at depth 3, at most 256 times
+as many for each byte more, in texts those that the corpus holds. Each
 block then gets back the probabilities and counts of just the runs and words it
 holds, and its texts are scored against them. Only the two upper levels of the
 tree pass the driver: at most 256 * 255 nodes.
@@ -37,24 +39,30 @@ from pyspark.sql import functions as F
 from kiln.llm import arrays as A
 from kiln.llm.common import read, ship, stored, text_or_empty
 
-DEPTH = 3
+#: Context bytes of the registered query.
+DEPTH = 5
+#: Deeper runs do not fit a signed 64-bit code.
+MAX_DEPTH = 6
 #: Stands before and after each text; no UTF-8 text holds it.
 EDGE = 0xFF
 BLOCK_BYTES = 32_000_000
 RUN, WORD = 0, 1
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code, row) for every byte and end byte: the byte with the three before it, as 32 bits."""
+def runs(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, row) for every byte and end byte: the byte with the ``depth`` before it, as 64 bits."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
-    starts = offsets[:-1] + np.arange(n) * (DEPTH + 1) + DEPTH
-    x = np.full(len(data) + n * (DEPTH + 1) + 1, EDGE, np.uint32)
+    starts = offsets[:-1] + np.arange(n) * (depth + 1) + depth
+    x = np.full(len(data) + n * (depth + 1) + 1, EDGE, np.int64)
     row = np.repeat(np.arange(n), sizes + 1)
     inner = np.repeat(starts - offsets[:-1], sizes) + np.arange(len(data))
     x[inner] = data
     at = np.repeat(starts - offsets[:-1] - np.arange(n), sizes + 1) + np.arange(len(row))
-    return (x[at - 3] << 24) | (x[at - 2] << 16) | (x[at - 1] << 8) | x[at], row
+    code = x[at]
+    for k in range(1, depth + 1):
+        code |= x[at - k] << (8 * k)
+    return code, row
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -97,20 +105,28 @@ def _level(context: np.ndarray, node: np.ndarray, bit: np.ndarray, count: np.nda
     return keys, at, both - ones, ones
 
 
-def _lower(code: np.ndarray, count: np.ndarray):
-    """Levels 3 and 2 of the tree over runs that hold all of their level-2 contexts."""
+def _lower(code: np.ndarray, count: np.ndarray, depth: int):
+    """Levels ``depth`` to 2 of the tree over runs that hold all of their level-2
+    contexts, each (keys, index of each decision, zeros, ones, log probability of
+    the children; none below the deepest)."""
     node, bit = _decisions(code)
-    context = (code.astype(np.int64) >> 8)
-    k3, at3, z3, o3 = _level(context, node, bit, count)
-    k2, at2, z2, o2 = _level(context & 0xFFFF, node, bit, count)
-    parent = np.searchsorted(k2, k3 & 0xFFFFFF)
-    below = np.bincount(parent, kt(z3, o3), minlength=len(k2))
-    return node, bit, (at3, z3, o3), (k2, at2, z2, o2, below)
-
-
-def upper_counts(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    context = code >> 8
+    levels = []
+    for d in range(depth, 1, -1):
+        keys, at, zeros, ones = _level(context & ((1 << 8 * d) - 1), node, bit, count)
+        below = None
+        if levels:
+            deeper, _, z, o, children = levels[-1]
+            own = kt(z, o)
+            parent = np.searchsorted(keys, deeper & ((1 << 8 * (d + 1)) - 1))
+            below = np.bincount(parent, own if children is None else _mixed(own, children), minlength=len(keys))
+        levels.append((keys, at, zeros, ones, below))
+    return node, bit, levels
+
+
+def upper_counts(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
     """(last byte, node, zeros, ones, log weighted probability) of level-2 nodes, summed by the last byte."""
-    _, _, _, (k2, _, z2, o2, below) = _lower(code, count)
+    k2, _, z2, o2, below = _lower(code, count, depth)[2][-1]
     weighted = _mixed(kt(z2, o2), below)
     keys, at = np.unique(k2 & 0xFFFF, return_inverse=True)
     return keys >> 8, keys & 0xFF, *(np.bincount(at, v, minlength=len(keys)) for v in (z2, o2, weighted))
@@ -132,14 +148,18 @@ class Upper:
         self.rest = (1 - w0) * (1 - w1)
 
 
-def log10_probability(code: np.ndarray, count: np.ndarray, upper: Upper) -> np.ndarray:
+def log10_probability(code: np.ndarray, count: np.ndarray, upper: Upper, depth: int) -> np.ndarray:
     """Log10 probability of each run's last byte after the bytes before it."""
-    node, bit, (at3, z3, o3), (_, at2, z2, o2, below) = _lower(code, count)
-    p3, p2 = (o3 + 0.5) / (z3 + o3 + 1), (o2 + 0.5) / (z2 + o2 + 1)
-    w2 = _stop(kt(z2, o2), below)[at2]
-    of = lambda p, at: np.where(bit == 1, p[at], 1 - p[at])
-    deep = w2 * of(p2, at2) + (1 - w2) * of(p3, at3)
-    byte = ((code.astype(np.int64) >> 8) & 0xFF)[:, None]
+    node, bit, levels = _lower(code, count, depth)
+    deep = None
+    for _, at, zeros, ones, below in levels:
+        one = (ones + 0.5) / (zeros + ones + 1)
+        p = np.where(bit == 1, one[at], 1 - one[at])
+        if deep is not None:
+            stop = _stop(kt(zeros, ones), below)[at]
+            p = stop * p + (1 - stop) * deep
+        deep = p
+    byte = ((code >> 8) & 0xFF)[:, None]
     top = np.where(bit == 1, upper.one[byte, node], upper.zero[byte, node])
     return np.log10(top + upper.rest[byte, node] * deep).sum(1)
 
@@ -195,7 +215,7 @@ class _Counts:
         return keys.astype(np.int64), np.bincount(at, n, minlength=len(keys)).astype(np.int64)
 
 
-def _held(blocks: DataFrame) -> DataFrame:
+def _held(blocks: DataFrame, depth: int) -> DataFrame:
     """(block, kind, key, n): what a block's texts hold, with training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, None
@@ -219,7 +239,7 @@ def _held(blocks: DataFrame) -> DataFrame:
                 texts, train = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
                 for a, b in A.chunks(texts):
                     data, offsets = A.utf8(texts.slice(a, b - a))
-                    for kind, (keys, row) in ((RUN, runs(data, offsets)), (WORD, _token_hashes(data, offsets))):
+                    for kind, (keys, row) in ((RUN, runs(data, offsets, depth)), (WORD, _token_hashes(data, offsets))):
                         found[kind].add(keys, train[a:b][row])
         yield from told()
 
@@ -231,7 +251,7 @@ def _ranges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(ids)) if len(ids) else starts
 
 
-def _tree(held: DataFrame) -> DataFrame:
+def _tree(held: DataFrame, depth: int) -> DataFrame:
     """(key, value): the log10 probability of every run."""
     last_two = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     sums = stored(held.where(F.col("kind") == RUN).groupBy("key").agg(F.sum("n").alias("n")), "lm-runs")
@@ -239,7 +259,7 @@ def _tree(held: DataFrame) -> DataFrame:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in A.whole_groups(batches, ("context",)):
-            columns = upper_counts(table["key"].to_numpy(), table["n"].to_numpy())
+            columns = upper_counts(table["key"].to_numpy(), table["n"].to_numpy(), depth)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["byte", "node", "zeros", "ones", "below"])
 
     sums2 = (placed.mapInArrow(counts, "byte long, node long, zeros double, ones double, below double")
@@ -250,18 +270,22 @@ def _tree(held: DataFrame) -> DataFrame:
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in A.whole_groups(batches, ("context",)):
             key = table["key"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(log10_probability(key, table["n"].to_numpy(), upper))], names=["key", "value"])
+            value = log10_probability(key, table["n"].to_numpy(), upper, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value)], names=["key", "value"])
 
     return placed.mapInArrow(values, "key long, value double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score and bits_per_byte (the model's code length, end byte included)."""
+    base_score, score and bits_per_byte (the model's code length, end byte included)
+    of a tree of ``depth`` context bytes, 3 to 6."""
+    if not 3 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be 3 to {MAX_DEPTH}, not {depth}")
     ship(docs.sparkSession)
     blocks = stored(_blocks(docs, id_col, text_col), "lm-blocks")
-    held = stored(_held(blocks), "lm-held")
-    told = held.where(F.col("kind") == RUN).join(_tree(held), "key").select("block", "kind", "key", "value")
+    held = stored(_held(blocks, depth), "lm-held")
+    told = held.where(F.col("kind") == RUN).join(_tree(held, depth), "key").select("block", "kind", "key", "value")
     counted = held.where(F.col("kind") == WORD).withColumn("value", F.sum("n").over(Window.partitionBy("key")).cast("double"))
     totals = held.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
@@ -291,22 +315,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         none = (np.zeros(0, np.int64), np.zeros(0))
                         tables[k] = tuple(np.concatenate(c) for c in zip(*(got or [none])))
                     parts = {}
-                yield from _scored(part, tables, total, ends, train_tokens)
+                yield from _scored(part, tables, total, ends, train_tokens, depth)
 
     fields = ("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     return both.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
 
 
-def _scored(part: pa.RecordBatch, tables: dict, total: float, ends: int, train_tokens: int) -> Iterator[pa.RecordBatch]:
+def _scored(part: pa.RecordBatch, tables: dict, total: float, ends: int, train_tokens: int, depth: int) -> Iterator[pa.RecordBatch]:
     texts = part.column("text")
     for a, b in A.chunks(texts):
         n = b - a
         data, offsets = A.utf8(texts.slice(a, n))
-        code, row = runs(data, offsets)
-        # sorted within each text, the look-ups run through the table in order
-        joint = np.sort((row.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64))
+        # each distinct run is looked up once, running through the table in order
+        distinct, place = np.unique(runs(data, offsets, depth)[0], return_inverse=True)
         keys, values = tables[RUN]
-        each = values[np.searchsorted(keys, (joint & np.uint64(0xFFFFFFFF)).astype(np.int64))]
+        each = values[np.searchsorted(keys, distinct)][place]
         size = np.diff(offsets) + 1
         score_ = np.add.reduceat(each, np.cumsum(size) - size)
         word, of = _token_hashes(data, offsets)
@@ -322,4 +345,4 @@ def _scored(part: pa.RecordBatch, tables: dict, total: float, ends: int, train_t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read(spark, sf_dir, "documents"))
+    return score(read(spark, sf_dir, "documents"), depth=DEPTH)

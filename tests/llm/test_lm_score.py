@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from kiln.llm import lm_score as L
 from tests.llm.odd import no_docs, odd_docs, odd_rows
@@ -104,3 +105,57 @@ def test_held_out_texts_cost_fewer_bits_than_under_an_untrained_model(spark):
     size = {r.doc_id: len((r.text or "").encode()) + 1 for r in docs.collect()}
     bits = -sum(r.score for r in out) / math.log10(2) / sum(size[r.doc_id] for r in out)
     assert len(out) > 10 and bits < 3.0  # an untrained tree gives 8
+
+
+class DeepTree(Tree):
+    def __init__(self, texts, depth):
+        self.depth = depth
+        self.count = collections.defaultdict(lambda: [0, 0])
+        for t in texts:
+            for context, node, bit in self.contexts(t):
+                for d in range(depth + 1):
+                    self.count[context[depth - d:], node][bit] += 1
+        self.children = collections.defaultdict(float)
+        for d in range(depth, 0, -1):
+            for (context, node) in [k for k in self.count if len(k[0]) == d]:
+                own = self.own(context, node)
+                weighted = own if d == depth else np.logaddexp(own, self.children[context, node]) - math.log(2)
+                self.children[context[1:], node] += weighted
+
+    def contexts(self, text):
+        x = b"\xff" * self.depth + (text or "").encode() + b"\xff"
+        for i in range(self.depth, len(x)):
+            for k in range(7, -1, -1):
+                yield x[i - self.depth:i], (1 << 7 - k) | x[i] >> k + 1, x[i] >> k & 1
+
+    def score(self, text):
+        total = 0.0
+        for context, node, bit in self.contexts(text):
+            p = None
+            for d in range(self.depth, -1, -1):
+                c = context[self.depth - d:]
+                n = self.count.get((c, node), (0, 0))
+                estimate = (n[bit] + .5) / (sum(n) + 1)
+                if p is None:
+                    p = estimate
+                else:
+                    w = 1 / (1 + math.exp(max(-700, min(700, self.children.get((c, node), 0.0) - self.own(c, node)))))
+                    p = w * estimate + (1 - w) * p
+            total += math.log10(p)
+        return total
+
+
+@pytest.mark.parametrize("depth", [4, 5, 6])
+def test_deeper_trees_against_the_recursive_one(spark, monkeypatch, depth):
+    rows = [(r[0], r[1] if r[1] is None else r[1][:1000]) for r in odd_rows()] + [(20 + i, f"some words {i} of Text\nmore é {i % 3}") for i in range(40)]
+    tree = DeepTree([t for i, t in rows if not held(i)], depth)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 400)
+    got = sorted((str(r.doc_id), r.score) for r in L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), depth=depth).collect())
+    want = sorted((str(i), tree.score(t)) for i, t in rows)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(math.isclose(g[1], w[1], rel_tol=1e-7) for g, w in zip(got, want))
+
+
+def test_the_registered_model_beats_the_unigram_base_on_held_out_texts(spark):
+    out = [r for r in L.query(spark, "/root/testdata/sf0.1").where("held_out").collect()]
+    assert len(out) > 1000 and sum(r.score for r in out) > sum(r.base_score for r in out)
