@@ -2,7 +2,8 @@
 
 A line is dropped if an earlier line of the corpus (by document id, then place)
 is within one edit of it: one character inserted, deleted or substituted. Lines
-shorter than ``MIN_CHARS`` are kept as they are.
+shorter than ``MIN_CHARS`` are kept as they are, or, with ``short``, dropped if
+they equal an earlier line; blank lines are always kept.
 
 Equal lines are first brought together by hash. Two different lines within one
 edit share an untouched first or last part, so only lines that share such a part
@@ -32,14 +33,21 @@ MIN_CHARS = 20
 #: A variant's hash is put together from hashes of blocks of this many
 #: characters, so a long line costs a block for each character, not a line.
 BLOCK = 256
+#: A line of these characters alone is blank.
+BLANK = " \t\r\x0b\x0c"
 
 ORDER = ("id", "th", "pos")
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, th, pos, line, n) of every line that is long enough."""
+def _filled(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANK)) != ""
+
+
+def _lines(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """(id, th, pos, line, n) of every line that is long enough, with ``short`` of every line that is not blank."""
     parts = docs.select("id", F.hash("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return parts.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    taken = F.col("n") >= min_chars
+    return parts.withColumn("n", F.length("line")).where(taken | _filled(F.col("line")) if short else taken)
 
 
 def _line_key(line: str = "line") -> list[Column]:
@@ -121,15 +129,17 @@ def _near(lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("line", "earlier", 1) >= 0).select("h1", "h2").distinct()
 
 
-def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, th, places): the places of the long lines that a document keeps."""
-    lines = _lines(docs, min_chars)
+def _kept(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """(id, th, places): the places of the lines of ``_lines`` that a document keeps."""
+    lines = _lines(docs, min_chars, short)
     c, c2 = _part(F.col("n")), _part(F.col("n") - 1)
     other = lambda x: F.when(c2 != c, x)
     first, last = _ends(F.col("line"), c)
     first2, last2 = _ends(F.col("line"), c2)
-    occurrences = stored(lines.select(*ORDER, *_line_key(), first.alias("first"), last.alias("last"),
-                                      other(first2).alias("first2"), other(last2).alias("last2")), "line-hashes")
+    # a short line has no ends, so it meets equal lines only
+    long = lambda x: F.when(F.col("n") >= min_chars, x) if short else x
+    occurrences = stored(lines.select(*ORDER, *_line_key(), long(first).alias("first"), long(last).alias("last"),
+                                      long(other(first2)).alias("first2"), long(other(last2)).alias("last2")), "line-hashes")
     suspects = stored(_suspects(occurrences), "line-suspects")
     texts = (lines.select(*ORDER, "line", *_line_key()).join(bounded(suspects), ["h1", "h2"], "left_semi")
              .groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct(*ORDER)).alias("order")))
@@ -139,17 +149,20 @@ def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
     return stay.groupBy(F.col("order.id").alias("k_id"), F.col("order.th").alias("k_th")).agg(F.collect_set("order.pos").alias("places"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+          short: bool = False) -> DataFrame:
     """(row, text, n_lines, n_dropped): every input row as a struct of all its
-    columns, its text without the dropped lines, and line counts."""
+    columns, its text without the dropped lines, and line counts. With ``short``
+    exact repeats of shorter lines are dropped too."""
     keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"),
                         F.col(text_col).cast("string").alias("text"))
-    kept = _kept(keyed.select("id", "text"), min_chars)
+    kept = _kept(keyed.select("id", "text"), min_chars, short)
     joined = keyed.withColumn("th", F.hash("text")).join(
         kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
     parts = F.split("text", "\n", -1)
     none = F.array().cast("array<int>")
-    stays = F.filter(parts, lambda line, i: (F.length(line) < min_chars) | F.array_contains(F.coalesce("places", none), i))
+    apart = lambda line: (F.length(line) < min_chars) & ~_filled(line) if short else F.length(line) < min_chars
+    stays = F.filter(parts, lambda line, i: apart(line) | F.array_contains(F.coalesce("places", none), i))
     return (joined.select("row", "text", F.coalesce(F.size(parts), F.lit(0)).alias("n"), stays.alias("stays"))
             .select("row", F.when(F.col("text").isNotNull(), F.array_join("stays", "\n")).alias("text"),
                     F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n_lines"),
@@ -169,6 +182,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 
+def query_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(read(spark, sf_dir, "documents"), short=True).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
+
+
 # One edit leaves the first or the last ten characters of a line of twenty as
 # they are; the first place where the lines differ then decides.
 ORACLE_SQL = f"""
@@ -196,3 +213,12 @@ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0)
   CASE WHEN documents.text IS NOT NULL THEN whole.text END AS text
 FROM documents LEFT JOIN whole USING (doc_id)
 """
+
+# The same with the short lines: of equal ones that are not blank the earliest stays.
+SHORT_ORACLE_SQL = ORACLE_SQL.replace("kept AS (", f"""short AS (SELECT line, min((doc_id, pos)) AS first FROM placed
+  WHERE length(line) < {MIN_CHARS} AND trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '' GROUP BY line),
+kept AS (""").replace(
+    f"length(placed.line) < {MIN_CHARS} OR ((doc_id, pos) = first AND dropped.line IS NULL) AS stays",
+    f"""CASE WHEN length(placed.line) < {MIN_CHARS} THEN short.line IS NULL OR (doc_id, pos) = short.first
+    ELSE (doc_id, pos) = long.first AND dropped.line IS NULL END AS stays""").replace(
+    "LEFT JOIN dropped USING (line)),", "LEFT JOIN dropped USING (line) LEFT JOIN short USING (line)),")

@@ -71,3 +71,12 @@ def test_other_columns_pass_and_empty_table(spark):
         (1, "a line that is long enough\nx", 28, "a", "q"), (2, "y", 1, "b", None)]
     assert L.rewrite(spark.createDataFrame([], schema)).count() == 0
     assert L.rewrite(spark.createDataFrame([("a", 1, 1, None, 2, "q")], schema)).collect()[0].n_chars is None
+
+
+def test_exact_repeats_of_short_lines_go(spark):
+    rows = [(1, "}\nshort\n\n  \nshort\nshoRt"), (2, "short\n\n \t\na line that is long enough\n}"), (3, "shor\n\na line that is long enougH"),
+            (None, "first of all"), (4, "first of all"), (5, None)]
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()
+    assert {(r.row.doc_id, r.text, r.n_dropped) for r in got} == {
+        (1, "}\nshort\n\n  \nshoRt", 1), (2, "\n \t\na line that is long enough", 2), (3, "shor\n", 1),
+        (None, "first of all", 0), (4, "", 1), (5, None, 0)}
