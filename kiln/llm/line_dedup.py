@@ -18,7 +18,8 @@ the alphabet, whatever the corpus. Everything is DataFrame functions.
 
 Defined cases: a null text has no lines and stays null; a null id sorts first;
 rows that repeat an id count in the order of their texts' hashes, and rows equal
-in id and text are treated alike; an empty table gives an empty result; other
+in id and text are treated alike, or, with ``each_row``, count one after another
+by a number that is written once with the rows; an empty table gives an empty result; other
 columns are carried along untouched.
 """
 
@@ -36,7 +37,7 @@ BLOCK = 256
 #: A line of these characters alone is blank.
 BLANK = " \t\r\x0b\x0c"
 
-ORDER = ("id", "th", "pos")
+ORDER = ("id", "th", "rn", "pos")
 
 
 def _filled(line: Column) -> Column:
@@ -44,8 +45,8 @@ def _filled(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
-    """(id, th, pos, line, n) of every line that is long enough, with ``short`` of every line that is not blank."""
-    parts = docs.select("id", F.hash("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """(id, th, rn, pos, line, n) of every line that is long enough, with ``short`` of every line that is not blank."""
+    parts = docs.select("id", F.hash("text").alias("th"), "rn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     taken = F.col("n") >= min_chars
     return parts.withColumn("n", F.length("line")).where(taken | _filled(F.col("line")) if short else taken)
 
@@ -130,7 +131,7 @@ def _near(lines: DataFrame) -> DataFrame:
 
 
 def _kept(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
-    """(id, th, places): the places of the lines of ``_lines`` that a document keeps."""
+    """(id, th, rn, places): the places of the lines of ``_lines`` that a document keeps."""
     lines = _lines(docs, min_chars, short)
     c, c2 = _part(F.col("n")), _part(F.col("n") - 1)
     other = lambda x: F.when(c2 != c, x)
@@ -146,19 +147,22 @@ def _kept(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
     near = stored(_near(stored(_closer(stored(texts, "line-texts")), "line-close")), "line-near")
     earliest = occurrences.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("order"))
     stay = earliest.join(bounded(near), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("order.id").alias("k_id"), F.col("order.th").alias("k_th")).agg(F.collect_set("order.pos").alias("places"))
+    return stay.groupBy(F.col("order.id").alias("k_id"), F.col("order.th").alias("k_th"), F.col("order.rn").alias("k_rn")).agg(F.collect_set("order.pos").alias("places"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-          short: bool = False) -> DataFrame:
+          short: bool = False, each_row: bool = False) -> DataFrame:
     """(row, text, n_lines, n_dropped): every input row as a struct of all its
     columns, its text without the dropped lines, and line counts. With ``short``
-    exact repeats of shorter lines are dropped too."""
-    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"),
-                        F.col(text_col).cast("string").alias("text"))
-    kept = _kept(keyed.select("id", "text"), min_chars, short)
+    exact repeats of shorter lines are dropped too; with ``each_row`` only one
+    of the rows equal in id and text counts as the earliest."""
+    rows = docs.select(whole_row(docs).alias("row"), (F.monotonically_increasing_id() if each_row else F.lit(0).cast("long")).alias("rn"))
+    if each_row:
+        rows = stored(rows, "line-rows")
+    keyed = rows.select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"), "rn")
+    kept = _kept(keyed.select("id", "text", "rn"), min_chars, short)
     joined = keyed.withColumn("th", F.hash("text")).join(
-        kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
+        kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")) & (F.col("rn") == F.col("k_rn")), "left")
     parts = F.split("text", "\n", -1)
     none = F.array().cast("array<int>")
     apart = lambda line: (F.length(line) < min_chars) & ~_filled(line) if short else F.length(line) < min_chars
@@ -183,7 +187,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(read(spark, sf_dir, "documents"), short=True).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
+    return dedup(read(spark, sf_dir, "documents"), short=True, each_row=True).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 
 # One edit leaves the first or the last ten characters of a line of twenty as

@@ -80,3 +80,11 @@ def test_exact_repeats_of_short_lines_go(spark):
     assert {(r.row.doc_id, r.text, r.n_dropped) for r in got} == {
         (1, "}\nshort\n\n  \nshoRt", 1), (2, "\n \t\na line that is long enough", 2), (3, "shor\n", 1),
         (None, "first of all", 0), (4, "", 1), (5, None, 0)}
+
+
+def test_one_of_the_rows_equal_in_id_and_text_is_the_earliest(spark):
+    line = "a line that is long enough"
+    rows = [(None, line)] * 3 + [(1, "another line that is long\nx")] * 2 + [(2, line)]
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), each_row=True).collect()
+    assert sorted((str(r.row.doc_id), r.text) for r in got) == sorted(
+        [("None", line), ("None", ""), ("None", ""), ("1", "another line that is long\nx"), ("1", "x"), ("2", "")])
