@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kiln.llm import embed_dedup, line_dedup, lm_score, mixing, order_minhash, packing, pii, quality, secret_scan, url_filter
+from kiln.llm import embed_dedup, line_dedup, lm_score, merkle, mixing, order_minhash, packing, pii, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_mixing": mixing.query,
     "op10_minhash_near_dedup": order_minhash.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op6_line_dedup_short": line_dedup.SHORT_ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
