@@ -76,10 +76,10 @@ def span_hasher(data: np.ndarray):
     return spans
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of every word."""
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of every word: a run of bytes that are not ``blank``."""
     solid = np.zeros(len(data) + 2, bool)
-    solid[1:-1] = ~SPACE[data]
+    solid[1:-1] = ~blank[data]
     first = solid[1:-1] & ~solid[:-2]
     last = solid[1:-1] & ~solid[2:]
     inner = offsets[1:-1]
