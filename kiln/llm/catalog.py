@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kiln.llm import embed_dedup, license_scan, line_dedup, lm_score, merkle, mixing, order_minhash, packing, pii, quality, secret_scan, url_filter
+from kiln.llm import embed_dedup, license_scan, line_dedup, lm_score, merkle, mixing, order_minhash, packing, pii, quality, secret_scan, token_align, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_mixing": mixing.query,
     "op10_minhash_near_dedup": order_minhash.query,
+    "op11_token_alignment": token_align.query,
     "op12_license_scans": license_scan.query,
     "op13_merkle_manifest": merkle.query,
 }
