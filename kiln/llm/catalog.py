@@ -11,7 +11,6 @@ QUERIES = {
     "op4_quality_rules": quality.query,
     "op5_lm_scoring": lm_score.query,
     "op6_line_dedup": line_dedup.query,
-    "op6_line_dedup_short": line_dedup.query_short,
     "op7_embedding_near_dedup": embed_dedup.query,
     "op8_pii": pii.query,
     "op9_mixing": mixing.query,
@@ -24,7 +23,6 @@ QUERIES = {
 ORACLES = {
     "op1_secret_scans": secret_scan.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
-    "op6_line_dedup_short": line_dedup.SHORT_ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }

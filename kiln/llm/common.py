@@ -41,11 +41,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a later stage then
-    starts from files any executor can read, and the planner knows their size."""
+    starts from files any executor can read, and the planner knows their size.
+    ``codec`` overrides the session's Parquet compression."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -2,8 +2,8 @@
 
 A line is dropped if an earlier line of the corpus (by document id, then place)
 is within one edit of it: one character inserted, deleted or substituted. Lines
-shorter than ``MIN_CHARS`` are kept as they are, or, with ``short``, dropped if
-they equal an earlier line; blank lines are always kept.
+shorter than ``MIN_CHARS``, where one edit joins unlike lines, are dropped if they
+equal an earlier line, or kept if they are blank.
 
 Equal lines are first brought together by hash. Two different lines within one
 edit share an untouched first or last part, so only lines that share such a part
@@ -16,11 +16,13 @@ within one edit of the lines that lead to it, so a meeting needs least members
 only, not pairs. As the lines that meet are distinct, a meeting is as small as
 the alphabet, whatever the corpus. Everything is DataFrame functions.
 
+Every row is numbered when the rows are written once at the start; places are
+joined back by that number, so one of several equal rows is the earliest.
+
 Defined cases: a null text has no lines and stays null; a null id sorts first;
 rows that repeat an id count in the order of their texts' hashes, and rows equal
-in id and text are treated alike, or, with ``each_row``, count one after another
-by a number that is written once with the rows; an empty table gives an empty result; other
-columns are carried along untouched.
+in id and text one after another in an order of their own; an empty table gives an
+empty result; other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -44,11 +46,14 @@ def _filled(line: Column) -> Column:
     return F.trim(line, F.lit(BLANK)) != ""
 
 
-def _lines(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
-    """(id, th, rn, pos, line, n) of every line that is long enough, with ``short`` of every line that is not blank."""
+def _stays_anyway(line: Column, min_chars: int) -> Column:
+    return (F.length(line) < min_chars) & ~_filled(line)
+
+
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(id, th, rn, pos, line, n) of every line but short blank ones."""
     parts = docs.select("id", F.hash("text").alias("th"), "rn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    taken = F.col("n") >= min_chars
-    return parts.withColumn("n", F.length("line")).where(taken | _filled(F.col("line")) if short else taken)
+    return parts.withColumn("n", F.length("line")).where(~_stays_anyway(F.col("line"), min_chars))
 
 
 def _line_key(line: str = "line") -> list[Column]:
@@ -130,47 +135,46 @@ def _near(lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("line", "earlier", 1) >= 0).select("h1", "h2").distinct()
 
 
-def _kept(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
-    """(id, th, rn, places): the places of the lines of ``_lines`` that a document keeps."""
-    lines = _lines(docs, min_chars, short)
+def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(rn, places): the places of the lines of ``_lines`` that a row keeps."""
+    lines = _lines(docs, min_chars)
     c, c2 = _part(F.col("n")), _part(F.col("n") - 1)
-    other = lambda x: F.when(c2 != c, x)
+    # a short line has no ends, so it meets equal lines only
+    long = lambda x: F.when(F.col("n") >= min_chars, x)
+    other = lambda x: F.when((F.col("n") >= min_chars) & (c2 != c), x)
     first, last = _ends(F.col("line"), c)
     first2, last2 = _ends(F.col("line"), c2)
-    # a short line has no ends, so it meets equal lines only
-    long = lambda x: F.when(F.col("n") >= min_chars, x) if short else x
     occurrences = stored(lines.select(*ORDER, *_line_key(), long(first).alias("first"), long(last).alias("last"),
-                                      long(other(first2)).alias("first2"), long(other(last2)).alias("last2")), "line-hashes")
+                                      other(first2).alias("first2"), other(last2).alias("last2")), "line-hashes", "zstd")
     suspects = stored(_suspects(occurrences), "line-suspects")
     texts = (lines.select(*ORDER, "line", *_line_key()).join(bounded(suspects), ["h1", "h2"], "left_semi")
              .groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct(*ORDER)).alias("order")))
     near = stored(_near(stored(_closer(stored(texts, "line-texts")), "line-close")), "line-near")
     earliest = occurrences.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("order"))
     stay = earliest.join(bounded(near), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("order.id").alias("k_id"), F.col("order.th").alias("k_th"), F.col("order.rn").alias("k_rn")).agg(F.collect_set("order.pos").alias("places"))
+    return stay.groupBy(F.col("order.rn").alias("rn")).agg(F.collect_set("order.pos").alias("places"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-          short: bool = False, each_row: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, text, n_lines, n_dropped): every input row as a struct of all its
-    columns, its text without the dropped lines, and line counts. With ``short``
-    exact repeats of shorter lines are dropped too; with ``each_row`` only one
-    of the rows equal in id and text counts as the earliest."""
-    rows = docs.select(whole_row(docs).alias("row"), (F.monotonically_increasing_id() if each_row else F.lit(0).cast("long")).alias("rn"))
-    if each_row:
-        rows = stored(rows, "line-rows")
-    keyed = rows.select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"), "rn")
-    kept = _kept(keyed.select("id", "text", "rn"), min_chars, short)
-    joined = keyed.withColumn("th", F.hash("text")).join(
-        kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")) & (F.col("rn") == F.col("k_rn")), "left")
-    parts = F.split("text", "\n", -1)
-    none = F.array().cast("array<int>")
-    apart = lambda line: (F.length(line) < min_chars) & ~_filled(line) if short else F.length(line) < min_chars
-    stays = F.filter(parts, lambda line, i: apart(line) | F.array_contains(F.coalesce("places", none), i))
-    return (joined.select("row", "text", F.coalesce(F.size(parts), F.lit(0)).alias("n"), stays.alias("stays"))
-            .select("row", F.when(F.col("text").isNotNull(), F.array_join("stays", "\n")).alias("text"),
-                    F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n_lines"),
-                    F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n") - F.size("stays")).cast("long").alias("n_dropped")))
+    columns, its text without the dropped lines, and line counts."""
+    rows = stored(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("rn")), "line-rows", "zstd")
+    keyed = rows.select("rn", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"))
+    kept = _kept(keyed, min_chars)
+    joined = rows.select("row", "rn", F.col("row")[text_col].cast("string").alias("text")).join(kept, "rn", "left")
+    places = F.coalesce("places", F.array().cast("array<int>"))
+
+    def written(parts: Column) -> Column:
+        blank = F.filter(F.transform(parts, lambda line, i: F.when(_stays_anyway(line, min_chars), i)), lambda i: i.isNotNull())
+        stays = F.array_sort(F.concat(places, blank))
+        return F.struct(F.size(parts).alias("n"), F.size(stays).alias("kept"), F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n").alias("text"))
+
+    # a one-element array binds the lines once for all uses
+    out = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), written), 1)
+    count = lambda c: F.coalesce(F.when(F.col("text").isNotNull(), c), F.lit(0)).cast("long")
+    return (joined.select("row", "text", out.alias("out"))
+            .select("row", F.when(F.col("text").isNotNull(), F.col("out.text")).alias("text"),
+                    count(F.col("out.n")).alias("n_lines"), count(F.col("out.n") - F.col("out.kept")).alias("n_dropped")))
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
@@ -186,12 +190,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 
-def query_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(read(spark, sf_dir, "documents"), short=True, each_row=True).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
-
-
 # One edit leaves the first or the last ten characters of a line of twenty as
-# they are; the first place where the lines differ then decides.
+# they are; the first place where the lines differ then decides. Of equal short
+# lines that are not blank the earliest stays.
 ORACLE_SQL = f"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 placed AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
@@ -209,20 +210,14 @@ differ AS (SELECT x, y, list_position(list_transform(range(1, length(y) + 1),
 near AS (SELECT x, y FROM differ WHERE substr(y, p + 1) = CASE WHEN length(x) = length(y) THEN substr(x, p + 1) ELSE substr(x, p) END),
 pairs AS (SELECT x AS line, y AS other FROM near UNION SELECT y, x FROM near),
 dropped AS (SELECT DISTINCT pairs.line FROM pairs JOIN long a ON a.line = pairs.line JOIN long b ON b.line = other WHERE b.first < a.first),
-kept AS (SELECT placed.*, length(placed.line) < {MIN_CHARS} OR ((doc_id, pos) = first AND dropped.line IS NULL) AS stays
-  FROM placed LEFT JOIN long USING (line) LEFT JOIN dropped USING (line)),
+short AS (SELECT line, min((doc_id, pos)) AS first FROM placed
+  WHERE length(line) < {MIN_CHARS} AND trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '' GROUP BY line),
+kept AS (SELECT placed.*, CASE WHEN length(placed.line) < {MIN_CHARS} THEN short.line IS NULL OR (doc_id, pos) = short.first
+    ELSE (doc_id, pos) = long.first AND dropped.line IS NULL END AS stays
+  FROM placed LEFT JOIN long USING (line) LEFT JOIN dropped USING (line) LEFT JOIN short USING (line)),
 whole AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text FROM kept GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
   CASE WHEN documents.text IS NOT NULL THEN whole.text END AS text
 FROM documents LEFT JOIN whole USING (doc_id)
 """
-
-# The same with the short lines: of equal ones that are not blank the earliest stays.
-SHORT_ORACLE_SQL = ORACLE_SQL.replace("kept AS (", f"""short AS (SELECT line, min((doc_id, pos)) AS first FROM placed
-  WHERE length(line) < {MIN_CHARS} AND trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '' GROUP BY line),
-kept AS (""").replace(
-    f"length(placed.line) < {MIN_CHARS} OR ((doc_id, pos) = first AND dropped.line IS NULL) AS stays",
-    f"""CASE WHEN length(placed.line) < {MIN_CHARS} THEN short.line IS NULL OR (doc_id, pos) = short.first
-    ELSE (doc_id, pos) = long.first AND dropped.line IS NULL END AS stays""").replace(
-    "LEFT JOIN dropped USING (line)),", "LEFT JOIN dropped USING (line) LEFT JOIN short USING (line)),")

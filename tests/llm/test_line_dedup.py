@@ -3,6 +3,7 @@
 import random
 
 from kiln.llm import line_dedup as L
+from tests.llm.odd import no_docs, odd_docs, odd_rows
 
 
 def within_one(a: str, b: str) -> bool:
@@ -14,23 +15,43 @@ def within_one(a: str, b: str) -> bool:
     return a[p + 1:] == b[p + 1:] if len(a) == len(b) else a[p:] == b[p + 1:]
 
 
-def brute(rows):
-    """{(id, text): kept lines} by comparing each long line with all earlier ones."""
-    placed = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, out = [], {}
-    for i, t in placed:
+def brute(rows, texts_hash):
+    """Per row its text without dropped lines, by comparing each line with all earlier ones."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, texts_hash[rows[k][1]]))
+    seen, short, out = [], set(), [None] * len(rows)
+    for k in order:
+        if rows[k][1] is None:
+            continue
         keep = []
-        for line in t.split("\n"):
+        for line in rows[k][1].split("\n"):
             if len(line) < L.MIN_CHARS:
-                keep.append(line)
+                if line not in short:
+                    keep.append(line)
+                if line.strip(L.BLANK):
+                    short.add(line)
             else:
                 if not any(within_one(line, s) for s in seen):
                     keep.append(line)
                 seen.append(line)
-        out[(i, t)] = "\n".join(keep)
+        out[k] = "\n".join(keep)
     return out
 
 
+def hashes(spark, rows):
+    texts = spark.createDataFrame([(t,) for _, t in rows], "text string").selectExpr("text", "hash(text) AS h").collect()
+    return {r.text: r.h for r in texts}
+
+
+def check(spark, rows, df=None):
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string") if df is None else df).collect()
+    want = brute(rows, hashes(spark, rows))
+    key = lambda r: tuple((v is not None, v or "") for v in r)
+    assert sorted([(str(g.row.doc_id), g.row.text, g.text) for g in got], key=key) == sorted([(str(i), t, w) for (i, t), w in zip(rows, want)], key=key)
+    for g in got:
+        left = 0 if not g.n_lines - g.n_dropped else len(g.text.split("\n"))
+        assert (g.n_lines, g.n_lines - g.n_dropped) == ((0, 0) if g.row.text is None else (len(g.row.text.split("\n")), left))
+
+
 def edited(r: random.Random, s: str) -> str:
     p = r.choice([0, len(s) - 1, len(s), r.randrange(len(s))])
     c = r.choice("xyzé😀 ")
@@ -51,15 +72,7 @@ def test_matches_brute_force(spark):
             lines.append(r.choice([s, s, "short", ""]))
         rows.append((i, "\n".join(lines)))
     rows += [(200, None), (None, pool[8] + "\nwith a null id, first of all"), (201, ""), (202, rows[5][1]), (5, rows[5][1]), (203, "\n\n")]
-    want = brute(rows)
-    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
-    for g in got:
-        if g.row.text is None:
-            assert g.text is None and g.n_lines == g.n_dropped == 0
-        else:
-            assert g.text == want[(g.row.doc_id, g.row.text)]
-            assert g.n_lines == len(g.row.text.split("\n"))
+    check(spark, rows)
 
 
 def test_other_columns_pass_and_empty_table(spark):
@@ -76,7 +89,7 @@ def test_other_columns_pass_and_empty_table(spark):
 def test_exact_repeats_of_short_lines_go(spark):
     rows = [(1, "}\nshort\n\n  \nshort\nshoRt"), (2, "short\n\n \t\na line that is long enough\n}"), (3, "shor\n\na line that is long enougH"),
             (None, "first of all"), (4, "first of all"), (5, None)]
-    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.row.doc_id, r.text, r.n_dropped) for r in got} == {
         (1, "}\nshort\n\n  \nshoRt", 1), (2, "\n \t\na line that is long enough", 2), (3, "shor\n", 1),
         (None, "first of all", 0), (4, "", 1), (5, None, 0)}
@@ -85,6 +98,14 @@ def test_exact_repeats_of_short_lines_go(spark):
 def test_one_of_the_rows_equal_in_id_and_text_is_the_earliest(spark):
     line = "a line that is long enough"
     rows = [(None, line)] * 3 + [(1, "another line that is long\nx")] * 2 + [(2, line)]
-    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), each_row=True).collect()
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((str(r.row.doc_id), r.text) for r in got) == sorted(
-        [("None", line), ("None", ""), ("None", ""), ("1", "another line that is long\nx"), ("1", "x"), ("2", "")])
+        [("None", line), ("None", ""), ("None", ""), ("1", "another line that is long\nx"), ("1", ""), ("2", "")])
+
+
+def test_odd_rows_and_empty_table(spark):
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    check(spark, rows, odd_docs(spark).selectExpr("*", "1 AS rn", "2 AS pos", "'l' AS line", "3 AS th").withColumnRenamed("kept", "places"))
+    check(spark, rows + [(10, "\n".join(f"line {k % 700}" for k in range(9_000)))])
+    assert L.dedup(no_docs(spark)).count() == L.rewrite(no_docs(spark)).count() == 0
+    assert L.rewrite(odd_docs(spark)).schema == odd_docs(spark).schema
