@@ -37,15 +37,20 @@ def equals_ignore_case_flag(a, b) -> Column:
     return F.when(F.lower(as_col(a)) == F.lower(as_col(b)), F.lit("Y")).otherwise(F.lit("N"))
 
 
+def _once(c: Column, use) -> Column:
+    """``use`` applied to ``c`` bound as a lambda variable: ``c`` is evaluated
+    once and stands once in the generated code, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def ipv4_to_long(c) -> Column:
     """Dotted quad -> integer; null unless four octets in 0..255."""
+    def number(octets: Column) -> Column:
+        return F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: F.when((o >= 0) & (o <= 255), acc * 256 + o))
+
     c = as_col(c)
-    octets = [F.regexp_extract(c, IPV4_PATTERN, i).try_cast("long") for i in range(1, 5)]
-    ok = c.rlike(IPV4_PATTERN)
-    for o in octets:
-        ok = ok & (o <= 255)
-    val = (octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3])
-    return F.when(ok, val)
+    octets = F.transform(F.split(c, r"\."), lambda o: o.try_cast("long"))
+    return F.when(c.rlike(IPV4_PATTERN), number(octets))
 
 
 # IPv4 blocks that are not publicly routed (first, last).
@@ -72,11 +77,13 @@ def _dotted_to_int(s: str) -> int:
 
 
 def is_public_ipv4(ip_long) -> Column:
-    c = as_col(ip_long)
-    cond = c.isNotNull()
-    for lo, hi in RESERVED_IPV4_BLOCKS:
-        cond = cond & ~c.between(_dotted_to_int(lo), _dotted_to_int(hi))
-    return cond
+    def outside(x: Column) -> Column:
+        cond = x.isNotNull()
+        for lo, hi in RESERVED_IPV4_BLOCKS:
+            cond = cond & ~x.between(_dotted_to_int(lo), _dotted_to_int(hi))
+        return cond
+
+    return _once(as_col(ip_long), outside)
 
 
 def port_range(c) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiln.operators.windows import grouped_prefix_sums
+
 # Service -> (protocol, port) expected for it.
 SERVICE_PORTS = [("http", "tcp", 80), ("ssl", "tcp", 443), ("dns", "udp", 53), ("ssh", "tcp", 22)]
 
@@ -25,21 +27,32 @@ def first_contact(df: DataFrame, pair: Sequence[str], ts: str, tiebreak: str) ->
 
 def trailing_sum(df: DataFrame, pair: Sequence[str], ts: str, value, seconds: float,
                  out: str = "sum_window") -> DataFrame:
-    """Sum of ``value`` over each row's pair in [ts - seconds, ts].
+    """Sum of ``value`` over each row's pair in [ts - seconds, ts], linear in the rows.
 
-    Rows are bucketed by ``floor(ts / seconds)``; each row also goes to the
-    next bucket as context, so a window never needs more than its own and
-    the previous bucket. Window partitions are (pair, bucket), bounding the
-    work of a busy pair by one bucket of time instead of its whole history."""
+    Values are summed per (pair, ts) first. A sum enters the window at its ts
+    and leaves it just after ts + seconds, so the trailing sum is a running
+    total over enter and leave rows in time order. Running totals go across
+    range partitions, so a busy pair (or a busy day of it) is many tasks.
+    Rows of null ts form a window of their own. Whole numbers and decimals are
+    exact; doubles carry the rounding of adding and taking away."""
     v = value if not isinstance(value, str) else F.col(value)
-    base = df.withColumn("__v", v).withColumn("__b", F.floor(F.col(f"`{ts}`") / F.lit(seconds)))
-    # one scan: each row is emitted as itself and as context for the next bucket
-    both = (base.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
-            .withColumn("__b", F.when(F.col("__own"), F.col("__b")).otherwise(F.col("__b") + 1)))
-    w = (Window.partitionBy(*[F.col(f"`{p}`") for p in pair], F.col("__b")).orderBy(F.col(f"`{ts}`"))
-         .rangeBetween(-int(seconds), 0))
-    return (both.withColumn(out, F.sum("__v").over(w)).where(F.col("__own"))
-            .drop("__v", "__b", "__own"))
+    keys = [f"__k{i}" for i in range(len(pair))]
+    named = [F.col(f"`{p}`").alias(k) for p, k in zip(pair, keys)]
+    sums = (df.select(*named, F.col(f"`{ts}`").alias("__at"), v.alias("__v")).groupBy(*keys, "__at")
+            .agg(F.coalesce(F.sum("__v"), F.lit(0)).alias("__s"), F.count("__v").alias("__n")))
+    at, s, n = F.col("__at"), F.col("__s"), F.col("__n")
+    moves = sums.where(at.isNotNull()).select(*keys, F.explode(F.array(
+        F.struct(at.alias("at"), F.lit(0).alias("leaves"), s.alias("s"), n.alias("n")),
+        F.struct((at + F.lit(seconds)).cast(sums.schema["__at"].dataType).alias("at"), F.lit(1).alias("leaves"),
+                 (-s).alias("s"), (-n).alias("n")))).alias("m")).select(*keys, "m.*")
+    run = grouped_prefix_sums(moves, keys, ["at", "leaves"], ["s", "n"])
+    total = lambda n, s: F.when(F.col(n) > 0, F.col(s)).alias(out)
+    found = run.where(F.col("leaves") == 0).select(*keys, F.col("at").alias("__at"), total("n_cum", "s_cum"))
+    found = found.unionByName(sums.where(at.isNull()).select(*keys, "__at", total("__n", "__s")))
+    meets = F.col(f"d.`{ts}`").eqNullSafe(F.col("__at"))
+    for p, k in zip(pair, keys):
+        meets = meets & F.col(f"d.`{p}`").eqNullSafe(F.col(k))
+    return df.alias("d").join(found, meets).select("d.*", out)
 
 
 def ratio(num, den):

@@ -3,37 +3,66 @@ manifests and snapshot differences."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.net import ipv4_to_long, is_public_ipv4
 
 
-def ip_range_join(points: DataFrame, ranges: DataFrame, ip_col: str, bucket_bits: int = 16,
-                  start: str = "start_ip", end: str = "end_ip", public_only: bool = True) -> DataFrame:
+#: Addresses are swept in buckets of this many low bits: at most 65,536
+#: buckets of at most 65,536 distinct addresses each.
+SWEEP_BITS = 16
+
+
+def last_range_at(addresses: DataFrame, ranges: DataFrame, start: str = "start_ip", end: str = "end_ip") -> DataFrame:
+    """(addr, range): for each distinct address in ``addr`` the row of
+    ``ranges`` that holds it, as a struct, or null.
+
+    An ordered sweep: range starts and addresses are sorted together inside
+    buckets of 2**16 addresses, and the last range that started is carried
+    forward to each address and checked by its end. A range that began in an
+    earlier bucket enters a bucket as a carry row, found from the last start
+    of each bucket (at most 65,536 rows). No range is exploded, whatever its
+    width. Ranges must be disjoint; a start inside the range before it raises."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in ranges.columns])
+    bucket = F.shiftright(F.col("addr"), SWEEP_BITS).alias("bucket")
+    starts = (ranges.where(F.col(start).isNotNull()).select(F.col(start).cast("long").alias("addr"), whole.alias("range"))
+              .select("addr", bucket, F.lit(1).alias("kind"), "range"))
+    points = addresses.select("addr", bucket, F.lit(2).alias("kind"), F.lit(None).cast(starts.schema["range"].dataType).alias("range"))
+    # per bucket the last start, then over the bounded list of buckets the last one before each
+    lasts = (starts.groupBy("bucket").agg(F.max_by("range", "addr").alias("last"))
+             .unionByName(points.select("bucket").distinct().withColumn("last", F.lit(None).cast(starts.schema["range"].dataType)))
+             .groupBy("bucket").agg(F.first("last", ignorenulls=True).alias("last")))
+    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select("bucket", F.last("last", ignorenulls=True).over(before).alias("range")).select(
+        F.shiftleft(F.col("bucket"), SWEEP_BITS).alias("addr"), "bucket", F.lit(0).alias("kind"), "range").where(F.col("range").isNotNull())
+    order = Window.partitionBy("bucket").orderBy("addr", "kind")
+    earlier = F.last("range", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    swept = starts.unionByName(points).unionByName(carry).select("addr", "kind", "range", earlier.alias("held"))
+    clash = F.col(f"held.`{end}`") >= F.col("addr")
+    wrong = F.raise_error(F.concat(F.lit("ranges overlap at "), F.col("addr").cast("string"))).cast("boolean")
+    # starts are looked at for overlap as they are left out
+    asked = F.when(F.col("kind") == 2, F.lit(True)).when((F.col("kind") == 1) & clash, wrong).otherwise(F.lit(False))
+    return swept.where(asked).select("addr", F.when(F.col("addr") <= F.col(f"held.`{end}`"), F.col("held")).alias("range"))
+
+
+def ip_range_join(points: DataFrame, ranges: DataFrame, ip_col: str, start: str = "start_ip", end: str = "end_ip",
+                  public_only: bool = True) -> DataFrame:
     """Attach the range row holding each point's IPv4 address.
 
-    A BETWEEN join alone is a nested loop; here each range is exploded over
-    the /(32-bucket_bits) prefixes it covers, giving an equi-join key, and
-    the exact bounds are checked as the residual condition. Private and
-    reserved addresses (and unparsable text) get nulls when
-    ``public_only`` and stay out of the join, where they would share one
-    null key. Points are never dropped."""
-    ipn = ipv4_to_long(F.col(f"`{ip_col}`"))
-    pts = points.withColumn("__ipn", ipn)
-    ok = is_public_ipv4(F.col("__ipn")) if public_only else F.col("__ipn").isNotNull()
-    pts = pts.withColumn("__b", F.when(ok, F.shiftright(F.col("__ipn"), bucket_bits)))
-    rcols = [c for c in ranges.columns]
-    rng = ranges.withColumn("__b", F.explode(F.sequence(F.shiftright(F.col(start), bucket_bits),
-                                                        F.shiftright(F.col(end), bucket_bits))))
-    r = rng.alias("r")
-    j = pts.where(F.col("__b").isNotNull()).alias("p").join(
-        r, (F.col("p.__b") == F.col("r.__b")) & F.col("p.__ipn").between(F.col(f"r.{start}"), F.col(f"r.{end}")), "left")
-    mine, theirs = points.columns, [c for c in rcols if c not in (start, end)]
-    found = j.select(*[F.col(f"p.`{c}`") for c in mine], *[F.col(f"r.`{c}`") for c in theirs])
-    rest = pts.where(F.col("__b").isNull()).select(
-        *[F.col(f"`{c}`") for c in mine], *[F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in theirs])
-    return found.union(rest)
+    Distinct address texts are parsed once and swept against the ranges
+    (``last_range_at``); the points then join by text, where a text that many
+    points share is a skewed equi-join that AQE splits. Private and reserved
+    addresses (and unparsable text) get nulls when ``public_only``. Points
+    are never dropped; ranges must be disjoint."""
+    number = ipv4_to_long(F.col("__ip"))
+    texts = points.select(F.col(f"`{ip_col}`").alias("__ip")).where(F.col("__ip").isNotNull()).distinct().select("__ip", number.alias("addr"))
+    texts = texts.where(is_public_ipv4(F.col("addr")) if public_only else F.col("addr").isNotNull())
+    found = last_range_at(texts.select("addr").distinct(), ranges, start, end)
+    named = texts.join(found.where(F.col("range").isNotNull()), "addr").select("__ip", "range")
+    theirs = [c for c in ranges.columns if c not in (start, end)]
+    joined = points.alias("p").join(named, F.col(f"p.`{ip_col}`") == F.col("__ip"), "left")
+    return joined.select("p.*", *[F.col(f"range.`{c}`").alias(c) for c in theirs])
 
 
 def incremental_manifest(files: DataFrame, manifest: DataFrame, path_col: str = "path",

@@ -16,5 +16,8 @@ R_DATA = os.environ.get("KILN_GOLDEN_DIR", "")
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark("kiln-tests", master="local[*]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
+    s = get_spark("kiln-tests", master="local[*]", shuffle_partitions=8, extra={
+        "spark.driver.memory": "8g",
+        # generated code that does not compile raises instead of running interpreted
+        "spark.sql.codegen.fallback": "false"})
     yield s

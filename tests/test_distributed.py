@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kiln.operators import events as EV
@@ -112,6 +113,38 @@ def test_trailing_sum_against_brute_force(spark):
         assert got[i] == want
 
 
+def test_trailing_sum_of_busy_pairs_ties_and_nulls(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["a", "a", "a", None]), rnd.choice([1, 2, None]), rnd.choice([None, *(86400.0 * k / 4 for k in range(30))]),
+             rnd.choice([None, 1, 5, 9])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, `p.x` string, q int, ts double, v long")
+    got = {r["id"]: r["s"] for r in EV.trailing_sum(df, ["p.x", "q"], "ts", "v", 86400.0, "s").collect()}
+    assert len(got) == len(rows)
+    for i, p, q, ts, _ in rows:
+        mine = [v for _, p2, q2, t, v in rows if (p2, q2) == (p, q) and v is not None
+                and (t is None if ts is None else t is not None and ts - 86400 <= t <= ts)]
+        assert got[i] == (sum(mine) if mine else None)
+    assert EV.trailing_sum(df.limit(0), ["q"], "ts", "v", 86400.0).count() == 0
+
+
+def test_trailing_sum_spreads_one_busy_pair(spark):
+    # one pair, one day: the work is linear and no task holds the pair
+    n = 300_000
+    df = spark.range(n).select(F.lit("a").alias("pair"), (F.col("id") * 0.25).alias("ts"), F.lit(1).alias("v"), "id")
+    out = EV.trailing_sum(df, ["pair"], "ts", "v", 3600.0, "s")
+    bad = out.where(F.col("s") != F.least(F.col("id") + 1, F.lit(14401))).count()
+    assert bad == 0 and out.count() == n
+
+
+def test_grouped_prefix_sums_across_partitions(spark):
+    from kiln.operators.windows import grouped_prefix_sums
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b", None]), i, rnd.randint(-5, 5)) for i in range(900)]
+    got = {r["at"]: r["v_cum"] for r in grouped_prefix_sums(spark.createDataFrame(rows, "g string, at int, v long"), ["g"], ["at"], ["v"]).collect()}
+    for g, at, _ in rows:
+        assert got[at] == sum(v for h, t, v in rows if h == g and t <= at)
+
+
 def test_first_contact_against_brute_force(spark):
     rows = [(i, f"h{i % 4}", float((i * 37) % 101), f"u{i}") for i in range(200)]
     df = spark.createDataFrame(rows, "id long, host string, ts double, uid string")
@@ -125,7 +158,7 @@ def test_ip_range_join_against_brute_force(spark):
     rdf = spark.createDataFrame(ranges, "start_ip long, end_ip long, country string, asn long")
     ips = ["8.8.8.8", "10.1.2.3", "192.168.0.1", "300.1.1.1", "77.66.55.44", "223.255.255.255", "1.0.0.0"]
     pts = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "id long, ip string")
-    got = {r["id"]: r["country"] for r in J.ip_range_join(pts, rdf, "ip", bucket_bits=16).collect()}
+    got = {r["id"]: r["country"] for r in J.ip_range_join(pts, rdf, "ip").collect()}
 
     def brute(ip):
         parts = [int(x) for x in ip.split(".")]
@@ -137,3 +170,32 @@ def test_ip_range_join_against_brute_force(spark):
         hit = [c for s, e, c, _ in ranges if s <= n <= e]
         return hit[0] if hit else None
     assert got == {i: brute(ip) for i, ip in enumerate(ips)}
+
+
+def test_range_sweep_against_brute_force(spark):
+    rnd = random.Random(9)
+    cuts = sorted(rnd.sample(range(2**32), 60) + [5 << 16, (5 << 16) + 1, 6 << 16, 2**32 - 1])
+    ranges = [(a, b - 1 - rnd.randrange(2) * rnd.randrange(b - a), f"r{k}") for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if k % 3]
+    edges = [x + d for a, b, _ in ranges for x in (a, b) for d in (-1, 0, 1)]
+    points = sorted({x for x in edges + [rnd.randrange(2**32) for _ in range(500)] if 0 <= x < 2**32})
+    rdf = spark.createDataFrame(ranges, "start_ip long, end_ip long, name string")
+    got = {r.addr: r.range and r.range.name for r in J.last_range_at(spark.createDataFrame([(p,) for p in points], "addr long"), rdf).collect()}
+    assert got == {p: next((n for a, b, n in ranges if a <= p <= b), None) for p in points}
+    assert "Generate" not in rdf._jdf.queryExecution().executedPlan().toString()
+    none = J.last_range_at(spark.createDataFrame([], "addr long"), rdf)
+    assert none.collect() == [] and J.last_range_at(spark.createDataFrame([(5,)], "addr long"), rdf.limit(0)).collect()[0].range is None
+
+
+def test_range_sweep_raises_on_overlap(spark):
+    for clash in ((10, 300), (100_000, 100_001)):
+        rdf = spark.createDataFrame([(5, 200_000), clash], "start_ip long, end_ip long")
+        with pytest.raises(Exception, match="ranges overlap"):
+            J.last_range_at(spark.createDataFrame([(7,)], "addr long"), rdf).collect()
+
+
+def test_ip_join_keeps_hot_null_and_odd_points(spark):
+    rdf = spark.createDataFrame([(8 << 24, (9 << 24) - 1, "x")], "start_ip long, end_ip long, country string")
+    ips = ["8.8.8.8"] * 50 + [None, "", "8.8.8", "8.8.8.8.8", "8.8.8.256", "08.8.8.8", "10.0.0.1", "9.0.0.0", "1e1.2.3.4"]
+    got = J.ip_range_join(spark.createDataFrame([(i, ip, 1) for i, ip in enumerate(ips)], "id int, ip string, addr int"), rdf, "ip").collect()
+    assert {(r.id, r.country) for r in got} == {(i, "x" if ip in ("8.8.8.8", "08.8.8.8") else None) for i, ip in enumerate(ips)}
+    assert len(got) == len(ips)
