@@ -145,7 +145,7 @@ def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
     first, last = _ends(F.col("line"), c)
     first2, last2 = _ends(F.col("line"), c2)
     occurrences = stored(lines.select(*ORDER, *_line_key(), long(first).alias("first"), long(last).alias("last"),
-                                      other(first2).alias("first2"), other(last2).alias("last2")), "line-hashes", "zstd")
+                                      other(first2).alias("first2"), other(last2).alias("last2")), "line-hashes")
     suspects = stored(_suspects(occurrences), "line-suspects")
     texts = (lines.select(*ORDER, "line", *_line_key()).join(bounded(suspects), ["h1", "h2"], "left_semi")
              .groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct(*ORDER)).alias("order")))
@@ -158,7 +158,7 @@ def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, text, n_lines, n_dropped): every input row as a struct of all its
     columns, its text without the dropped lines, and line counts."""
-    rows = stored(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("rn")), "line-rows", "zstd")
+    rows = stored(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("rn")), "line-rows", "gzip")
     keyed = rows.select("rn", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"))
     kept = _kept(keyed, min_chars)
     joined = rows.select("row", "rn", F.col("row")[text_col].cast("string").alias("text")).join(kept, "rn", "left")
