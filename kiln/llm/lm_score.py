@@ -2,20 +2,21 @@
 
 A text is its UTF-8 bytes and one end byte; each byte is eight binary decisions,
 and a decision's context is the bits of its byte so far and the ``depth`` bytes
-before it (``DEPTH`` in the registered query, at most 6: a run of a context and
-its byte is one 64-bit code). Every node of the context tree keeps Krichevsky-Trofimov counts of
+before it (``DEPTH``, at most 6: a run of a context and its byte is one 64-bit
+code, nearest byte first, so that the contexts of any depth are ranges of the sorted codes). Every node of the context tree keeps Krichevsky-Trofimov counts of
 the training texts. Bottom-up, a node's weighted probability is the mean of its
 own estimate and the product of its children's; top-down, the posterior weights
 mix the estimates of all depths into one probability for each decision.
 
 The corpus is cut into blocks of whole texts. One pass counts the (context,
-byte) runs and words that each block holds, grouped sums give the corpus's
-counts, and the tree is evaluated in partitions that hold all runs with the same
-last two context bytes: at most 65,536 runs each at depth 3, at most 256 times
-as many for each byte more, in texts those that the corpus holds. Each
-block then gets back the probabilities and counts of just the runs and words it
-holds, and its texts are scored against them. Only the two upper levels of the
-tree pass the driver: at most 256 * 255 nodes.
+byte) runs and words that each block holds, and packs them by deal, a hash of the three
+bytes before the byte: sorted keys as differences, with their counts, in one compressed row. Grouped by deal, sums
+give the corpus's counts; the tree from its deepest level up to the third is
+evaluated inside a deal, in slices of whole three-byte contexts, and sums by the last two bytes and then
+the last one give the upper levels. Each block then gets back the
+probabilities and counts of just the runs and words it holds, again one packed row for each deal,
+and its texts are scored against them. Only levels 1 and 0 of the tree pass the
+driver: at most 256 * 255 nodes.
 
 The base score is the add-one unigram model over words and one end token.
 Words are compared by 64-bit hashes.
@@ -29,17 +30,19 @@ neither read nor used.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm import arrays as A
 from kiln.llm.common import read, ship, stored, text_or_empty
 
-#: Context bytes of the registered query.
+#: Context bytes.
 DEPTH = 5
 #: Deeper runs do not fit a signed 64-bit code.
 MAX_DEPTH = 6
@@ -47,10 +50,17 @@ MAX_DEPTH = 6
 EDGE = 0xFF
 BLOCK_BYTES = 32_000_000
 RUN, WORD = 0, 1
+#: Into how many deals the runs, and the words, of the corpus are split.
+DEALS = 256
+#: Runs of a deal that are evaluated at once, but for a longer three-byte context.
+SLICE = 100_000
+#: Log10 probabilities travel as multiples of this.
+UNIT = 2.0**-40
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, row) for every byte and end byte: the byte with the ``depth`` before it, as 64 bits."""
+    """(code, row) for every byte and end byte: the ``depth`` bytes before it,
+    the nearest highest, and the byte itself, as 64 bits."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     starts = offsets[:-1] + np.arange(n) * (depth + 1) + depth
@@ -61,10 +71,31 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray,
     at = np.repeat(starts - offsets[:-1] - np.arange(n), sizes + 1) + np.arange(len(row))
     code = x[at]
     for k in range(1, depth + 1):
-        code |= x[at - k] << (8 * k)
+        code |= x[at - k] << (8 * (depth - k + 1))
     return code, row
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def pack(keys: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Sorted keys and a number for each, compressed: differences by byte planes."""
+    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    return pa.compress(_planes(steps) + _planes(numbers), "zstd", asbytes=True)
+
+
+def unpack(blob: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob.as_buffer(), 16 * n, "zstd"), np.uint8).reshape(2, 8, n)
+    steps, numbers = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in raw)
+    return np.cumsum(steps, dtype=np.uint64).view(np.int64), numbers.view(np.int64)
+
+
+def deal(keys: np.ndarray, kind: int, depth: int) -> np.ndarray:
+    """The deal of runs, by the three nearest bytes, or of hashed words."""
+    return (A.mix((keys >> (8 * (depth - 2)) if kind == RUN else keys).astype(np.uint64)) % np.uint64(DEALS)).astype(np.int64)
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x > 0, by Stirling's series at x + 8."""
     y = x + 8.0
@@ -106,30 +137,30 @@ def _level(context: np.ndarray, node: np.ndarray, bit: np.ndarray, count: np.nda
 
 
 def _lower(code: np.ndarray, count: np.ndarray, depth: int):
-    """Levels ``depth`` to 2 of the tree over runs that hold all of their level-2
+    """Levels ``depth`` to 3 of the tree over runs that hold all of their level-3
     contexts, each (keys, index of each decision, zeros, ones, log probability of
     the children; none below the deepest)."""
     node, bit = _decisions(code)
-    context = code >> 8
     levels = []
-    for d in range(depth, 1, -1):
-        keys, at, zeros, ones = _level(context & ((1 << 8 * d) - 1), node, bit, count)
+    for d in range(depth, 2, -1):
+        keys, at, zeros, ones = _level(code >> 8 * (depth - d + 1), node, bit, count)
         below = None
         if levels:
             deeper, _, z, o, children = levels[-1]
             own = kt(z, o)
-            parent = np.searchsorted(keys, deeper & ((1 << 8 * (d + 1)) - 1))
+            parent = np.searchsorted(keys, (deeper >> 16 << 8) | (deeper & 0xFF))
             below = np.bincount(parent, own if children is None else _mixed(own, children), minlength=len(keys))
         levels.append((keys, at, zeros, ones, below))
     return node, bit, levels
 
 
-def upper_counts(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """(last byte, node, zeros, ones, log weighted probability) of level-2 nodes, summed by the last byte."""
-    k2, _, z2, o2, below = _lower(code, count, depth)[2][-1]
-    weighted = _mixed(kt(z2, o2), below)
-    keys, at = np.unique(k2 & 0xFFFF, return_inverse=True)
-    return keys >> 8, keys & 0xFF, *(np.bincount(at, v, minlength=len(keys)) for v in (z2, o2, weighted))
+def third_level(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(last two bytes, node, zeros, ones, log weighted probability) of level-3 nodes, summed by the last two bytes."""
+    k3, _, z3, o3, below = _lower(code, count, depth)[2][-1]
+    own = kt(z3, o3)
+    keys, at = np.unique((k3 >> 16 << 8) | (k3 & 0xFF), return_inverse=True)
+    weighted = own if below is None else _mixed(own, below)
+    return keys >> 8, keys & 0xFF, *(np.bincount(at, v, minlength=len(keys)) for v in (z3, o3, weighted))
 
 
 class Upper:
@@ -148,7 +179,15 @@ class Upper:
         self.rest = (1 - w0) * (1 - w1)
 
 
-def log10_probability(code: np.ndarray, count: np.ndarray, upper: Upper, depth: int) -> np.ndarray:
+class Second(NamedTuple):
+    """Level-2 nodes by (last two bytes, node), sorted."""
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    below: np.ndarray
+
+
+def log10_probability(code: np.ndarray, count: np.ndarray, second: Second, upper: Upper, depth: int) -> np.ndarray:
     """Log10 probability of each run's last byte after the bytes before it."""
     node, bit, levels = _lower(code, count, depth)
     deep = None
@@ -159,29 +198,53 @@ def log10_probability(code: np.ndarray, count: np.ndarray, upper: Upper, depth:
             stop = _stop(kt(zeros, ones), below)[at]
             p = stop * p + (1 - stop) * deep
         deep = p
-    byte = ((code >> 8) & 0xFF)[:, None]
+    at = np.searchsorted(second.keys, (code >> 8 * (depth - 1))[:, None] << 8 | node)
+    one = (second.ones + 0.5) / (second.zeros + second.ones + 1)
+    stop = _stop(kt(second.zeros, second.ones), second.below)[at]
+    deep = stop * np.where(bit == 1, one[at], 1 - one[at]) + (1 - stop) * deep
+    byte = (code >> 8 * depth)[:, None]
     top = np.where(bit == 1, upper.one[byte, node], upper.zero[byte, node])
     return np.log10(top + upper.rest[byte, node] * deep).sum(1)
 
 
+def slices(code: np.ndarray, depth: int) -> Iterator[slice]:
+    """Runs of at most ``SLICE`` codes that do not cut a three-byte context, unless one is longer."""
+    context = code >> 8 * (depth - 2)
+    ends = np.append(np.flatnonzero(context[1:] != context[:-1]) + 1, len(code)) if len(code) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(code):
+        k = max(int(np.searchsorted(ends, lo + SLICE, side="right")) - 1, int(np.searchsorted(ends, lo, side="right")))
+        yield slice(lo, int(ends[k]))
+        lo = int(ends[k])
+
+
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, held_out, text, block): texts dealt into blocks of whole texts as they are read."""
+    """(block, train, blob): texts dealt into blocks of whole texts as they are
+    read, each row a compressed Arrow stream of (id, held_out, text) and the number of its training texts."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
     picked = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text_or_empty(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
-            for lo, hi in A.chunks(batch.column("text"), BLOCK_BYTES // 4):
+            for lo, hi in A.chunks(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 data, _ = A.utf8(part.column("text"))
                 if size and size + len(data) > BLOCK_BYTES:
                     block, size = block + 1, 0
                 size += len(data)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(hi - lo, block))], names=["id", "held_out", "text", "block"])
+                train = hi - lo - pc.sum(part.column("held_out")).as_py()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([train]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                                 names=["block", "train", "blob"])
+
+    return picked.mapInArrow(run, "block long, train long, blob binary")
 
-    kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, held_out boolean, text string, block long")
+
+def _texts(blob: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
 
 
 def _token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +264,11 @@ class _Counts:
         for part, weight in ((keys[train], 1), (keys[~train], 0)):
             if len(part):
                 k, n = np.unique(part, return_counts=True)
-                self.parts.append((k, n * weight))
-                self.size += len(k)
+                self.merge(k, n * weight)
+
+    def merge(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.size += len(keys)
         if self.size > 2 * self.merged + 1_000_000:
             self.parts = [self.sums()]
             self.size = self.merged = len(self.parts[0][0])
@@ -215,68 +281,138 @@ class _Counts:
         return keys.astype(np.int64), np.bincount(at, n, minlength=len(keys)).astype(np.int64)
 
 
+_HELD = "block long, kind int, deal long, n long, blob binary"
+
+
+def _rows(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in columns.items()], names=list(columns))
+
+
+_KINDS = {"kind": pa.int32(), "blob": pa.binary()}
+
+
 def _held(blocks: DataFrame, depth: int) -> DataFrame:
-    """(block, kind, key, n): what a block's texts hold, with training counts."""
+    """(block, kind, deal, n, blob): what a block's texts hold, with training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, None
 
         def told() -> Iterator[pa.RecordBatch]:
             for kind in (RUN, WORD) if found else ():
                 keys, n = found[kind].sums()
-                for lo in range(0, len(keys), 100_000):
-                    k = keys[lo:lo + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), at)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[lo:lo + 100_000])],
-                        names=["block", "kind", "key", "n"])
+                place = deal(keys, kind, depth)
+                order = np.argsort(place, kind="stable")
+                keys, n, bounds = keys[order], n[order], np.searchsorted(place[order], np.arange(DEALS + 1)).tolist()
+                some = [(d, lo, hi) for d, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
+                yield _rows({"block": [at] * len(some), "kind": [kind] * len(some), "deal": [d for d, _, _ in some],
+                             "n": [hi - lo for _, lo, hi in some], "blob": [pack(keys[lo:hi], n[lo:hi]) for _, lo, hi in some]}, _KINDS)
 
         for batch in batches:
-            ids = batch.column("block").to_numpy()
-            for lo, hi in zip(*_ranges(ids)):
-                if ids[lo] != at:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                if block != at:
                     yield from told()
-                    at, found = int(ids[lo]), {RUN: _Counts(), WORD: _Counts()}
-                part = batch.slice(lo, hi - lo)
+                    at, found = block, {RUN: _Counts(), WORD: _Counts()}
+                part = _texts(blob)
                 texts, train = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
-                for a, b in A.chunks(texts):
-                    data, offsets = A.utf8(texts.slice(a, b - a))
-                    for kind, (keys, row) in ((RUN, runs(data, offsets, depth)), (WORD, _token_hashes(data, offsets))):
-                        found[kind].add(keys, train[a:b][row])
+                data, offsets = A.utf8(texts)
+                for kind, (keys, row) in ((RUN, runs(data, offsets, depth)), (WORD, _token_hashes(data, offsets))):
+                    found[kind].add(keys, train[row])
         yield from told()
 
-    return blocks.select("held_out", "text", "block").mapInArrow(run, "block long, kind int, key long, n long")
+    return blocks.select("block", "blob").mapInArrow(run, _HELD)
 
 
-def _ranges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    return starts, np.append(starts[1:], len(ids)) if len(ids) else starts
+def _sums(held: DataFrame) -> DataFrame:
+    """(kind, deal, n, blob, total, seen): the corpus's counts, one row for each
+    deal, their sum and how many are not 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if found:
+                keys, n = found.sums()
+                yield _rows({"kind": [at[0]], "deal": [at[1]], "n": [len(keys)], "blob": [pack(keys, n)], "total": [int(n.sum())], "seen": [int((n > 0).sum())]}, _KINDS)
+
+        for batch in batches:
+            for *key, n, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "deal", "n")), batch.column("blob")):
+                if key != at:
+                    yield from told()
+                    at, found = key, _Counts()
+                found.merge(*unpack(blob, n))
+        yield from told()
+
+    placed = held.repartition("kind", "deal").sortWithinPartitions("kind", "deal")
+    return placed.mapInArrow(run, "kind int, deal long, n long, blob binary, total long, seen long")
 
 
-def _tree(held: DataFrame, depth: int) -> DataFrame:
-    """(key, value): the log10 probability of every run."""
-    last_two = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    sums = stored(held.where(F.col("kind") == RUN).groupBy("key").agg(F.sum("n").alias("n")), "lm-runs")
-    placed = sums.withColumn("context", last_two).repartition("context").sortWithinPartitions("context", "key")
+_NODES = ("zeros", "ones", "below")
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in A.whole_groups(batches, ("context",)):
-            columns = upper_counts(table["key"].to_numpy(), table["n"].to_numpy(), depth)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["byte", "node", "zeros", "ones", "below"])
 
-    sums2 = (placed.mapInArrow(counts, "byte long, node long, zeros double, ones double, below double")
-             .groupBy("byte", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]))
-    rows = sums2.collect()  # levels 1 and 0: at most 256 * 255 nodes
+def _levels(sums: DataFrame, depth: int) -> tuple[DataFrame, Upper]:
+    """(deal, two, node, zeros, ones, below) of the level-2 nodes above each deal's runs, and the levels above."""
+    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, n, blob in zip(batch.column("deal").to_pylist(), batch.column("n").to_pylist(), batch.column("blob")):
+                code, count = unpack(blob, n)
+                for some in slices(code, depth):
+                    columns = third_level(code[some], count[some], depth)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), place)), *(pa.array(c) for c in columns)],
+                                                     names=["deal", "two", "node", *_NODES])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            two, node, z, o, below = (batch.column(c).to_numpy() for c in ("two", "node", *_NODES))
+            columns = two >> 8, node, z, o, _mixed(kt(z, o), below)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["byte", "node", *_NODES])
+
+    nodes = "node long, zeros double, ones double, below double"
+    add = [F.sum(c).alias(c) for c in _NODES]
+    below = stored(sums.where(F.col("kind") == RUN).select("deal", "n", "blob").mapInArrow(third, f"deal long, two long, {nodes}"), "lm-third")
+    second = stored(below.groupBy("two", "node").agg(*add), "lm-second")
+    rows = second.mapInArrow(first, f"byte long, {nodes}").groupBy("byte", "node").agg(*add).collect()  # levels 1 and 0: at most 256 * 255 nodes
     upper = Upper(*(np.array([r[i] for r in rows], np.int64 if i < 2 else np.float64) for i in range(5)))
+    return below.select("deal", "two").distinct().join(second, "two"), upper
+
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in A.whole_groups(batches, ("context",)):
-            key = table["key"].to_numpy()
-            value = log10_probability(key, table["n"].to_numpy(), upper, depth)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value)], names=["key", "value"])
+def _values(held: DataFrame, sums: DataFrame, second: DataFrame, upper: Upper, depth: int) -> DataFrame:
+    """``held`` rows with the corpus's count of each word, or the log10
+    probability of each run, in place of their own counts."""
+    empty = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    shape = ["kind", "deal", "rank", "block", "two", "node", *_NODES, "n", "blob"]
+    nodes = second.select("*", F.lit(RUN).alias("kind"), F.lit(0).alias("rank"), empty("block", "long"), empty("n", "long"), empty("blob", "binary"))
+    none = [empty("two", "long"), empty("node", "long"), *(empty(c, "double") for c in _NODES)]
+    whole = sums.select("kind", "deal", F.lit(1).alias("rank"), empty("block", "long"), *none, "n", "blob")
+    rows = held.select("kind", "deal", F.lit(2).alias("rank"), "block", *none, "n", "blob")
+    placed = (nodes.select(shape).unionByName(whole).unionByName(rows)
+              .repartition("kind", "deal").sortWithinPartitions("kind", "deal", "rank", "block", "two", "node"))
 
-    return placed.mapInArrow(values, "key long, value double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, keys, values = None, [], None, None
+        for batch in batches:
+            kind, place, rank = (batch.column(c).to_numpy() for c in ("kind", "deal", "rank"))
+            for lo, hi in zip(*_ranges((place << 8) | (kind << 4) | rank)):
+                if (kind[lo], place[lo]) != at:
+                    at, parts = (kind[lo], place[lo]), []
+                part = batch.slice(lo, hi - lo)
+                if rank[lo] == 0:
+                    two, node, *numbers = (part.column(c).to_numpy() for c in ("two", "node", *_NODES))
+                    parts.append(((two << 8) | node, *numbers))
+                    continue
+                sizes, blobs = part.column("n").to_pylist(), part.column("blob")
+                if rank[lo] == 1:
+                    keys, values = unpack(blobs[0], sizes[0])
+                    if kind[lo] == RUN:
+                        second = Second(*(np.concatenate(c) for c in zip(*parts)))
+                        found = [log10_probability(keys[s], values[s], second, upper, depth) for s in slices(keys, depth)]
+                        values = np.round(-np.concatenate(found) / UNIT).astype(np.int64)
+                    continue
+                for block, n, blob in zip(part.column("block").to_pylist(), sizes, blobs):
+                    mine = unpack(blob, n)[0]
+                    yield _rows({"block": [block], "kind": [int(kind[lo])], "n": [n], "blob": [pack(mine, values[np.searchsorted(keys, mine)])]}, _KINDS)
+
+    return placed.mapInArrow(run, "block long, kind int, n long, blob binary")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens,
     base_score, score and bits_per_byte (the model's code length, end byte included)
     of a tree of ``depth`` context bytes, 3 to 6."""
@@ -285,42 +421,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     ship(docs.sparkSession)
     blocks = stored(_blocks(docs, id_col, text_col), "lm-blocks")
     held = stored(_held(blocks, depth), "lm-held")
-    told = held.where(F.col("kind") == RUN).join(_tree(held, depth), "key").select("block", "kind", "key", "value")
-    counted = held.where(F.col("kind") == WORD).withColumn("value", F.sum("n").over(Window.partitionBy("key")).cast("double"))
-    totals = held.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    ends = blocks.where("NOT held_out").count()
+    sums = stored(_sums(held), "lm-sums")
+    totals = sums.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
+    ends = blocks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
     train_tokens, kinds = totals["n"] + ends, totals["v"] + (ends > 0)
-    values = stored(told.unionByName(counted.select("block", "kind", "key", "value")), "lm-values")
-    kind = blocks.schema["id"].dataType.simpleString()
-    empty = lambda name, t: F.lit(None).cast(t).alias(name)
-    both = (values.select("block", "kind", "key", "value", empty("id", kind), empty("held_out", "boolean"), empty("text", "string"))
-            .unionByName(blocks.select("block", F.lit(2).alias("kind"), empty("key", "long"), empty("value", "double"), "id", "held_out", "text"))
-            .repartition("block").sortWithinPartitions("block", "kind", "key"))
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    both = (_values(held, sums, *_levels(sums, depth), depth)
+            .unionByName(blocks.select("block", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("n"), "blob"))
+            .repartition("block").sortWithinPartitions("block", "kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = float(train_tokens + kinds + 1)
         at, parts, tables = None, {}, {}
         for batch in batches:
-            block, rank = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            for lo, hi in zip(*_ranges((block << 2) | rank)):
-                if block[lo] != at:
-                    at, parts, tables = block[lo], {RUN: [], WORD: []}, {}
-                part = batch.slice(lo, hi - lo)
-                if rank[lo] < 2:
-                    parts[int(rank[lo])].append((part.column("key").to_numpy(), part.column("value").to_numpy()))
+            for block, rank, n, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "n")), batch.column("blob")):
+                if block != at:
+                    at, parts, tables = block, {RUN: [], WORD: []}, {}
+                if rank < 2:
+                    parts[rank].append(unpack(blob, n))
                     continue
                 if not tables:
                     for k, got in parts.items():
-                        none = (np.zeros(0, np.int64), np.zeros(0))
-                        tables[k] = tuple(np.concatenate(c) for c in zip(*(got or [none])))
+                        keys, values = (np.concatenate(c) for c in zip(*(got or [(np.zeros(0, np.int64),) * 2])))
+                        order = np.argsort(keys)
+                        tables[k] = keys[order], values[order] * (-UNIT if k == RUN else 1)
                     parts = {}
-                yield from _scored(part, tables, total, ends, train_tokens, depth)
+                yield from _scored(_texts(blob), tables, total, ends, train_tokens, depth)
 
     fields = ("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     return both.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
 
 
+def _ranges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return starts, np.append(starts[1:], len(ids)) if len(ids) else starts
+
+
 def _scored(part: pa.RecordBatch, tables: dict, total: float, ends: int, train_tokens: int, depth: int) -> Iterator[pa.RecordBatch]:
     texts = part.column("text")
     for a, b in A.chunks(texts):
@@ -345,4 +481,4 @@ def _scored(part: pa.RecordBatch, tables: dict, total: float, ends: int, train_t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read(spark, sf_dir, "documents"), depth=DEPTH)
+    return score(read(spark, sf_dir, "documents"))

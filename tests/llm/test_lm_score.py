@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kiln.llm import lm_score as L
@@ -16,47 +17,53 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Tree:
-    def __init__(self, texts):
+    """Counts of every context up to ``depth`` bytes, weighted by recursion from the deepest."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.known = depth, {}
         self.count = collections.defaultdict(lambda: [0, 0])
-        for t in texts:
-            for context, node, bit in self.decisions(t):
-                for d in range(4):
-                    self.count[context[3 - d:], node][bit] += 1
+        for (context, byte), n in sum((self.runs(t) for t in texts), collections.Counter()).items():
+            for node, bit in self.decisions(byte):
+                for d in range(depth + 1):
+                    self.count[context[depth - d:], node][bit] += n
         self.children = collections.defaultdict(float)
-        for d in (3, 2, 1):
+        for d in range(depth, 0, -1):
             for (context, node) in [k for k in self.count if len(k[0]) == d]:
                 own = self.own(context, node)
-                weighted = own if d == 3 else np.logaddexp(own, self.children[context, node]) - math.log(2)
+                weighted = own if d == depth else np.logaddexp(own, self.children[context, node]) - math.log(2)
                 self.children[context[1:], node] += weighted
 
+    def runs(self, text):
+        x = b"\xff" * self.depth + (text or "").encode() + b"\xff"
+        return collections.Counter((x[i - self.depth:i], x[i]) for i in range(self.depth, len(x)))
+
     @staticmethod
-    def decisions(text):
-        x = b"\xff\xff\xff" + (text or "").encode() + b"\xff"
-        for i in range(3, len(x)):
-            node = 1
-            for k in range(7, -1, -1):
-                bit = x[i] >> k & 1
-                yield x[i - 3:i], node, bit
-                node = 2 * node + bit
+    def decisions(byte):
+        return [((1 << 7 - k) | byte >> k + 1, byte >> k & 1) for k in range(7, -1, -1)]
 
     def own(self, context, node):
         a, b = self.count.get((context, node), (0, 0))
         return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
+    def probability(self, context, node, bit):
+        p = None
+        for d in range(self.depth, -1, -1):
+            c = context[self.depth - d:]
+            n = self.count.get((c, node), (0, 0))
+            estimate = (n[bit] + .5) / (sum(n) + 1)
+            if p is None:
+                p = estimate
+            else:
+                w = 1 / (1 + math.exp(max(-700, min(700, self.children.get((c, node), 0.0) - self.own(c, node)))))
+                p = w * estimate + (1 - w) * p
+        return p
+
     def score(self, text):
         total = 0.0
-        for context, node, bit in self.decisions(text):
-            p = None
-            for d in (3, 2, 1, 0):
-                c = context[3 - d:]
-                n = self.count.get((c, node), (0, 0))
-                estimate = (n[bit] + .5) / (sum(n) + 1)
-                if d == 3:
-                    p = estimate
-                else:
-                    w = 1 / (1 + math.exp(max(-700, min(700, self.children.get((c, node), 0.0) - self.own(c, node)))))
-                    p = w * estimate + (1 - w) * p
-            total += math.log10(p)
+        for (context, byte), n in self.runs(text).items():
+            if (context, byte) not in self.known:
+                self.known[context, byte] = sum(math.log10(self.probability(context, node, bit)) for node, bit in self.decisions(byte))
+            total += n * self.known[context, byte]
         return total
 
 
@@ -69,9 +76,9 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def check(df, rows):
+def check(df, rows, depth=L.DEPTH):
     train = [t for i, t in rows if not held(i)]
-    tree = Tree(train)
+    tree = Tree(train, depth)
     tokens = lambda t: [w.translate(LOWER) for w in WORD.findall(t or "")] + [0]
     count = collections.Counter(x for t in train for x in tokens(t))
     n, v = sum(count.values()), len(count)
@@ -80,7 +87,7 @@ def check(df, rows):
         w = tokens(t)
         want[str(i)].append((held(i), len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), tree.score(t)))
     got = collections.defaultdict(list)
-    for r in L.score(df).collect():
+    for r in L.score(df, depth=depth).collect():
         got[str(r.doc_id)].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
     assert got.keys() == want.keys()
     for k in want:
@@ -89,71 +96,52 @@ def check(df, rows):
         assert len(got[k]) == len(want[k])
 
 
+ROWS = [(r[0], r[1]) for r in odd_rows()] + [(20 + i, f"some words {i} of Text\nmore é {i % 3}") for i in range(40)]
+
+
 def test_odd_rows_in_one_block_and_in_many(spark, monkeypatch):
-    rows = [(r[0], r[1] if r[1] is None else r[1][:3000]) for r in odd_rows()] + [(20 + i, f"some words {i} of Text\nmore é {i % 3}") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    check(df.coalesce(1), rows)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    check(df.coalesce(1), ROWS)
     monkeypatch.setattr(L, "BLOCK_BYTES", 400)
-    check(df.repartition(4), rows)
+    check(df.repartition(4), ROWS)
     assert L.score(no_docs(spark)).count() == 0
-    assert L.score(odd_docs(spark)).count() == len(odd_rows())
+    assert L.score(odd_docs(spark).selectExpr("*", "'b' AS blob", "1 AS deal", "2 AS kind")).count() == len(odd_rows())
 
 
-def test_held_out_texts_cost_fewer_bits_than_under_an_untrained_model(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = [r for r in L.score(docs).collect() if r.held_out]
-    size = {r.doc_id: len((r.text or "").encode()) + 1 for r in docs.collect()}
-    bits = -sum(r.score for r in out) / math.log10(2) / sum(size[r.doc_id] for r in out)
-    assert len(out) > 10 and bits < 3.0  # an untrained tree gives 8
+@pytest.mark.parametrize("depth", [3, 4, 6])
+def test_other_depths(spark, monkeypatch, depth):
+    monkeypatch.setattr(L, "BLOCK_BYTES", 4000)
+    check(spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3), ROWS, depth)
 
 
-class DeepTree(Tree):
-    def __init__(self, texts, depth):
-        self.depth = depth
-        self.count = collections.defaultdict(lambda: [0, 0])
-        for t in texts:
-            for context, node, bit in self.contexts(t):
-                for d in range(depth + 1):
-                    self.count[context[depth - d:], node][bit] += 1
-        self.children = collections.defaultdict(float)
-        for d in range(depth, 0, -1):
-            for (context, node) in [k for k in self.count if len(k[0]) == d]:
-                own = self.own(context, node)
-                weighted = own if d == depth else np.logaddexp(own, self.children[context, node]) - math.log(2)
-                self.children[context[1:], node] += weighted
+def test_slices_do_not_cut_contexts(monkeypatch):
+    monkeypatch.setattr(L, "SLICE", 50)
+    data = np.frombuffer(("abcabdabe" * 30 + "xyz" * 100 + "".join(map(str, range(300)))).encode(), np.uint8)
+    for depth in (3, 5):
+        code = np.unique(L.runs(data, np.array([0, len(data)]), depth)[0])
+        parts = [code[s] for s in L.slices(code, depth)]
+        assert np.array_equal(np.concatenate(parts), code) and len(parts) > 3
+        contexts = [set((p >> 8 * (depth - 2)).tolist()) for p in parts]
+        assert sum(map(len, contexts)) == len(set().union(*contexts))
+        assert all(len(p) <= 50 or len(c) == 1 for p, c in zip(parts, contexts))
+    assert list(L.slices(np.zeros(0, np.int64), 5)) == []
 
-    def contexts(self, text):
-        x = b"\xff" * self.depth + (text or "").encode() + b"\xff"
-        for i in range(self.depth, len(x)):
-            for k in range(7, -1, -1):
-                yield x[i - self.depth:i], (1 << 7 - k) | x[i] >> k + 1, x[i] >> k & 1
 
-    def score(self, text):
-        total = 0.0
-        for context, node, bit in self.contexts(text):
-            p = None
-            for d in range(self.depth, -1, -1):
-                c = context[self.depth - d:]
-                n = self.count.get((c, node), (0, 0))
-                estimate = (n[bit] + .5) / (sum(n) + 1)
-                if p is None:
-                    p = estimate
-                else:
-                    w = 1 / (1 + math.exp(max(-700, min(700, self.children.get((c, node), 0.0) - self.own(c, node)))))
-                    p = w * estimate + (1 - w) * p
-            total += math.log10(p)
-        return total
+def test_packed_keys_come_back():
+    r = np.random.default_rng(4)
+    for keys in (np.zeros(0, np.int64), np.array([-5, -1]), r.integers(-2**63, 2**63, 1000), r.integers(0, 2**48, 1000)):
+        keys = np.unique(keys.view(np.uint64)).view(np.int64)
+        numbers = r.integers(0, 2**40, len(keys))
+        got = L.unpack(pa.scalar(L.pack(keys, numbers), pa.binary()), len(keys))
+        assert np.array_equal(got[0], keys) and np.array_equal(got[1], numbers)
 
 
-@pytest.mark.parametrize("depth", [4, 5, 6])
-def test_deeper_trees_against_the_recursive_one(spark, monkeypatch, depth):
-    rows = [(r[0], r[1] if r[1] is None else r[1][:1000]) for r in odd_rows()] + [(20 + i, f"some words {i} of Text\nmore é {i % 3}") for i in range(40)]
-    tree = DeepTree([t for i, t in rows if not held(i)], depth)
-    monkeypatch.setattr(L, "BLOCK_BYTES", 400)
-    got = sorted((str(r.doc_id), r.score) for r in L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), depth=depth).collect())
-    want = sorted((str(i), tree.score(t)) for i, t in rows)
-    assert [g[0] for g in got] == [w[0] for w in want]
-    assert all(math.isclose(g[1], w[1], rel_tol=1e-7) for g, w in zip(got, want))
+def test_held_out_texts_cost_fewer_bits_than_under_an_untrained_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = [r for r in L.score(docs).collect() if r.held_out]
+    size = {r.doc_id: len((r.text or "").encode()) + 1 for r in docs.collect()}
+    bits = -sum(r.score for r in out) / math.log10(2) / sum(size[r.doc_id] for r in out)
+    assert len(out) > 10 and bits < 3.0  # an untrained tree gives 8
 
 
 def test_the_registered_model_beats_the_unigram_base_on_held_out_texts(spark):
