@@ -14,12 +14,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators.quantiles import exact_quantiles, level0_splits
 from kiln.operators.relational import numeric_columns
+from kiln.operators.windows import prefix_sums
 
 
 def q(c: str) -> Column:
@@ -157,11 +160,24 @@ def class_entropy_log_loss(df: DataFrame, label: str, multi: int = 10_000) -> Da
     return df.sparkSession.createDataFrame([(len(shares), float(ll))], "n_classes int, log_loss double")
 
 
+def few_valued(df: DataFrame, cols: Sequence[str], max_distinct: int) -> list[str]:
+    """Of ``cols`` those that may hold at most ``max_distinct`` values, from
+    one pass of distinct-count sketches, which are bounded and merge before
+    anything is shuffled. d values fill at most d of a sketch's registers, so
+    its estimate stays near d however they hash: a column is ruled out only
+    far above the limit, and the rest are counted exactly."""
+    row = df.agg(*[F.approx_count_distinct(q(c), 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"d{i}"] <= 2 * max_distinct + 10]
+
+
 def unique_value_counts(df: DataFrame, cols: Sequence[str] | None = None, max_distinct: int = 20,
                         null_token: str = "_None_") -> DataFrame:
     """Value counts for string columns with at most ``max_distinct`` values,
-    nulls reported as ``null_token`` (a row apart from that text as a value)."""
-    cols = list(cols or string_columns(df))
+    nulls reported as ``null_token`` (a row apart from that text as a value).
+    Values of columns with many more never leave their task."""
+    cols = few_valued(df, list(cols or string_columns(df)), max_distinct)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                                   q(c).alias("value"))
                                          for c in cols])).alias("x")).select("x.*")
@@ -235,22 +251,64 @@ def _corr(a: Column, b: Column) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], lower_with_diagonal: bool = True,
-                      block: int = 500) -> DataFrame:
-    """Pairwise-complete Pearson correlations as long rows (col_a, col_b, corr).
-
-    Computed as ``corr`` aggregates in blocks of at most ``block`` pairs per
-    pass; each pass returns one bounded row."""
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)
-             if (j <= i if lower_with_diagonal else j < i)]
-    spark = df.sparkSession
-    rows = []
-    for s in range(0, len(pairs), block):
-        chunk = pairs[s:s + block]
-        r = df.agg(*[_corr(q(a), q(b)).alias(f"v{i}")
-                     for i, (a, b) in enumerate(chunk)]).first()
-        rows += [(a, b, r[f"v{i}"]) for i, (a, b) in enumerate(chunk)]
-    return spark.createDataFrame(rows, "col_a string, col_b string, corr double")
+#: Rows in which a value of each column is looked for; sums are taken around it.
+SHIFT_ROWS = 1000
+GRAM = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def gram_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) for every pair of columns j <= i: sums
+    over the rows where both are present (NaN and infinities count as missing), each column
+    shifted by one of its values so that squares do not swamp the spread.
+
+    One scan for any width: a task multiplies its batches as matrices (values
+    and presence masks) and gives one row for each pair, and the sums of tasks
+    merge by addition in a grouped aggregate."""
+    k = len(cols)
+    numbers = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = numbers.limit(SHIFT_ROWS).agg(*[F.first(F.when(F.abs(f"c{i}") < math.inf, F.col(f"c{i}")), ignorenulls=True).alias(f"c{i}") for i in range(k)]).first()
+    shift = [0.0 if v is None else v for v in first]
+    lower = np.tril_indices(k)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float)
+            here = np.isfinite(x)
+            x = np.where(here, x - shift, 0.0)
+            m = here.astype(float)
+            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(lower[0], pa.int32()), pa.array(lower[1], pa.int32()), *(pa.array(s[lower]) for s in total)],
+                                             names=["i", "j", *GRAM])
+
+    parts = numbers.mapInArrow(run, "i int, j int, " + ", ".join(f"{g} double" for g in GRAM))
+    return parts.groupBy("i", "j").agg(*[F.sum(g).alias(g) for g in GRAM])
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str], lower_with_diagonal: bool = True) -> DataFrame:
+    """Pairwise-complete Pearson correlations as long rows (col_a, col_b,
+    corr), from one scan (``gram_sums``); null if either column is constant
+    where both are present, or if they never are."""
+    names = F.array(*[F.lit(c) for c in cols])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    mx, my = F.col("sx") / n, F.col("sy") / n
+    vx, vy = F.col("sxx") / n - mx * mx, F.col("syy") / n - my * my
+    # what is left of the squares is rounding where a column is constant
+    spread = lambda v, square: F.when(v > F.lit(1e-13) * square / n, v)
+    corr = (F.col("sxy") / n - mx * my) / F.sqrt(spread(vx, F.col("sxx")) * spread(vy, F.col("syy")))
+    found = gram_sums(df, cols)
+    if not lower_with_diagonal:
+        found = found.where(F.col("j") < F.col("i"))
+    # every pair is a row, also of a table without rows
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + lower_with_diagonal)]
+    every = df.sparkSession.createDataFrame(pairs, "i int, j int")
+    return every.join(found, ["i", "j"], "left").select(
+        F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"),
+        F.when(corr > 1.0, 1.0).when(corr < -1.0, -1.0).otherwise(corr).alias("corr"))
 
 
 def leakage_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -280,47 +338,40 @@ def drop_low_corr_features(df: DataFrame, target: str, threshold: float, cols=No
 
 def cumulative_bins(df: DataFrame, col: str, step: float = 0.25) -> DataFrame:
     """Right edges min+step, min+2*step, ... up to max+step: rows <= edge
-    (percent, 2 places) and the share of the value range the edge covers.
-
-    Rows are counted once each in the first edge that holds them (a CASE
-    tree over the bounded edge list), then summed cumulatively over the
-    edges, so the data is scanned once and only edge counts move."""
-    from pyspark.sql import Window
+    (percent of all rows, 2 places) and the share of the value range the edge covers.
 
-    from pyspark.ml.feature import Bucketizer
+    A row is counted in the first edge that holds it, whose number follows
+    from its distance to the minimum; counts per edge are then summed along
+    the edges across partitions, so neither rows nor edges pass the driver.
+    A table without values has no edges; a constant column has one, whose
+    share of the range is null."""
     m = df.agg(F.min(q(col)).alias("mn"), F.max(q(col)).alias("mx"), F.count(F.lit(1)).alias("n")).first()
-    mn, mx, n = m["mn"], m["mx"], m["n"]
-    rng = mx - mn
-    edges = []
-    right = mn + step
-    while right <= mx + step:
-        edges.append(right)
-        right += step
-    # k = number of edges < x, i.e. the first edge holding x. Bucketizer
-    # (binary search) counts splits <= its input, so it is fed -x against the
-    # negated edges: that counts edges >= x, and k = len(edges) - that.
-    neg = [-math.inf] + sorted(-e for e in edges) + [math.inf]
-    b = Bucketizer(splits=neg, inputCol="__negx", outputCol="__ge", handleInvalid="keep").transform(
-        df.where(q(col).isNotNull()).select((-q(col).cast("double")).alias("__negx")))
-    first_edge = F.lit(len(edges)) - F.col("__ge").cast("int")
-    counts = b.groupBy(first_edge.alias("k")).agg(F.count(F.lit(1)).alias("c"))
     spark = df.sparkSession
-    edge_df = spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "k int, bin_right double")
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded edge list
-    j = edge_df.join(counts, "k", "left").fillna(0, ["c"])
-    return (j.withColumn("n_le", F.sum("c").over(w))
-            .select("k", "bin_right", "n_le",
-                    F.round(F.col("n_le") / F.lit(n) * 100.0, 2).alias("pct_rows"),
-                    (F.lit(100.0) * F.abs(F.col("bin_right") - F.lit(mn)) / F.lit(rng)).alias("pct_range")))
+    if m["mn"] is None:
+        return spark.createDataFrame([], "k int, bin_right double, n_le long, pct_rows double, pct_range double")
+    mn, rng, n = float(m["mn"]), float(m["mx"]) - float(m["mn"]), m["n"]
+    edge = lambda k: F.lit(mn) + (k + 1) * F.lit(float(step))
+    x = q(col).cast("double")
+    guess = F.greatest(F.ceil((x - F.lit(mn)) / F.lit(float(step))) - 1, F.lit(0))
+    k = F.when(x > edge(guess), guess + 1).when((guess > 0) & (x <= edge(guess - 1)), guess - 1).otherwise(guess)
+    counts = df.where(q(col).isNotNull()).groupBy(k.cast("long").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    edges = spark.range(int(rng / step) + 2).select(F.col("id").alias("k")).where(edge(F.col("k")) <= F.lit(float(m["mx"]) + step))
+    run = prefix_sums(edges.join(counts, "k", "left").fillna(0, ["c"]), [F.col("k")], ["c"])
+    right = edge(F.col("k"))
+    return run.select(F.col("k").cast("int").alias("k"), right.alias("bin_right"), F.col("c_cum").alias("n_le"),
+                      F.round(F.col("c_cum") / F.lit(n) * 100.0, 2).alias("pct_rows"),
+                      (F.lit(100.0) * F.abs(right - F.lit(mn)) / F.nullif(F.lit(rng), F.lit(0.0))).alias("pct_range"))
 
 
 def histogram_by_label(df: DataFrame, col: str, label: str, bins: int = 20) -> DataFrame:
+    """Rows per equal-width bin and label; no rows for a column without values."""
     m = df.agg(F.min(q(col)).alias("mn"), F.max(q(col)).alias("mx")).first()
-    width = (m["mx"] - m["mn"]) / bins if m["mx"] > m["mn"] else 1.0
-    b = F.least(F.floor((q(col) - F.lit(m["mn"])) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    mn, mx = (0.0, 0.0) if m["mn"] is None else (m["mn"], m["mx"])
+    width = (mx - mn) / bins if mx > mn else 1.0
+    b = F.least(F.floor((q(col) - F.lit(mn)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     return (df.where(q(col).isNotNull()).groupBy(b.alias("bin"), q(label).alias("label"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("bin_left", F.lit(m["mn"]) + F.col("bin") * F.lit(width)))
+            .withColumn("bin_left", F.lit(mn) + F.col("bin") * F.lit(width)))
 
 
 def row_change_summary(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kiln.operators.quantiles import order_statistics
+from kiln.sources.sinks import snapshot
 
 
 def _c(name: str) -> Column:
@@ -30,10 +32,18 @@ def hash_unit(seed, *cols) -> Column:
 def hash_long(seed, *cols, digits: int = 15) -> Column:
     """First ``digits`` hex digits of md5(seed:cols) as a long (13 digits =
     52 bits stay exact when carried as a double)."""
-    key = F.concat_ws(":", F.lit(str(seed)), *[_c(c).cast("string") for c in cols])
+    key = F.concat_ws(":", F.lit(str(seed)), *[(_c(c) if isinstance(c, str) else c).cast("string") for c in cols])
     return F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("long")
 
 
+def _spelled(df: DataFrame, name: str) -> Column:
+    """A column as it enters a row's hash: fractions as whole millionths, whose
+    spelling does not depend on an engine's way of writing doubles."""
+    kind = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    return F.round(c * 1_000_000).cast("long") if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+
+
 def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_index",
                  keep_partition: bool = False) -> DataFrame:
     """Exact 0-based position of each row in ``order_cols`` order.
@@ -60,22 +70,58 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
             .drop("__at", *(["__off"] if keep_partition else ["__pid", "__off"])))
 
 
+#: Small whole numbers that share one sort column: nine bits each.
+PACKED = 7
+
+
+def packed_order(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
+    """Sort columns that order rows as ``order_cols`` do (nulls first), with
+    runs of one-byte columns (flags) packed seven to a long."""
+    out, run = [], []
+
+    def flush() -> None:
+        while run:
+            some = [run.pop(0) for _ in range(min(PACKED, len(run)))]
+            total = F.lit(0).cast("long")
+            for c in some:
+                total = total * 512 + F.coalesce(c.cast("long") + 129, F.lit(0))
+            out.append(total)
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    for name in order_cols:
+        name = name.strip("`")
+        if isinstance(kinds[name], (T.ByteType, T.BooleanType)):
+            run.append(F.col(f"`{name}`").cast("tinyint"))
+        else:
+            flush()
+            out.append(F.col(f"`{name}`"))
+    flush()
+    return out
+
+
 def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], seed=123456,
                    n_rows: int | None = None) -> DataFrame:
-    """Exactly ``n_samples`` rows drawn with replacement, reproducibly."""
+    """Exactly ``n_samples`` rows drawn with replacement, reproducibly.
+
+    The rows are written once with a row number. Only the sort columns and the
+    number are sorted and indexed; the draws, counted per index, join that
+    narrow index, and the rows join last, by their number."""
     spark = df.sparkSession
     n = n_rows if n_rows is not None else df.count()
     if n == 0 or n_samples <= 0:
         return df.limit(0)
-    # a row-id tie-breaker keeps a heavily repeated row from filling one
-    # range partition; identical rows are interchangeable, so draws are unchanged
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
-    indexed = global_index(tied, list(order_cols) + ["__tie"], "__idx").drop("__tie")
+    # the row number as last sort key keeps a heavily repeated row from filling
+    # one range partition; identical rows are interchangeable, so draws are unchanged
+    rows = snapshot(df.withColumn("__row", F.monotonically_increasing_id()), "resample-rows")
+    keys = packed_order(rows, order_cols)
+    narrow = rows.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)], "__row")
+    indexed = global_index(narrow, [f"__k{i}" for i in range(len(keys))] + ["__row"], "__idx").select("__idx", "__row")
     draws = spark.range(n_samples).select(
         F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10)
                .cast("long"), F.lit(n)).alias("__idx"))
     mult = draws.groupBy("__idx").agg(F.count(F.lit(1)).alias("__k"))
-    j = indexed.join(mult, "__idx")
+    picked = indexed.join(mult, "__idx").select("__row", "__k")
+    j = rows.join(picked, "__row")
     return (j.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int"))))
             .select(*[F.col(f"`{c}`") for c in df.columns]))
 
@@ -83,9 +129,9 @@ def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], see
 def upsample_class(df: DataFrame, label: str, positive=1, factor: float = 1.6, order_cols=None,
                    seed=123456) -> DataFrame:
     """Positives resampled with replacement to int(factor * n_pos), then all
-    other rows appended. The input is checkpointed once (it is read by the
-    count, the index and the append), which also cuts its lineage."""
-    df = df.checkpoint(eager=True)
+    other rows appended. The input is written once (it is read by the count,
+    the resample and the append), which also cuts its lineage."""
+    df = snapshot(df, "upsample-input")
     pos = df.where(F.col(label) == positive)
     rest = df.where(~(F.col(label) == positive) | F.col(label).isNull())
     n_pos = pos.count()
@@ -111,9 +157,12 @@ def upsample_to_match(df, label, minority, majority, **kw):
     return resample_to_match(df, label, minority, majority, **kw)
 
 
-def shuffle_rows(df: DataFrame, key_cols: Sequence[str], seed=123456) -> DataFrame:
-    """Seeded random order that is stable across runs (sort by a hash)."""
-    return df.orderBy(hash_long(seed, *key_cols), *[_c(c) for c in key_cols])
+def shuffle_rows(df: DataFrame, key_cols: Sequence[str], seed=123456, key_name: str | None = None) -> DataFrame:
+    """Seeded random order that is stable across runs (sort by a hash);
+    ``key_name`` keeps the hash as a column."""
+    keyed = df.withColumn(key_name or "__shuffle", hash_long(seed, *[_spelled(df, c.strip("`")) for c in key_cols]))
+    out = keyed.orderBy(key_name or "__shuffle", *[_c(c) for c in key_cols])
+    return out if key_name else out.drop("__shuffle")
 
 
 def train_test_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float, seed=123456,

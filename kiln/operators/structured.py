@@ -19,7 +19,7 @@ def json_to_columns(df: DataFrame, col: str, schema: T.StructType, defaults: Map
     ``strict``) and missing values take ``defaults``. With ``discover``, keys
     outside the schema are found with one distinct pass over the object keys
     and added as string columns, so there are as many as the result has
-    columns; a key that is already a column's name gets the suffix ``_json``."""
+    columns (for keys without bound use ``json_long``); a key that is already a column's name gets the suffix ``_json``."""
     opts = {"mode": "FAILFAST"} if strict else {}
     # Parse once per row: the struct goes through a one-element ``inline``
     # (a generator), so neither field extraction nor later filters on the
@@ -47,6 +47,16 @@ def json_to_columns(df: DataFrame, col: str, schema: T.StructType, defaults: Map
     return res.drop(col) if drop_source else res
 
 
+def json_long(df: DataFrame, key: str, col: str, strict: bool = True) -> DataFrame:
+    """A JSON object column as rows (key, name, value): one for each member,
+    values as text (nested ones as JSON), null members as null. Names are data
+    here, so there may be any number of them and none reaches the driver;
+    null cells give no rows, and malformed JSON raises when ``strict``."""
+    opts = {"mode": "FAILFAST"} if strict else {}
+    members = F.from_json(F.col(f"`{col}`"), "map<string,string>", opts)
+    return df.select(F.col(f"`{key}`"), F.explode(members).alias("name", "value"))
+
+
 def split_composite(df: DataFrame, col: str, names: Sequence[str], sep: str = "|",
                     strict: bool = False, drop_source: bool = True) -> DataFrame:
     """``a|b|c`` -> one column per name; '' and missing parts become null."""

@@ -363,11 +363,18 @@ def q_upsample_class(spark, sf_dir):
     return SM.upsample_class(prepped, "Won", positive=1, factor=1.6, order_cols=[f"`{c}`" for c in order])
 
 
+@query("sales_training_chain", section="2.7", sql=_upsample_sql())
+def q_sales_training_chain(spark, sf_dir):
+    """The whole chain, upsampling and trainability check included."""
+    order = (SL.FIXED_RANGE_COLUMNS + ["Won", "partner_involved"]
+             + [f"{c}_{v}" for c, lv in LEVELS.items() for v in lv])
+    return SL.prepare_for_training(_opps(spark, sf_dir), order_cols=order, prepared=rounded)
+
+
 # ------------------------------------------------------- connection chains
 
-def _conn_prep_sql():
-    z = []
-    base = f"""
+def _conn_base_sql():
+    return f"""
 b AS (SELECT coalesce(duration, 0) AS duration, coalesce(orig_bytes, 0) AS orig_bytes,
              coalesce(resp_bytes, 0) AS resp_bytes, coalesce(missed_bytes, 0) AS missed_bytes,
              coalesce(resp_ip_bytes, 0) AS resp_ip_bytes, coalesce(resp_pkts, 0) AS resp_pkts,
@@ -387,10 +394,14 @@ w AS ({_winsor_pct_sql('b', ['duration', 'orig_pkts', 'orig_ip_bytes'],
                        'hour_of_day, src_port_range_name, service_http, service_ssl, proto_icmp, proto_tcp, proto_udp')}),
 c AS (SELECT * REPLACE (least(missed_bytes, 25000) AS missed_bytes, least(resp_pkts, 100) AS resp_pkts,
                         least(resp_ip_bytes, 7500) AS resp_ip_bytes) FROM w)"""
-    for col in ["duration", "orig_pkts", "orig_ip_bytes", "orig_bytes", "resp_bytes", "missed_bytes", "resp_pkts",
-                "resp_ip_bytes"]:
-        z.append(f"round(({col} - avg({col}) OVER ()) / stddev_pop({col}) OVER (), 6) AS {col}")
-    return f"""WITH {CONN_CTE}, {base}
+
+
+SCALED = ["duration", "orig_pkts", "orig_ip_bytes", "orig_bytes", "resp_bytes", "missed_bytes", "resp_pkts", "resp_ip_bytes"]
+
+
+def _conn_prep_sql():
+    z = [f"round(({col} - avg({col}) OVER ()) / stddev_pop({col}) OVER (), 6) AS {col}" for col in SCALED]
+    return f"""WITH {CONN_CTE}, {_conn_base_sql()}
 SELECT {', '.join(z)}, "id.resp_p", CAST(is_IoT_malware AS TINYINT) AS is_IoT_malware, round(hour_of_day, 6) AS hour_of_day,
        src_port_range_name, service_http, service_ssl, proto_icmp, proto_tcp, proto_udp FROM c"""
 
@@ -400,6 +411,37 @@ def q_conn_prep_chain(spark, sf_dir):
     return rounded(CP.prepare(_conn(spark, sf_dir)))
 
 
+FLAGS = ["service_http", "service_ssl", "proto_icmp", "proto_tcp", "proto_udp"]
+CONN_FEATURES = sorted([*SCALED, "id.resp_p", "hour_of_day", "src_port_range_name", *FLAGS])
+
+
+def _conn_training_sql():
+    """Features below the threshold are null; a row's key hashes the others
+    (fractions as whole millionths) and the label."""
+    z = [f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in SCALED]
+    kept = {c: f'CASE WHEN k."{c}" THEN p."{c}" END' for c in CONN_FEATURES}
+    whole = {c: c not in SCALED and c != "hour_of_day" for c in CONN_FEATURES}
+    spelled = [f"CAST({kept[c]} AS VARCHAR)" if whole[c] else f"CAST(CAST(round({kept[c]} * 1000000) AS BIGINT) AS VARCHAR)" for c in CONN_FEATURES]
+    shown = [f'{kept[c]} AS "{c}"' if whole[c] else f'round({kept[c]}, 6) AS "{c}"' for c in CONN_FEATURES]
+    return f"""WITH {CONN_CTE}, {_conn_base_sql()},
+p AS (SELECT {', '.join(z)}, "id.resp_p", CAST(is_IoT_malware AS TINYINT) AS is_IoT_malware, hour_of_day,
+        src_port_range_name, {', '.join(FLAGS)} FROM c),
+k AS (SELECT {', '.join(f'coalesce(abs(corr("{c}", is_IoT_malware)) >= 0.04, false) AS "{c}"' for c in CONN_FEATURES)} FROM p)
+SELECT {', '.join(shown)}, is_IoT_malware,
+  ('0x' || substr(md5(concat_ws(':', '123456', {', '.join(spelled)}, CAST(is_IoT_malware AS VARCHAR))), 1, 15))::BIGINT AS shuffle_key
+FROM p, k"""
+
+
+@query("conn_training_chain", section="2.7", sql=_conn_training_sql())
+def q_conn_training_chain(spark, sf_dir):
+    """The whole chain: feature selection, trainability check and seeded
+    shuffle. Dropped features come back as null columns, so that the schema
+    does not depend on the data."""
+    out = CP.prepare_for_training(_conn(spark, sf_dir), key_name="shuffle_key")
+    names = [c for c in CONN_FEATURES if c not in out.columns]
+    return rounded(out.select("*", *[F.lit(None).cast("double").alias(c) for c in names]))
+
+
 def _public(x):
     from kiln.functions.net import _dotted_to_int
     return " AND ".join([f"{x} IS NOT NULL"] + [f"NOT ({x} BETWEEN {_dotted_to_int(a)} AND {_dotted_to_int(b)})"

@@ -293,6 +293,19 @@ def q_drop_low_corr_features(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in kept.columns], "feature string")
 
 
+@query("reduced_feature_table", section="2.4", sql=f"""
+WITH {PROF_SQL}, k AS (SELECT {', '.join(f"abs(corr({c}, l_extendedprice)) >= 0.04 AS {c}" for c in FEATS)} FROM prof)
+SELECT {', '.join(f"round(CASE WHEN k.{c} THEN prof.{c} END, 6) AS {c}" for c in FEATS)}, round(l_extendedprice, 6) AS l_extendedprice
+FROM prof, k
+""")
+def q_reduced_feature_table(spark, sf_dir):
+    """The table that ``drop_low_corr_features`` leaves; dropped features come
+    back as null columns, so that the schema does not depend on the data."""
+    kept = PR.drop_low_corr_features(prof(tables(spark, sf_dir)), "l_extendedprice", 0.04, FEATS)
+    gone = [c for c in FEATS if c not in kept.columns]
+    return rounded(kept.select("*", *[F.lit(None).cast("double").alias(c) for c in gone]))
+
+
 ZPRICE_SQL = """
 z AS (SELECT (o_totalprice - a) / s AS price FROM orders,
              (SELECT avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS s FROM orders))"""

@@ -52,8 +52,8 @@ WITH {PROC_CTES}, {PREV_SQL}
 SELECT * FROM tmp_cust_proc_prev WHERE demeanor = 'NL'
 """)
 def q_snapshot_table(spark, sf_dir):
-    snap = snapshot_table(P.customer_prevalence(tables(spark, sf_dir)), "tmp_cust_proc_prev")
-    return snap.where(F.col("demeanor") == "NL")
+    snapshot_table(P.customer_prevalence(tables(spark, sf_dir)), "tmp_cust_proc_prev")
+    return spark.table("tmp_cust_proc_prev").where(F.col("demeanor") == "NL")
 
 
 @query("dedupe_by_group_keys", section="2.4", sql=f"""

@@ -8,11 +8,13 @@ operator, so the read path is exercised on the whole table."""
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators import metrics as M
 from kiln.operators import models as ML
+from kiln.operators.structured import json_long
 from kiln.plans import conn_prep as CP
 from kiln.plans import standins as S
 from kiln.plans._q import tables
@@ -56,6 +58,24 @@ def q_concat_files(spark, sf_dir):
     return FL.concat_files(spark, [f"{root}/kind=*"], "parquet")
 
 
+@query("concat_mixed_files", section="2.1", sql="""
+SELECT event_id, event_type, CASE WHEN event_type = 'view' THEN NULL ELSE user_id END AS user_id,
+       CAST(CASE WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) END AS VARCHAR) AS viewer, ts
+FROM events
+""")
+def q_concat_mixed_files(spark, sf_dir):
+    """Files whose columns differ: views name their user ``viewer``, as text,
+    and number their rows in a narrower type where it holds them."""
+    e = tables(spark, sf_dir).events.select("event_id", "event_type", "user_id", "ts")
+    root = scratch_path(spark, "events-mixed")
+    view = F.coalesce(F.col("event_type") == "view", F.lit(False))
+    e.where(~view).write.parquet(f"{root}/others")
+    e.where(view).select(F.col("event_id").cast("decimal(19,0)").alias("event_id"), "event_type", F.col("user_id").cast("string").alias("viewer"),
+                         "ts").write.parquet(f"{root}/views")
+    out = FL.concat_mixed_files(spark, [f"{root}/others", f"{root}/views"])
+    return out.withColumn("event_id", F.col("event_id").cast("long"))
+
+
 LISTING_SCHEMA = T.StructType([T.StructField("data", T.StructType([
     T.StructField("after", T.StringType()),
     T.StructField("children", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()),
@@ -130,19 +150,18 @@ FROM lineitem GROUP BY l_returnflag
 def q_append_run_history(spark, sf_dir):
     li = tables(spark, sf_dir).lineitem
     path = scratch_path(spark, "history")
-    totals = (li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"),
-                                              F.sum("l_quantity").cast("long").alias("total_quantity")).collect())
-    for run, r in enumerate(sorted(totals, key=lambda r: r[0]), start=1):  # one run per return flag (a bounded domain)
-        m = spark.createDataFrame([(*r, run)], "l_returnflag string, n_rows long, total_quantity long, run int")
-        SK.append_run_history(m, path, RUN_COLS)
+    totals = li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").cast("long").alias("total_quantity"))
+    # one run per return flag, a null flag last; the numbers are given in Spark, over the few groups
+    runs = totals.withColumn("run", F.row_number().over(Window.orderBy(F.asc_nulls_last("l_returnflag"))))
+    SK.append_run_history(runs, path, RUN_COLS)
     return SK.read_run_history(spark, path, RUN_COLS)
 
 
 def _lineitem_files(spark, sf_dir):
     li = tables(spark, sf_dir).lineitem
     src = scratch_path(spark, "lineitem-files")
-    # files of bounded rows arrive one after another, more of them as the table grows
-    li.write.option("maxRecordsPerFile", 20_000).parquet(src)
+    # files of the size that the rows ask for; a chunk takes as many as fit its bytes
+    li.hint("rebalance").write.parquet(src)
     return li, src
 
 
@@ -157,7 +176,7 @@ def q_ingest_in_chunks(spark, sf_dir):
         return batch.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")) \
                     .withColumn("chunk", F.lit(batch_id))
 
-    res = CH.process_in_chunks(spark, src, li.schema, per_chunk, sink, files_per_chunk=1)
+    res = CH.process_in_chunks(spark, src, li.schema, per_chunk, sink)
     # combining the per-chunk partial aggregates gives the whole-table answer
     return res.agg(F.sum("n").alias("n_rows"), F.sum("q").alias("total_quantity"),
                    F.countDistinct("l_orderkey").alias("n_orders"))
@@ -184,7 +203,7 @@ def q_train_per_chunk(spark, sf_dir):
         return batch.sparkSession.createDataFrame(rows, "chunk long, n_rows long, best_params string, metric string, mean_metric double, "
                                                         "std_metric double, mean_train double")
 
-    return CH.process_in_chunks(spark, src, li.schema, per_chunk, sink, files_per_chunk=2)
+    return CH.process_in_chunks(spark, src, li.schema, per_chunk, sink)
 
 
 @query("stream_score", section="2.10")
@@ -195,7 +214,27 @@ def q_stream_score(spark, sf_dir):
     feats = [c for c in train.columns if c != CP.LABEL]
     model = ML.fit_gbt_classifier(train, [f"`{f}`" if "." in f else f for f in feats], CP.LABEL, max_iter=20)
     src = scratch_path(spark, "conn-arrivals")
-    conn.write.option("maxRecordsPerFile", 20_000).parquet(src)
+    conn.hint("rebalance").write.parquet(src)
     sink = scratch_path(spark, "conn-scores")
     out = CH.score_stream(spark, src, conn.schema, lambda s: CP.apply(s, consts), model, sink)
     return out.select(CP.LABEL, "prediction")
+
+
+@query("stream_first_contact", section="2.10", sql=f"""
+WITH {CONN_CTE}
+SELECT "id.orig_h", "id.resp_p", ts, uid, orig_bytes FROM (
+  SELECT *, row_number() OVER (PARTITION BY "id.orig_h", "id.resp_p" ORDER BY ts, uid) AS rn FROM conn) WHERE rn = 1
+""")
+def q_stream_first_contact(spark, sf_dir):
+    """First contact of each pair on a stream of log files, one piece after another."""
+    conn = S.conn_log(tables(spark, sf_dir)).select("`id.orig_h`", "`id.resp_p`", "ts", "uid", "orig_bytes")
+    src = scratch_path(spark, "contact-arrivals")
+    conn.hint("rebalance").write.parquet(src)
+    return CH.first_contact_stream(spark, src, conn.schema, ["id.orig_h", "id.resp_p"], "ts", "uid", scratch_path(spark, "contacts"))
+
+
+@query("json_long", section="2.6", sql="""
+SELECT event_id, unnest(json_keys(props)) AS name, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events
+""")
+def q_json_long(spark, sf_dir):
+    return json_long(tables(spark, sf_dir).events, "event_id", "props")

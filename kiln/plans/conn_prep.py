@@ -17,6 +17,7 @@ from kiln.operators import profile as PR
 from kiln.operators import relational as O
 from kiln.operators import sampling as SM
 from kiln.operators.quantiles import order_statistics
+from kiln.sources.sinks import snapshot
 
 LABEL = "is_IoT_malware"
 
@@ -43,14 +44,15 @@ def _base(conn: DataFrame) -> DataFrame:
 
 
 def fit(conn: DataFrame) -> dict:
+    """The constants of the preparation; an empty log has no bounds and no scale."""
     base = _base(conn)
     levels = P.one_hot_levels(base, ONE_HOT)
-    n = {c: v for c, v in base.agg(*[F.count(c).alias(c) for c in WINSOR_THEN_ZSCORE]).first().asDict().items()}
-    lo_rank = {c: int(WINSOR_LIMITS[0] * n[c]) for c in WINSOR_THEN_ZSCORE}
-    hi_rank = {c: n[c] - int(WINSOR_LIMITS[1] * n[c]) - 1 for c in WINSOR_THEN_ZSCORE}
-    stats = order_statistics(base, {c: {lo_rank[c], hi_rank[c]} for c in WINSOR_THEN_ZSCORE})
-    bounds = {c: (stats[c][lo_rank[c]], stats[c][hi_rank[c]]) for c in WINSOR_THEN_ZSCORE}
-    w = base.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in bounds.items()})
+    n = {c: v for c, v in base.agg(*[F.count(c).alias(c) for c in WINSOR_THEN_ZSCORE]).first().asDict().items() if v}
+    lo_rank = {c: int(WINSOR_LIMITS[0] * n[c]) for c in n}
+    hi_rank = {c: n[c] - int(WINSOR_LIMITS[1] * n[c]) - 1 for c in n}
+    stats = order_statistics(base, {c: {lo_rank[c], hi_rank[c]} for c in n}) if n else {}
+    bounds = {c: (stats[c][lo_rank[c]], stats[c][hi_rank[c]]) for c in n}
+    w = base.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in bounds.items()}) if bounds else base
     # clipping touches none of the winsorized columns, so one moments pass
     # over the clipped frame serves both standardisations
     m = P.moments(P.clip_upper(w, CLIP_UPPER), WINSOR_THEN_ZSCORE + ZSCORE)
@@ -59,12 +61,15 @@ def fit(conn: DataFrame) -> dict:
 
 
 def apply(conn: DataFrame, consts: dict) -> DataFrame:
-    """Projection only: usable on a streaming DataFrame."""
+    """Projection only: usable on a streaming DataFrame. A column that was
+    constant when the constants were fitted is 0 there and where it still has
+    that value: its distance to the mean, unscaled."""
     df = _base(conn)
     df = P.one_hot_columns(df, ONE_HOT, levels=consts["levels"])
-    df = df.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in consts["bounds"].items()})
+    if consts["bounds"]:
+        df = df.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in consts["bounds"].items()})
     df = P.clip_upper(df, CLIP_UPPER)
-    df = df.withColumns({c: (F.col(c) - F.lit(mu)) / F.lit(sd) for c, (mu, sd) in consts["scale"].items()})
+    df = df.withColumns({c: (F.col(c) - F.lit(mu or 0.0)) / F.lit(sd or 1.0) for c, (mu, sd) in consts["scale"].items()})
     return O.bools_to_ints(df)
 
 
@@ -73,8 +78,12 @@ def prepare(conn: DataFrame) -> DataFrame:
     return apply(conn, fit(conn))
 
 
-def prepare_for_training(conn: DataFrame, seed=123456) -> DataFrame:
-    df = prepare(conn)
+def prepare_for_training(conn: DataFrame, seed=123456, key_name: str | None = None) -> DataFrame:
+    """The whole chain: prepare -> features that correlate with the label ->
+    trainability check -> seeded shuffle. The prepared table is written once;
+    selection, check and shuffle read it from there. ``key_name`` keeps the
+    number that the rows are shuffled by."""
+    df = snapshot(prepare(conn), "conn-prepared")
     df = PR.drop_low_corr_features(df, LABEL, CORR_THRESHOLD)
     df = P.assert_trainable(df)
-    return SM.shuffle_rows(df, df.columns, seed)
+    return SM.shuffle_rows(df, df.columns, seed, key_name)

@@ -12,6 +12,7 @@ from kiln.operators import prep as P
 from kiln.operators import relational as O
 from kiln.operators import sampling as SM
 from kiln.operators import structured as ST
+from kiln.sources.sinks import snapshot
 
 LABEL = "Won"
 
@@ -87,14 +88,19 @@ def clean_load(df: DataFrame) -> DataFrame:
 
 
 def prepare(df: DataFrame, levels=None) -> DataFrame:
-    """All steps up to (not including) resampling."""
-    return (df.transform(clean_load).transform(mandatory).transform(winsorize).transform(fixed_range)
-            .transform(lambda d: encode(d, levels)).transform(O.bools_to_ints))
-
-
-def prepare_for_training(df: DataFrame, seed=123456) -> DataFrame:
-    """The whole chain: prepare -> upsample wins by 1.6 -> trainability check."""
+    """All steps up to (not including) resampling. Unless the one-hot levels
+    are given, the cleaned rows are written once, so that finding the levels
+    does not read, join and parse the source a second time."""
+    clean = df.transform(clean_load).transform(mandatory).transform(winsorize).transform(fixed_range)
+    if levels is None:
+        clean = snapshot(clean, "sales-clean")
+    return clean.transform(lambda d: encode(d, levels)).transform(O.bools_to_ints)
+
+
+def prepare_for_training(df: DataFrame, seed=123456, order_cols=None, prepared=None) -> DataFrame:
+    """The whole chain: prepare -> upsample wins by 1.6 -> trainability check.
+    ``prepared`` is applied to the prepared rows before they are resampled."""
     prepped = prepare(df)
-    up = SM.upsample_class(prepped, LABEL, positive=1, factor=1.6, seed=seed,
-                           order_cols=[c for c in prepped.columns])
+    prepped = prepared(prepped) if prepared else prepped
+    up = SM.upsample_class(prepped, LABEL, positive=1, factor=1.6, seed=seed, order_cols=order_cols or prepped.columns)
     return P.assert_trainable(up)

@@ -45,11 +45,22 @@ def read_run_history(spark, path: str, columns: Sequence[str]) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def snapshot(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder of the shared checkpoint folder and
+    read back: later stages restart from its files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def snapshot_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Persist a query result as a Parquet table in the shared checkpoint
-    folder (drop-if-exists + create) and return the re-read table; the
-    lineage is cut, so later stages restart from the snapshot."""
+    """Persist a query result as the catalog table ``name`` (drop if exists,
+    create) and return the table; any later query reads it by name, and a
+    second run replaces it. The rows are written before the old table goes,
+    each time to a folder of their own (``path``, or one in the shared
+    checkpoint folder), so the result may be derived from the table itself."""
     spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    location = path or scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(location)
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    return spark.catalog.createTable(name, path=location, source="parquet")
