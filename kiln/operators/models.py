@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression,
                                    LinearRegression, RandomForestRegressor)
 from pyspark.ml.tuning import ParamGridBuilder
@@ -46,26 +48,37 @@ def fit_gbt_classifier(df: DataFrame, features: Sequence[str], label: str, max_d
     return Pipeline(stages=[assembler(features), est]).fit(df)
 
 
-def text_classifier(text_col: str, label: str, vocab_size: int, hidden=(64, 32), max_iter=100,
+#: Hashed terms of the text classifier, and rows that it is fitted on at most.
+TEXT_FEATURES, TEXT_ROWS = 8192, 50_000
+
+
+def text_classifier(text_col: str, label: str, features: int = TEXT_FEATURES, hidden=(64, 32), max_iter=100,
                     step_size=0.01, seed=123456) -> Pipeline:
-    """L2-normalised TF-IDF over a counted vocabulary of ``vocab_size`` terms
-    (the caller's number: that of the training terms for the whole vocabulary)
-    into a dense network whose hidden layers halve in width and end in a
-    two-way output."""
+    """L2-normalised TF-IDF over ``features`` hashed terms into a dense network
+    whose hidden layers halve in width and end in a two-way output. The model
+    is ``features`` x 64 weights whatever the vocabulary of the corpus; no term
+    list is built."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False,
                        toLowercase=True),
-        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size),
+        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
-        MultilayerPerceptronClassifier(labelCol=label, layers=[vocab_size, *hidden, 2], maxIter=max_iter,
+        MultilayerPerceptronClassifier(labelCol=label, layers=[features, *hidden, 2], maxIter=max_iter,
                                        stepSize=step_size, seed=seed, solver="gd"),
     ])
 
 
-def vocabulary_size(df: DataFrame, text_col: str) -> int:
-    """Distinct terms, as the text classifier counts them."""
-    return df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("t")).distinct().count()
+def fit_text_classifier(train: DataFrame, text_col: str, label: str, key: Sequence[str], max_rows: int = TEXT_ROWS, seed=123456,
+                        **kw) -> PipelineModel:
+    """``text_classifier`` fitted on about ``max_rows`` labelled rows at most
+    (all of them where there are fewer), drawn by a hash of their key; the
+    model is meant to score every row."""
+    n = train.where(F.col(label).isNotNull()).count()
+    sample = train.where(F.col(label).isNotNull())
+    if n > max_rows:
+        sample = sample.where(hash_unit(seed, *key) < F.lit(max_rows / n))
+    return text_classifier(text_col, label, seed=seed, **kw).fit(sample)
 
 
 def pca_fit(df: DataFrame, features: Sequence[str], k: int) -> PipelineModel:
@@ -85,12 +98,20 @@ def with_folds(df: DataFrame, key: Sequence[str], k: int, seed=123456, col: str
     return df.withColumn(col, F.floor(hash_unit(seed, *key) * k).cast("int"))
 
 
+#: Fits that a search submits at the same time.
+PARALLELISM = 4
+
+
 def cross_validate(df: DataFrame, estimator, grid: Mapping, score, features: Sequence[str], key: Sequence[str],
-                   folds: int = 5, pca_k: int | None = None, seed=123456) -> list[dict]:
+                   folds: int = 5, pca_k: int | None = None, seed=123456, parallelism: int = PARALLELISM) -> list[dict]:
     """Every parameter set over stable folds, scored by every metric that
     ``score(scored frame)`` returns, on the held-out fold and on the training
     folds. One dict per set: params, fit_seconds, and test and train as
-    {metric: (mean, std)}. With ``pca_k`` the features are projected first."""
+    {metric: (mean, std)}. With ``pca_k`` the features are projected first.
+
+    Fits of all sets and folds are independent: ``parallelism`` threads submit
+    them over the one cached frame, in a scheduler pool of their own, so that
+    small jobs fill the cluster together. The result does not depend on it."""
     pb = ParamGridBuilder()
     for param, values in grid.items():
         pb = pb.addGrid(getattr(estimator, param), list(values))
@@ -98,27 +119,34 @@ def cross_validate(df: DataFrame, estimator, grid: Mapping, score, features: Seq
         VectorAssembler(inputCols=list(features), outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
         PCA(k=pca_k, inputCol="scaled", outputCol="features")]
+    sets = pb.build()
+    sc = df.sparkSession.sparkContext
     data = with_folds(df, key, folds, seed).persist()
-    out = []
+
+    def one(task: tuple) -> tuple[float, dict, dict]:
+        pm, k = task
+        sc.setLocalProperty("spark.scheduler.pool", "grid-search")
+        train = data.where(F.col("fold") != k)
+        t0 = time.perf_counter()
+        model = Pipeline(stages=[*pre, estimator.copy(pm)]).fit(train)
+        seconds = time.perf_counter() - t0
+        return seconds, score(model.transform(data.where(F.col("fold") == k))), score(model.transform(train))
+
+    def spread(runs: Sequence[dict]) -> dict:
+        both = {m: [r[m] for r in runs if r[m] is not None] for m in runs[0]}
+        return {m: (float(np.mean(v)), float(np.std(v))) if v else (None, None) for m, v in both.items()}
+
     try:
-        for pm in pb.build():
-            held, seen, seconds = [], [], []
-            for k in range(folds):
-                train = data.where(F.col("fold") != k)
-                t0 = time.perf_counter()
-                model = Pipeline(stages=[*pre, estimator.copy(pm)]).fit(train)
-                seconds.append(time.perf_counter() - t0)
-                held.append(score(model.transform(data.where(F.col("fold") == k))))
-                seen.append(score(model.transform(train)))
-
-            def spread(runs: list[dict]) -> dict:
-                both = {m: [r[m] for r in runs if r[m] is not None] for m in runs[0]}
-                return {m: (float(np.mean(v)), float(np.std(v))) if v else (None, None) for m, v in both.items()}
-
-            out.append({"params": ";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda x: x[0].name)),
-                        "fit_seconds": sum(seconds) / len(seconds), "test": spread(held), "train": spread(seen)})
+        data.count()  # cached before the threads ask for it
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            done = list(pool.map(inheritable_thread_target(one), [(pm, k) for pm in sets for k in range(folds)]))
     finally:
         data.unpersist()
+    out = []
+    for i, pm in enumerate(sets):
+        seconds, held, seen = zip(*done[i * folds:(i + 1) * folds])
+        out.append({"params": ";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda x: x[0].name)),
+                    "fit_seconds": sum(seconds) / len(seconds), "test": spread(held), "train": spread(seen)})
     return out
 
 

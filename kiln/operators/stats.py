@@ -13,9 +13,12 @@ sorted whole inside one task.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +128,35 @@ def norm_sf2(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def chisq_sf(x: float, df: int) -> float:
+    """P(X > x) for the chi-square distribution: the upper incomplete gamma
+    function, by its series below the mean and its continued fraction above."""
+    a, z = df / 2, x / 2
+    if z <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(z) - z - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1
+            term *= z / n
+            total += term
+        return max(0.0, 1 - scale * total)
+    b = z + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b)
+        c = b + step / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-16:
+            break
+    return scale * h
+
+
 def kolmogorov_exact_p(n: int, d: float) -> float:
     """Exact two-sided one-sample KS p-value P(D_n >= d) (Marsaglia, Tsang
     and Wang 2003, matrix-power form)."""
@@ -195,6 +227,31 @@ def kolmogorov_limit_p(n: str, d: str, terms: int = 100):
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))
 
 
+#: Samples up to this size get the exact Kolmogorov p-value (its matrices have
+#: about 2 n d rows); larger ones the limit, which is then within a thousandth.
+EXACT_KS = 1000
+
+
+def with_kolmogorov_p(df: DataFrame, n: str = "n", d: str = "d", exact_up_to: int = EXACT_KS) -> DataFrame:
+    """``df`` (one row a sample) with ``p``, P(D_n >= d), and ``exact``,
+    whether it is the exact one; null where ``n`` or ``d`` is null."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
+    def run(batches):
+        for batch in batches:
+            ns, ds = batch.column("n").to_pylist(), batch.column("d").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("d"), pa.array(
+                [kolmogorov_exact_p(a, b) for a, b in zip(ns, ds)], pa.float64())], names=["n", "d", "p"])
+
+    # equal (n, d) have equal p: each is worked out once
+    asked = df.where(F.col(n) <= exact_up_to).select(F.col(n).cast("long").alias("n"), F.col(d).cast("double").alias("d")).where("n > 0 AND d IS NOT NULL")
+    found = asked.distinct().mapInArrow(run, "n long, d double, p double").select(F.col("n").alias("__n"), F.col("d").alias("__d"), F.col("p").alias("__p"))
+    j = df.join(found, (F.col(n) == F.col("__n")) & (F.col(d) == F.col("__d")), "left")
+    exact = F.col("__p").isNotNull()
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], F.when(exact, F.col("__p")).otherwise(kolmogorov_limit_p(n, d)).alias("p"),
+                    F.when(F.col(n).isNotNull() & F.col(d).isNotNull(), exact).alias("exact"))
+
+
 def counterbalance(df: DataFrame, subject: str, condition: str, order):
     """Position x condition counts and (predecessor, condition) counts;
     balanced when every cell of each table holds the same count. ``order``

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from kiln import __version__
 from kiln.functions import hashing as FH
+from kiln.operators import glm as GLM
 from kiln.operators import metrics as M
 from kiln.operators import models as ML
 from kiln.operators import profile as PR
@@ -237,7 +238,7 @@ def q_mlp_text_classifier(spark, sf_dir):
     d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
     split = SM.train_test_split(d, ["doc_id"], 0.2)
     train = split.where(F.col("split") == "train")
-    m = ML.text_classifier("text", "label", ML.vocabulary_size(train, "text")).fit(train)
+    m = ML.fit_text_classifier(train, "text", "label", ["doc_id"])
     return m.transform(split).select("doc_id", "label", "split", "prediction")
 
 
@@ -389,3 +390,18 @@ def q_glm_gamma_effects(spark, sf_dir):
     pv = pv[-1:] + pv[:-1]
     return spark.createDataFrame([(n, float(c), float(p)) for n, c, p in zip(names, coefs, pv)],
                                  "term string, estimate double, p double")
+
+
+@query("glm_binomial_factors", section="2.8")
+def q_glm_binomial_factors(spark, sf_dir):
+    """Quality by language and toxicity, both sum-coded factors, one chi-square row each."""
+    t = tables(spark, sf_dir)
+    d = t.documents.join(t.labels, "doc_id").select("quality", "lang", "toxic")
+    return GLM.factor_tests(d, "quality", [("lang",), ("toxic",)], "binomial")
+
+
+@query("glm_gamma_interaction", section="2.8")
+def q_glm_gamma_interaction(spark, sf_dir):
+    """Order value by status x priority: both main effects and the interaction."""
+    o = tables(spark, sf_dir).orders
+    return GLM.factor_tests(o, "o_totalprice", [("o_orderstatus",), ("o_orderpriority",), ("o_orderstatus", "o_orderpriority")], "gamma")

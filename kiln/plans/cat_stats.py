@@ -218,6 +218,14 @@ def q_ks_exponential(spark, sf_dir):
     return d.withColumn("p", F.round(ST.kolmogorov_limit_p("n", "d"), 6))
 
 
+@query("ks_exponential_exact", section="2.5")
+def q_ks_exponential_exact(spark, sf_dir):
+    """Many small samples (one a customer): the exact p, not its limit."""
+    o = tables(spark, sf_dir).orders
+    r = ST.ks_exponential(o, "o_custkey", "o_totalprice", ["o_orderkey"])
+    return ST.with_kolmogorov_p(r)
+
+
 @query("counterbalance_check", section="2.5", sql="""
 WITH r AS (SELECT o_custkey, o_orderpriority AS c,
                   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM orders),

@@ -86,14 +86,15 @@ def exploit_method(t: Tables) -> DataFrame:
 
 
 def risk_score_report(t: Tables) -> DataFrame:
-    # lineitem meets orders once: the instances are written and feed both the
-    # report and the pairs of its solutions
-    favi = S.fact_asset_vulnerability_instance(t).checkpoint(eager=True)
+    # the solutions' (asset, vulnerability) pairs come from a second join of
+    # their own, pruned to the keys: reading three key columns again costs less
+    # than writing the fact table whole
+    favi = S.fact_asset_vulnerability_instance(t)
     at = asset_tags(t)
     # markup is converted per vulnerability / per solution before the joins,
     # not once per instance row after them
     vr = vuln_references(t, keep_orphans=False).withColumn("vuln_text", html_to_text("description"))
-    avs = asset_vulnerability_solution(t, fix_as_text=True, fact=favi)
+    avs = asset_vulnerability_solution(t, fix_as_text=True)
     # The report's final ON names a table out of scope; it is bound to the
     # vulnerability's access vector, and the lookup is kept one row per type
     # so the fact is not multiplied by every vulnerability of that type.

@@ -3,10 +3,14 @@ agreement between the ways a model is used."""
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from kiln.operators import glm as GLM
 from kiln.operators import models as ML
 from kiln.operators import sampling as SM
+from kiln.operators import stats as ST
+from kiln.operators.stats import chisq_sf
 from kiln.plans import cat_ml as C
 from kiln.plans._q import tables
 from kiln.registry import entries
@@ -163,6 +167,115 @@ def test_gamma_effects_match_reweighted_least_squares(spark, frame):
     assert np.allclose(got.estimate, b, rtol=1e-4, atol=1e-6) and got.p.between(0, 1).all()
 
 
+def _sum_coded(values, levels):
+    return np.array([[1.0 if v == lv else -1.0 if v == levels[-1] else 0.0 for lv in levels[:-1]] for v in values])
+
+
+def _deviance(x, y, family):
+    b, _ = _irls(x, y, family)
+    eta = x @ b
+    if family == "binomial":
+        mu = 1 / (1 + np.exp(-eta))
+        return -2 * np.sum(np.where(y == 1, np.log(mu), np.log(1 - mu))), b, mu
+    mu = np.exp(eta)
+    return 2 * np.sum(-np.log(y / mu) + (y - mu) / mu), b, mu
+
+
+def _type_three(terms, y, family):
+    """{term: (df, LR, Wald)} from whole rows in numpy."""
+    one = np.ones((len(y), 1))
+    whole = np.column_stack([one, *terms.values()])
+    dev, b, mu = _deviance(whole, y, family)
+    phi = 1.0 if family == "binomial" else np.sum(((y - mu) / mu) ** 2) / (len(y) - whole.shape[1])
+    w = mu * (1 - mu) if family == "binomial" else np.ones(len(y))
+    cov = np.linalg.inv(whole.T @ (w[:, None] * whole)) * phi
+    out, at = {}, 1
+    for name, columns in terms.items():
+        rest = np.column_stack([one, *[c for n, c in terms.items() if n != name]])
+        k = columns.shape[1]
+        s = slice(at, at + k)
+        out[name] = (k, (_deviance(rest, y, family)[0] - dev) / phi, b[s] @ np.linalg.solve(cov[s, s], b[s]))
+        at += k
+    return out
+
+
+def _check_terms(got, want):
+    assert list(got.term) == list(want)
+    for r in got.itertuples():
+        k, lr, wald = want[r.term]
+        assert r.df == k and np.isclose(r.lr_chisq, lr, rtol=1e-4, atol=1e-5) and np.isclose(r.wald_chisq, wald, rtol=1e-3, atol=1e-5)
+        assert np.isclose(r.lr_p, chisq_sf(r.lr_chisq, k)) and np.isclose(r.wald_p, chisq_sf(r.wald_chisq, k))
+
+
+def test_factor_chi_squares_match_nested_fits_over_whole_rows(spark):
+    t = tables(spark, SF01)
+    d = t.documents.join(t.labels, "doc_id").select("quality", "lang", "toxic").toPandas()
+    terms = {f: _sum_coded(d[f].astype(str), sorted(d[f].astype(str).unique())) for f in ("lang", "toxic")}
+    _check_terms(run(spark, "glm_binomial_factors", SF01), _type_three(terms, d.quality.to_numpy(float), "binomial"))
+
+
+def test_one_factor_chi_square_is_the_g_test(spark):
+    t = tables(spark, SF01)
+    docs = t.documents.join(t.labels, "doc_id").select("quality", "lang")
+    n = docs.toPandas().value_counts(["lang", "quality"]).unstack(fill_value=0).to_numpy(float)
+    expected = n.sum(1, keepdims=True) * n.sum(0, keepdims=True) / n.sum()
+    got = GLM.factor_tests(docs, "quality", [("lang",)], "binomial").first()
+    assert got.df == 3 and np.isclose(got.lr_chisq, 2 * np.sum(n * np.log(n / expected)), rtol=1e-5)
+
+
+def test_gamma_interaction_matches_nested_fits_over_whole_rows(spark):
+    d = tables(spark, SF001).orders.select("o_totalprice", "o_orderstatus", "o_orderpriority").toPandas()
+    a, b = (_sum_coded(d[c], sorted(d[c].unique())) for c in ("o_orderstatus", "o_orderpriority"))
+    both = np.column_stack([a[:, i] * b[:, j] for i in range(a.shape[1]) for j in range(b.shape[1])])
+    terms = {"o_orderstatus": a, "o_orderpriority": b, "o_orderstatus:o_orderpriority": both}
+    _check_terms(run(spark, "glm_gamma_interaction"), _type_three(terms, d.o_totalprice.to_numpy(float), "gamma"))
+
+
+def test_factors_beside_a_covariate_and_with_nulls(spark):
+    rng = np.random.default_rng(4)
+    f, x = rng.choice(["a", "b", "c"], 300), rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x + (f == "a"))))).astype(float)
+    rows = [(str(u), float(v), float(w)) for u, v, w in zip(f, x, y)] + [(None, 1.0, 1.0), ("a", None, 0.0), ("b", 0.0, None)]
+    got = GLM.factor_tests(spark.createDataFrame(rows, "f string, x double, y double"), "y", [("f",)], "binomial", ["x"]).toPandas()
+    design = {"f": _sum_coded(f, ["a", "b", "c"]), "x": x[:, None]}
+    _check_terms(got, {"f": _type_three(design, y, "binomial")["f"]})
+
+
+def test_what_cannot_be_fitted_raises(spark):
+    df = spark.createDataFrame([("a", "u", 1.0), ("a", "v", 2.0), ("b", "u", 3.0)], "f string, g string, y double")
+    with pytest.raises(ValueError, match="no rows for f:g"):
+        GLM.factor_tests(df, "y", [("f",), ("g",), ("f", "g")], "gamma")
+    with pytest.raises(ValueError, match="1 level"):
+        GLM.factor_tests(df.where("f = 'a'"), "y", [("f",)], "gamma")
+
+
+def test_exact_kolmogorov_p_of_many_small_samples(spark):
+    got = run(spark, "ks_exponential_exact")
+    assert got.exact.all() and got.p.between(0, 1).all() and (got.n < 100).all()
+    one = got[got.n == 1]
+    assert np.allclose(one.p, np.minimum(1, 2 * (1 - one.d)))
+    r = np.random.default_rng(2)
+    n, d = 12, 0.35  # against simulation
+    u = np.sort(r.random((40_000, n)), 1)
+    i = np.arange(1, n + 1)
+    simulated = (np.maximum(i / n - u, u - (i - 1) / n).max(1) >= d).mean()
+    df = spark.createDataFrame([(n, d), (n, d), (5000, 0.02), (None, 0.5)], "n long, d double")
+    rows = ST.with_kolmogorov_p(df).collect()
+    assert len(rows) == 4 and [r.exact for r in sorted(rows, key=lambda r: r.n or 0)] == [None, True, True, False]
+    assert all(abs(r.p - simulated) < 0.01 for r in rows if r.n == n)
+
+
+def test_parallel_search_gives_the_table_of_one_by_one(spark):
+    d = tables(spark, SF001).orders.select("o_orderkey", F.col("o_totalprice").alias("label"), (F.col("o_custkey") % 9).cast("double").alias("x"))
+    def score(s):
+        return {"mae": s.agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]}
+    runs = [ML.cross_validate(d, LinearRegression(labelCol="label"), {"regParam": [0.0, 0.5, 5.0]}, score, ["x"], ["o_orderkey"], 3, parallelism=p)
+            for p in (1, 6)]
+    for a, b in zip(*runs):
+        assert a["params"] == b["params"] and np.allclose(a["test"]["mae"], b["test"]["mae"]) and np.allclose(a["train"]["mae"], b["train"]["mae"])
+    assert [r["params"] for r in runs[0]] == ["regParam=0.0", "regParam=0.5", "regParam=5.0"]
+
+
 def test_chunks_cover_the_table(spark):
     got = run(spark, "train_per_chunk")
     chunks = got.drop_duplicates("chunk")
