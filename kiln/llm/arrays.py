@@ -154,6 +154,26 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield held.combine_chunks()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, so that equal high bytes stand together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(raw: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel()
+
+
+def pack(keys: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Sorted keys and a number for each, compressed: differences by byte planes."""
+    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    return pa.compress(planes(steps) + planes(numbers), "zstd", asbytes=True)
+
+
+def unpack(blob: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob.as_buffer(), 16 * n, "zstd"), np.uint8)
+    return np.cumsum(from_planes(raw[:8 * n], n), dtype=np.uint64).view(np.int64), from_planes(raw[8 * n:], n).view(np.int64)
+
+
 def shingles(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every run of ``size`` words of a row, in text order, each
     with the number of the row's equal runs before it hashed in; a row of fewer

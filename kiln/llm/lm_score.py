@@ -75,22 +75,6 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray,
     return code, row
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def pack(keys: np.ndarray, numbers: np.ndarray) -> bytes:
-    """Sorted keys and a number for each, compressed: differences by byte planes."""
-    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
-    return pa.compress(_planes(steps) + _planes(numbers), "zstd", asbytes=True)
-
-
-def unpack(blob: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob.as_buffer(), 16 * n, "zstd"), np.uint8).reshape(2, 8, n)
-    steps, numbers = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in raw)
-    return np.cumsum(steps, dtype=np.uint64).view(np.int64), numbers.view(np.int64)
-
-
 def deal(keys: np.ndarray, kind: int, depth: int) -> np.ndarray:
     """The deal of runs, by the three nearest bytes, or of hashed words."""
     return (A.mix((keys >> (8 * (depth - 2)) if kind == RUN else keys).astype(np.uint64)) % np.uint64(DEALS)).astype(np.int64)
@@ -304,7 +288,7 @@ def _held(blocks: DataFrame, depth: int) -> DataFrame:
                 keys, n, bounds = keys[order], n[order], np.searchsorted(place[order], np.arange(DEALS + 1)).tolist()
                 some = [(d, lo, hi) for d, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
                 yield _rows({"block": [at] * len(some), "kind": [kind] * len(some), "deal": [d for d, _, _ in some],
-                             "n": [hi - lo for _, lo, hi in some], "blob": [pack(keys[lo:hi], n[lo:hi]) for _, lo, hi in some]}, _KINDS)
+                             "n": [hi - lo for _, lo, hi in some], "blob": [A.pack(keys[lo:hi], n[lo:hi]) for _, lo, hi in some]}, _KINDS)
 
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
@@ -330,14 +314,14 @@ def _sums(held: DataFrame) -> DataFrame:
         def told() -> Iterator[pa.RecordBatch]:
             if found:
                 keys, n = found.sums()
-                yield _rows({"kind": [at[0]], "deal": [at[1]], "n": [len(keys)], "blob": [pack(keys, n)], "total": [int(n.sum())], "seen": [int((n > 0).sum())]}, _KINDS)
+                yield _rows({"kind": [at[0]], "deal": [at[1]], "n": [len(keys)], "blob": [A.pack(keys, n)], "total": [int(n.sum())], "seen": [int((n > 0).sum())]}, _KINDS)
 
         for batch in batches:
             for *key, n, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "deal", "n")), batch.column("blob")):
                 if key != at:
                     yield from told()
                     at, found = key, _Counts()
-                found.merge(*unpack(blob, n))
+                found.merge(*A.unpack(blob, n))
         yield from told()
 
     placed = held.repartition("kind", "deal").sortWithinPartitions("kind", "deal")
@@ -352,7 +336,7 @@ def _levels(sums: DataFrame, depth: int) -> tuple[DataFrame, Upper]:
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, n, blob in zip(batch.column("deal").to_pylist(), batch.column("n").to_pylist(), batch.column("blob")):
-                code, count = unpack(blob, n)
+                code, count = A.unpack(blob, n)
                 for some in slices(code, depth):
                     columns = third_level(code[some], count[some], depth)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), place)), *(pa.array(c) for c in columns)],
@@ -399,15 +383,15 @@ def _values(held: DataFrame, sums: DataFrame, second: DataFrame, upper: Upper, d
                     continue
                 sizes, blobs = part.column("n").to_pylist(), part.column("blob")
                 if rank[lo] == 1:
-                    keys, values = unpack(blobs[0], sizes[0])
+                    keys, values = A.unpack(blobs[0], sizes[0])
                     if kind[lo] == RUN:
                         second = Second(*(np.concatenate(c) for c in zip(*parts)))
                         found = [log10_probability(keys[s], values[s], second, upper, depth) for s in slices(keys, depth)]
                         values = np.round(-np.concatenate(found) / UNIT).astype(np.int64)
                     continue
                 for block, n, blob in zip(part.column("block").to_pylist(), sizes, blobs):
-                    mine = unpack(blob, n)[0]
-                    yield _rows({"block": [block], "kind": [int(kind[lo])], "n": [n], "blob": [pack(mine, values[np.searchsorted(keys, mine)])]}, _KINDS)
+                    mine = A.unpack(blob, n)[0]
+                    yield _rows({"block": [block], "kind": [int(kind[lo])], "n": [n], "blob": [A.pack(mine, values[np.searchsorted(keys, mine)])]}, _KINDS)
 
     return placed.mapInArrow(run, "block long, kind int, n long, blob binary")
 
@@ -438,7 +422,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 if block != at:
                     at, parts, tables = block, {RUN: [], WORD: []}, {}
                 if rank < 2:
-                    parts[rank].append(unpack(blob, n))
+                    parts[rank].append(A.unpack(blob, n))
                     continue
                 if not tables:
                     for k, got in parts.items():

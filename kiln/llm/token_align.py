@@ -18,9 +18,10 @@ distinct unit is encoded once in a worker. A chunk is given the units that
 overlap its byte range and keeps the tokens that end in it.
 
 Id pairs are counted over the corpus in blocks of whole documents: a block sends
-each of its pairs once, grouped sums give the number of documents, and the block gets
-back count and rank of just its pairs, in their order. Documents refer to
-their block's pairs by position, so pairs are never joined document by document.
+each of its pairs once, packed by deal, a hash of the A id; sums by deal give the number of documents
+and the best count of each A id, and the block gets back the counts of just its pairs, in
+their order. Documents refer to their block's pairs by position, so pairs
+are never joined document by document.
 
 Defined cases: a null or empty text, or one that a tokenizer does not give back
 byte by byte, has no tokens and zeros; a null id is kept; rows that repeat an id are
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -41,16 +43,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm import arrays as A
 from kiln.llm.common import read, ship, stored
 
 #: Bytes of a chunk of a long text; fragments composed at once; text bytes of a block.
-CHUNK, FAN, BLOCK_BYTES = 32_768, 8, 16_000_000
+CHUNK, FAN, BLOCK_BYTES = 32_768, 8, 8_000_000
 #: Units a worker remembers before it starts afresh.
 REMEMBERED = 300_000
+#: Units encoded in one call: an encoding holds far more than its ids.
+TOGETHER = 4_000
+#: Into how many deals the id pairs of the corpus are split.
+DEALS = 128
 #: An id pair is one number, the A id above these bits.
 BITS = 20
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -82,7 +88,7 @@ class ByteLevel:
             self.bytes[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
 
     def __call__(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
 
 
 class Pieces:
@@ -108,19 +114,62 @@ class Tokens(NamedTuple):
     bases: np.ndarray
 
 
+class Lists:
+    """Growing lists of ids, one after another in one array."""
+
+    def __init__(self):
+        self.flat, self.bounds, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        end = int(self.bounds[self.n])
+        for name, need in (("flat", end + len(flat)), ("bounds", self.n + len(sizes) + 1)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need - len(held), len(held)), held.dtype)]))
+        self.flat[end:end + len(flat)] = flat
+        self.bounds[self.n + 1:self.n + 1 + len(sizes)] = end + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the named lists one after another, length of each)."""
+        first = self.bounds[index]
+        each = self.bounds[index + 1] - first
+        ends = np.cumsum(each)
+        return self.flat[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64), each
+
+
 class Encoder:
     """Token ids of whole texts by both tokenizers, unit by unit."""
 
     def __init__(self, path_a: str, path_b: str):
         self.sides = ByteLevel(path_a), Pieces(path_b)
         self.sizes = tuple(np.array([len(b) for b in s.bytes]) for s in self.sides)
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.flat = tuple(np.frombuffer(b"".join(s.bytes), np.uint8) for s in self.sides)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.lists, self.ok = (Lists(), Lists()), np.zeros(0, bool)
 
     def _learn(self, units: list[str]) -> None:
-        for unit, *ids in zip(units, *(s(units) for s in self.sides)):
-            want = b" " + unit.encode()
-            ok = all(b"".join([s.bytes[i] for i in part]) == want for s, part in zip(self.sides, ids))
-            self.known[unit] = *(np.array(part, "<i4").tobytes() for part in ids), ok
+        """Encode units, and see whether both sides give their bytes back."""
+        text, bounds = A.utf8(pa.array([" " + u for u in units], pa.large_string()))
+        ok = np.ones(len(units), bool)
+        for side, told in enumerate(s(units) for s in self.sides):
+            sizes = np.fromiter(map(len, told), np.int64, len(told))
+            ids = np.fromiter(itertools.chain.from_iterable(told), np.int32, int(sizes.sum()))
+            self.lists[side].add(ids, sizes)
+            length = self.sizes[side][ids]
+            total = np.bincount(np.repeat(np.arange(len(units)), sizes), length, minlength=len(units)).astype(np.int64)
+            ok &= total == np.diff(bounds)
+            # the bytes of units of the right length, beside the text's
+            of, mine = np.repeat(ok, sizes), np.repeat(ok, np.diff(bounds))
+            each, first = length[of], (np.cumsum(self.sizes[side]) - self.sizes[side])[ids[of]]
+            got = self.flat[side][np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+            wrong = np.repeat(np.arange(len(units)), np.diff(bounds))[mine][got != text[mine]]
+            ok[wrong] = False
+        self.known.update(zip(units, range(len(self.ok), len(self.ok) + len(units))))
+        self.ok = np.concatenate([self.ok, ok])
 
     @staticmethod
     def _units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -148,24 +197,20 @@ class Encoder:
         used[index] = True
         fresh = [u for u, needed in zip(units, used.tolist()) if needed and u not in self.known]
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
+            self._forget()
             fresh = [u for u, needed in zip(units, used.tolist()) if needed]
-        if fresh:
-            self._learn(fresh)
-        none = (b"", b"", False)
-        found = [self.known[u] if needed else none for u, needed in zip(units, used.tolist())]
+        for lo in range(0, len(fresh), TOGETHER):
+            self._learn(fresh[lo:lo + TOGETHER])
+        number = np.fromiter(map(self.known.get, units, itertools.repeat(-1)), np.int64, len(units))[index]
         row = np.repeat(np.arange(len(sizes)), sizes)
         some = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > 0
-        ok = some & (np.bincount(row, ~np.array([f[2] for f in found], bool)[index], minlength=len(sizes)) == 0)
-        index, row = index[ok[row]], row[ok[row]]
+        ok = some & (np.bincount(row, ~self.ok[number], minlength=len(sizes)) == 0)
+        number, row = number[ok[row]], row[ok[row]]
         ids, ends, rows = [], [], []
         for side in (0, 1):
-            flat = np.frombuffer(b"".join([f[side] for f in found]), "<i4")
-            count = np.fromiter((len(f[side]) >> 2 for f in found), np.int64, len(found))
-            each = count[index]
-            at = np.repeat((np.cumsum(count) - count)[index] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            ids.append(flat[at].astype(np.int64))
-            ends.append(np.cumsum(self.sizes[side][ids[-1]]))
+            found, each = self.lists[side].take(number)
+            ids.append(found)
+            ends.append(np.cumsum(self.sizes[side][found]))
             rows.append(np.repeat(row, each))
         length = np.where(ok, 1 + pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0)
         return Tokens(tuple(ids), tuple(ends), tuple(rows), ok, np.cumsum(length) - length)
@@ -356,13 +401,14 @@ _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def _block_schema(kind: str) -> str:
-    return (f"block long, pair_at int, pair long, docs long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+    return (f"block long, deal int, n long, blob binary, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
             "groups string, refs array<int>, links array<long>")
 
 
 class Blocks:
-    """Gathers documents into blocks; a block tells its pairs (with the number
-    of its documents that hold each), then its documents, which refer to pairs by position."""
+    """Gathers documents into blocks; a block tells its pairs deal by deal (with
+    the number of its documents that hold each), then its documents, which
+    refer to pairs by their place in that order."""
 
     def __init__(self, side: int, id_type: pa.DataType, keep_groups: bool):
         self.next, self.id_type, self.keep = (TaskContext.get().partitionId() << 32) | side, id_type, keep_groups
@@ -379,19 +425,24 @@ class Blocks:
     def told(self) -> Iterator[pa.RecordBatch]:
         if not self.docs:
             return
-        held = np.concatenate([d[3] for d in self.docs])
-        pairs, at, docs = np.unique(held, return_inverse=True, return_counts=True)
-        names = ["block", "pair_at", "pair", "docs", "id", *_COUNTS, "groups_sha256", "groups", "refs", "links"]
+        pairs, at, docs = np.unique(np.concatenate([d[3] for d in self.docs]), return_inverse=True, return_counts=True)
+        place = (A.mix((pairs >> BITS).astype(np.uint64)) % np.uint64(DEALS)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        pairs, docs, at = pairs[order], docs[order], rank[at]
+        bounds = np.searchsorted(place[order], np.arange(DEALS + 1)).tolist()
+        names = ["block", "deal", "n", "blob", "id", *_COUNTS, "groups_sha256", "groups", "refs", "links"]
         lists = pa.list_(pa.int32()), pa.list_(pa.int64())
 
-        def batch(n: int, **given: pa.Array) -> pa.RecordBatch:
-            kinds = dict(pair_at=pa.int32(), id=self.id_type, groups_sha256=pa.string(), groups=pa.string(), refs=lists[0], links=lists[1])
+        def batch(n: int, /, **given: pa.Array) -> pa.RecordBatch:
+            kinds = dict(deal=pa.int32(), blob=pa.binary(), id=self.id_type, groups_sha256=pa.string(), groups=pa.string(), refs=lists[0], links=lists[1])
             given["block"] = pa.array(np.full(n, self.next))
             return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names=names)
 
-        for lo in range(0, len(pairs), 50_000):
-            some = slice(lo, lo + 50_000)
-            yield batch(len(pairs[some]), pair_at=pa.array(np.arange(lo, lo + len(pairs[some])), pa.int32()), pair=pa.array(pairs[some]), docs=pa.array(docs[some]))
+        some = [(d, lo, hi) for d, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
+        yield batch(len(some), deal=pa.array([d for d, _, _ in some], pa.int32()), n=pa.array([hi - lo for _, lo, hi in some], pa.int64()),
+                    blob=pa.array([A.pack(pairs[lo:hi], docs[lo:hi]) for _, lo, hi in some], pa.binary()))
         ends = np.cumsum([0, *(len(d[3]) for d in self.docs)])
         for lo in range(0, len(self.docs), 2_000):
             some = self.docs[lo:lo + 2_000]
@@ -400,7 +451,7 @@ class Blocks:
             yield batch(len(some), id=pa.array(self.ids[lo:lo + len(some)], self.id_type),
                         **{c: pa.array([d[0][k] for d in some], pa.int64()) for k, c in enumerate(_COUNTS)},
                         groups_sha256=pa.array([d[1] for d in some], pa.string()), groups=pa.array([d[2] for d in some], pa.string()),
-                        refs=pa.ListArray.from_arrays(offsets, pa.array(at[begin:stop].astype(np.int32))),
+                        refs=pa.ListArray.from_arrays(offsets, pa.array(at[begin:stop])),
                         links=pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([d[4] for d in some]))))
         self.next, self.ids, self.docs, self.size = self.next + 2, [], [], 0
 
@@ -518,30 +569,98 @@ def _long(picked: DataFrame, paths: tuple[str, str], chunk: int, fan: int, keep_
 # corpus counts -----------------------------------------------------------------
 
 
+def _sums(blocks: DataFrame) -> DataFrame:
+    """(deal, n, blob): the pairs of each deal with their documents in the corpus."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, size, merged = None, [], 0, 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if parts:
+                pairs, docs = _merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([len(pairs)]), pa.array([A.pack(pairs, docs)], pa.binary())],
+                                                 names=["deal", "n", "blob"])
+
+        for batch in batches:
+            for place, n, blob in zip(batch.column("deal").to_pylist(), batch.column("n").to_pylist(), batch.column("blob")):
+                if place != at:
+                    yield from told()
+                    at, parts, size, merged = place, [], 0, 0
+                parts.append(A.unpack(blob, n))
+                size += n
+                if size > 2 * merged + 500_000:
+                    parts = [_merged(parts)]
+                    size = merged = len(parts[0][0])
+        yield from told()
+
+    held = blocks.where(F.col("deal").isNotNull()).select("deal", "n", "blob")
+    return held.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "deal int, n long, blob binary")
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(*(np.concatenate(c) for c in zip(*parts)))
+
+
+def _best(pairs: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether no pair of the A id has more documents; a deal holds all pairs of its A ids."""
+    a = pairs >> BITS
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    return docs == np.repeat(np.maximum.reduceat(docs, first), np.diff(np.append(first, len(a))))
+
+
 def pair_counts(blocks: DataFrame) -> DataFrame:
-    """(pair, docs, best): in how many documents an id pair is linked, and
+    """(a, b, docs, best): in how many documents an id pair is linked, and
     whether no pair of its A id is linked in more."""
-    counts = blocks.where(F.col("pair_at").isNotNull()).groupBy("pair").agg(F.sum("docs").alias("docs"))
-    most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", BITS)))
-    return counts.select("pair", "docs", (F.col("docs") == most).alias("best"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob")):
+                pairs, docs = A.unpack(blob, n)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pairs >> BITS, pairs & ((1 << BITS) - 1), docs, _best(pairs, docs))],
+                                                 names=["a", "b", "docs", "best"])
+
+    return _sums(blocks).mapInArrow(run, "a long, b long, docs long, best boolean")
+
+
+def _told_back(blocks: DataFrame) -> DataFrame:
+    """(block, deal, n, blob): for each pair of a block, in its order, the
+    corpus's documents twice, and 1 if no pair of its A id has more."""
+    held = blocks.where(F.col("deal").isNotNull()).select("block", "deal", "n", "blob", F.lit(1).alias("rank"))
+    sums = stored(_sums(blocks), "align-sums").select(F.lit(None).cast("long").alias("block"), "deal", "n", "blob", F.lit(0).alias("rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = values = None
+        for batch in batches:
+            for block, place, n, rank, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "deal", "n", "rank")), batch.column("blob")):
+                mine, docs = A.unpack(blob, n)
+                if rank == 0:
+                    pairs, values = mine, 2 * docs + _best(mine, docs)
+                    continue
+                back = pa.compress(A.planes(values[np.searchsorted(pairs, mine)]), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([place], pa.int32()), pa.array([n]), pa.array([back], pa.binary())],
+                                                 names=["block", "deal", "n", "blob"])
+
+    placed = held.unionByName(sums).repartition("deal").sortWithinPartitions("deal", "rank")
+    return placed.mapInArrow(run, "block long, deal int, n long, blob binary")
+
+
+def block_rows(docs: DataFrame, paths: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK,
+               fan: int = FAN, keep_groups: bool = False) -> DataFrame:
+    """The stored blocks of a corpus: packed pair rows and document rows."""
+    ship(docs.sparkSession)
+    paths = paths or vocabulary_paths()
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return stored(_short(picked, paths, chunk, keep_groups).unionByName(_long(picked, paths, chunk, fan, keep_groups)), "align-blocks")
 
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN,
           keep_groups: bool = False) -> DataFrame:
     """One row per input row: the id, n_a, n_b, n_groups, n_links, n_best,
     count_sum and groups_sha256, and, with ``keep_groups``, the groups as text."""
-    ship(docs.sparkSession)
-    paths = paths or vocabulary_paths()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = picked.schema["id"].dataType.simpleString()
-    blocks = stored(_short(picked, paths, chunk, keep_groups).unionByName(_long(picked, paths, chunk, fan, keep_groups)), "align-blocks")
-    of_block = blocks.where(F.col("pair_at").isNotNull()).select("block", "pair_at", "pair")
-    told = of_block.join(pair_counts(blocks), "pair").select("block", "pair_at", "docs", "best")
+    blocks = block_rows(docs, paths, id_col, text_col, chunk, fan, keep_groups)
     kept = ["id", *_COUNTS, "groups_sha256", *(["groups"] if keep_groups else []), "refs", "links"]
-    rows = blocks.where(F.col("pair_at").isNull()).select("block", *kept)
-    both = (told.unionByName(rows, allowMissingColumns=True).withColumn("rank", F.col("pair_at").isNull())
-            .repartition("block").sortWithinPartitions("block", "rank", "pair_at"))
-    return both.mapInArrow(_scored(kept), _result_schema(kind, keep_groups)).withColumnRenamed("id", id_col)
+    rows = blocks.where(F.col("deal").isNull()).select("block", *kept)
+    both = (_told_back(blocks).unionByName(rows, allowMissingColumns=True).withColumn("rank", F.col("deal").isNull())
+            .repartition("block").sortWithinPartitions("block", "rank", "deal"))
+    return both.mapInArrow(_scored(kept), _result_schema(blocks.schema["id"].dataType.simpleString(), keep_groups)).withColumnRenamed("id", id_col)
 
 
 def _result_schema(kind: str, keep_groups: bool) -> str:
@@ -561,11 +680,12 @@ def _scored(kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     at, parts, table = block[lo], [], None
                 part = batch.slice(lo, hi - lo)
                 if not rank[lo]:
-                    parts.append((part.column("docs").to_numpy(), part.column("best").to_numpy(zero_copy_only=False)))
+                    parts += [A.from_planes(np.frombuffer(pa.decompress(blob.as_buffer(), 8 * n, "zstd"), np.uint8), n).view(np.int64)
+                              for n, blob in zip(part.column("n").to_pylist(), part.column("blob"))]
                     continue
                 if table is None:
-                    table = tuple(np.concatenate(c) for c in zip(*parts)) if parts else (_NONE, np.zeros(0, bool))
-                    parts = []
+                    whole = np.concatenate([_NONE, *parts])
+                    table, parts = (whole >> 1, whole & 1), []
                 refs, links = part.column("refs"), part.column("links").flatten().to_numpy()
                 size = pc.list_value_length(refs).to_numpy()
                 of, pair = np.repeat(np.arange(hi - lo), size), refs.flatten().to_numpy()

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from kiln.llm import arrays as A
 from kiln.llm import lm_score as L
 from tests.llm.odd import no_docs, odd_docs, odd_rows
 
@@ -132,7 +133,7 @@ def test_packed_keys_come_back():
     for keys in (np.zeros(0, np.int64), np.array([-5, -1]), r.integers(-2**63, 2**63, 1000), r.integers(0, 2**48, 1000)):
         keys = np.unique(keys.view(np.uint64)).view(np.int64)
         numbers = r.integers(0, 2**40, len(keys))
-        got = L.unpack(pa.scalar(L.pack(keys, numbers), pa.binary()), len(keys))
+        got = A.unpack(pa.scalar(A.pack(keys, numbers), pa.binary()), len(keys))
         assert np.array_equal(got[0], keys) and np.array_equal(got[1], numbers)
 
 
