@@ -7,7 +7,11 @@ these shingles in the same order; ``SKETCHES`` sketches with different seeds
 give the candidates. A candidate pair is verified by banded alignment of the
 two shingle sequences: the most shingles that match in order within the band
 that a similarity of ``SIMILARITY`` leaves, over the shingles of either text.
-Two texts at similarity 0.8 share a sketch with probability 0.9998.
+Two texts of more than ``SHORT`` shingles at similarity 0.8 share a sketch with
+probability 0.998 or more (0.9998 for long ones). A text of ``LEAST`` to ``SHORT``
+shingles has keys besides, its sequence and the sequence without each one of its shingles:
+two such texts at 0.8 differ by at most one shingle each, so they share a key for certain;
+shorter ones are equal.
 
 Equal word sequences become one node first. Each member of a bucket is compared
 with the bucket's least node, and connected components of these links settle
@@ -39,6 +43,9 @@ from kiln.llm.graph import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 16, 4
+#: Texts of so many shingles get exact keys: fewer than the least must be equal, more
+#: than the most may differ by two shingles.
+LEAST, SHORT = 4, 9
 #: Nodes of a bucket that one group compares with as many others.
 BLOCK = 512
 
@@ -63,7 +70,8 @@ def sketch(value: np.ndarray, row: np.ndarray, n: int, sketches: int = SKETCHES,
     out = np.zeros((n, sketches), np.uint64)
     # enough shingles lie below this share of the hash range in nearly every text
     part = np.minimum(_FEW / np.maximum(size, 1), 1.0)
-    limit = np.where(part >= 1.0, 2**64 - 1, part * 2.0**64 * (1 - 1e-9)).astype(np.uint64)[row]
+    below = np.minimum(part, 0.5) * 2.0**64 * (1 - 1e-9)
+    limit = np.where(part > 0.5, np.uint64(2**64 - 1), below.astype(np.uint64))[row]
     for k in range(sketches):
         h = A.mix(value + np.uint64((k + 1) * 0xA24BAED4963EE407 % 2**64))
         low = h <= limit
@@ -90,6 +98,29 @@ def sketch(value: np.ndarray, row: np.ndarray, n: int, sketches: int = SKETCHES,
     return out
 
 
+def short_keys(value: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): of each text of ``LEAST`` to ``SHORT`` labelled shingles a hash
+    of the sequence, and, above the least, of the sequence without each of its shingles."""
+    bounds = _firsts(row, n)
+    size = np.diff(bounds)
+    keys, rows = [], []
+    for k in range(LEAST, SHORT + 1):
+        of = np.flatnonzero(size == k)
+        if not len(of):
+            continue
+        whole = value[bounds[of][:, None] + np.arange(k)]
+        for out in range(-1, k if k > LEAST else 0):
+            h = np.full(len(of), 0x2545F4914F6CDD1D, np.uint64)
+            for j in range(k):
+                if j != out:
+                    h = A.mix(h * np.uint64(0x9FB21C651E98DF25) + whole[:, j])
+            keys.append(h)
+            rows.append(of)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
 def _sequence_hash(word: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A 128-bit hash of each text's words in order."""
     bounds = _firsts(row, n)
@@ -115,8 +146,12 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for lo, hi in A.chunks(texts):
                 word, row, n = _word_hashes(texts.slice(lo, hi - lo))
                 h1, h2 = _sequence_hash(word, row, n)
-                found = sketch(*A.shingles(word, row, WORDS), n).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SKETCHES), pa.array(found.ravel()))
+                value, of = A.shingles(word, row, WORDS)
+                exact, whose = short_keys(value, of, n)
+                found = np.concatenate([sketch(value, of, n).ravel(), exact]).astype(np.int64)
+                owner = np.concatenate([np.repeat(np.arange(n), SKETCHES), whose])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[np.argsort(owner, kind="stable")]))
                 keep = [batch.column(c).slice(lo, hi - lo) for c in ("id", "t1", "t2")]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(h1), pa.array(h2), lists], names=["id", "t1", "t2", "h1", "h2", "sketches"])
 
