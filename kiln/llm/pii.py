@@ -8,6 +8,14 @@ card number stays a valid card number, and with the key ``restore`` gets the
 texts back. The permutation is conjugated with a shift, so no value is its own
 pseudonym.
 
+What is taken for personal data, and what stays in clear: dates of 1900 to 2099
+written year-month-day with hyphens (also before ``T`` and a time), day.month.year or
+day/month/year and month/day/year, each part with or without a leading zero, keep which of
+their parts show two digits; other years stay. An e-mail address keeps its domain and,
+in its name, signs and letters outside ASCII; so does the country code of a phone number or IBAN. Nine
+digits without hyphens are a number, not an SSN, and numbers of fewer than 13 digits
+without separators are left alone.
+
 A text is a row, so the operator is one pass without a shuffle.
 
 Defined cases: a null text stays null with zero counts; an empty text, or one
@@ -37,10 +45,11 @@ DEMO_KEY = b"kiln demonstration key"
 ROUNDS = 10
 
 _FIND = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[A-Za-z0-9]))"
-    r"|(?P<date>(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![A-Za-z0-9/-]))"
+    r"|(?P<date>(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:[0-9]{2})"
+    r"|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![A-Za-z0-9/-])))"
     r"|(?P<ssn>(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-]))"
     r"|(?P<phone>(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}"
     r"|[0-9]{3}(?P<s1>[.-])[0-9]{3}(?P=s1)[0-9]{4})(?![A-Za-z0-9])|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?![A-Za-z0-9]))"
@@ -97,9 +106,9 @@ def luhn_digit(payload: str) -> str:
 
 
 def _poured(template: str, chars: str) -> str:
-    """The template with its letters and digits replaced one after another."""
+    """The template with its ASCII letters and digits replaced one after another."""
     left = iter(chars)
-    return "".join(next(left) if c.isalnum() else c for c in template)
+    return "".join(next(left) if c.isascii() and c.isalnum() else c for c in template)
 
 
 def _classes(text: str, key: bytes, domain: str, way: str) -> str:
@@ -120,7 +129,7 @@ def _classes(text: str, key: bytes, domain: str, way: str) -> str:
 
 def _email(v: str, key: bytes, way: str) -> str | None:
     name, domain = v.rsplit("@", 1)
-    plain = "".join(c for c in name if c.isalnum())
+    plain = "".join(c for c in name if c.isascii() and c.isalnum())
     return _poured(name, _classes(plain, key, "email", way)) + "@" + domain if plain else None
 
 
@@ -151,26 +160,22 @@ def _date(v: str, key: bytes, way: str) -> str | None:
         return None
     if not _FIRST <= day <= _LAST:
         return None
-    # 08.03.1999 and 8.3.1999 are different strings of one day: a date written
-    # with padded parts stays so, and one without keeps to days that show it
-    padded = all(len(p) >= 2 for p in parts)
-    put = lambda d: sep.join((f"{x:04d}" if i == order[0] else f"{x:02d}" if padded else str(x))
-                             for i, x in sorted(zip(order, (d.year, d.month, d.day))))
-    if put(date.fromordinal(day)) != v:
-        return None
+    # 08.03.1999, 8.3.1999 and 8.03.1999 are different strings of one day: each
+    # part keeps the number of digits it shows, over the days that can show it
+    widths = tuple(len(p) for p in parts)
+    put = lambda d: sep.join(f"{x:0{widths[i]}d}" for i, x in sorted(zip(order, (d.year, d.month, d.day))))
     perm = permutation(key, "date", _LAST - _FIRST + 1)
-    day = getattr(perm, way)(day - _FIRST) + _FIRST
-    while not _same_form(put(date.fromordinal(day)), sep, order, padded):
+    while True:
         day = getattr(perm, way)(day - _FIRST) + _FIRST
-    return put(date.fromordinal(day))
+        new = put(date.fromordinal(day))
+        if _same_form(new, sep, order, widths):
+            return new
 
 
-def _same_form(v: str, sep: str, order: tuple[int, ...], padded: bool) -> bool:
-    """Whether a reader of ``v`` takes its parts in the same order and padding."""
+def _same_form(v: str, sep: str, order: tuple[int, ...], widths: tuple[int, ...]) -> bool:
+    """Whether a reader of ``v`` takes its parts in the same order and widths."""
     parts = v.split(sep)
-    if padded != all(len(p) >= 2 for p in parts):
-        return False
-    return sep != "/" or (int(parts[0]) > 12) == (order == (2, 1, 0))
+    return tuple(map(len, parts)) == widths and (sep != "/" or (int(parts[0]) > 12) == (order == (2, 1, 0)))
 
 
 def _ssn(v: str, key: bytes, way: str) -> str | None:
