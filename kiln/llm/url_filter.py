@@ -39,19 +39,21 @@ _GOOD = ("library", "university", "museum", "newsroom", "gazette", "archive", "w
          "science", "physics", "cityhall", "railway", "orchestra", "theatre", "wetter", "nachrichten", "zeitung", "bibliothek",
          "musee", "journal", "cuisine", "voyage", "noticias", "biblioteca", "weekly", "school", "garden-club", "mountain",
          "harbour", "kitchen")
-_HOSTS = ("{0}.example.com", "www.{0}.example.org", "{0}.example.net", "m.{0}.example.com", "blog.{0}.example.org")
-_PATHS = ("/en/{1}", "/de/{1}.html", "/fr/{1}/", "/es/{1}?page=2", "/en/{1}#top")
+# The name as a host, below or above other labels, joined to a word, and as a part of the path.
+_FORMS = ("{0}.example.com{1}", "www.{0}.example.org{1}", "{0}.example.net:8080{1}", "m.{0}.example.com{1}", "blog.{0}.example.org{1}",
+          "the{0}.example.net{1}", "example.com/{0}{1}", "www.example.org/pages/{0}{1}")
+_PATHS = ("/en/{2}", "/de/{2}.html", "/fr/{2}/", "/es/{2}?page=2", "/en/{2}#top", "", "/", "/a/b/{2}?q={2}&ref=x")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): label 1 for a name to block."""
+    """(url, label, name): label 1 for a name to block."""
     rows = []
     for label, names in ((1.0, _BAD), (0.0, _GOOD)):
         for i, name in enumerate(names):
-            for j, host in enumerate(_HOSTS):
-                path = _PATHS[(i + j) % len(_PATHS)]
-                rows.append((f"http{'s' * (i % 2)}://" + host.format(name) + path.format(name, 17 * i + 31 * j), label))
-    return spark.createDataFrame(rows, "url string, label double")
+            for j, form in enumerate(_FORMS):
+                path = _PATHS[(i + j) % len(_PATHS)].format(name, "", 17 * i + 31 * j)
+                rows.append((f"http{'s' * (i % 2)}://" + form.format(name, path), label, name))
+    return spark.createDataFrame(rows, "url string, label double, name string")
 
 
 def host_of(url: Column) -> Column:
@@ -88,12 +90,16 @@ def features(df: DataFrame, url_col: str = "url", lengths: tuple[int, ...] = NGR
                                             _ngrams(F.regexp_replace("__path", "[0-9]+", "0"), "p", lengths))))
 
 
+#: A url is blocked at this probability: a name unlike any labelled one stays.
+BLOCK_AT = 0.8
+
+
 def train(labelled: DataFrame, lengths: tuple[int, ...] = NGRAMS, buckets: int = BUCKETS, reg: float = 0.001,
-          max_iter: int = 40) -> PipelineModel:
+          max_iter: int = 40, block_at: float = BLOCK_AT) -> PipelineModel:
     """Fit on (url, label); at most ``MAX_LABELLED`` rows are read."""
     rows = features(labelled.limit(MAX_LABELLED), "url", lengths).coalesce(1)
     tf = HashingTF(inputCol="__grams", outputCol="__vector", numFeatures=buckets, binary=True)
-    lr = LogisticRegression(featuresCol="__vector", labelCol="label", regParam=reg, maxIter=max_iter,
+    lr = LogisticRegression(featuresCol="__vector", labelCol="label", regParam=reg, maxIter=max_iter, threshold=block_at,
                             probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__label")
     return Pipeline(stages=[tf, lr]).fit(rows)
 

@@ -1,7 +1,10 @@
 """URL filters: parts and rules by brute force, the model on held-out urls."""
 
+import collections
 import re
 
+from pyspark.sql import functions as F
+
 from kiln.llm import url_filter as U
 
 URLS = ["http://ththre.example.com/fr/825?page=2&ref=x", "https://M.Example.NET/en/25#top", "https://example.net/en", "https://a.net", "https://a.net?x/",
@@ -43,3 +46,19 @@ def test_model_on_names_it_has_not_seen(spark):
     labels = {r.page_id: r.model_label for r in U.judge(df, model, {}).collect()}
     right = sum(labels[i] == (i < len(bad)) for i in labels)
     assert right >= 14, labels
+
+
+def held_out(spark, folds=4):
+    """(precision, recall, urls) of urls whose names the model has not seen."""
+    labelled = U.labelled_urls(spark).withColumn("fold", F.pmod(F.xxhash64("name"), F.lit(folds)))
+    hits = collections.Counter()
+    for k in range(folds):
+        model = U.train(labelled.where(F.col("fold") != k).select("url", "label"))
+        test = labelled.where(F.col("fold") == k).select(F.col("label").cast("long").alias("page_id"), "url")
+        hits.update((r.page_id, int(r.model_label)) for r in U.judge(test, model, {}).collect())
+    return hits[1, 1] / (hits[1, 1] + hits[0, 1]), hits[1, 1] / (hits[1, 1] + hits[1, 0]), hits.total()
+
+
+def test_precision_and_recall_on_names_held_out(spark):
+    precision, recall, n = held_out(spark)
+    assert n == U.labelled_urls(spark).count() and precision > 0.85 and recall > 0.6, (precision, recall)
