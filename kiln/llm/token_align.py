@@ -50,11 +50,13 @@ from kiln.llm import arrays as A
 from kiln.llm.common import read, ship, stored
 
 #: Bytes of a chunk of a long text; fragments composed at once; text bytes of a block.
-CHUNK, FAN, BLOCK_BYTES = 32_768, 8, 8_000_000
+CHUNK, FAN, BLOCK_BYTES = 32_768, 8, 6_000_000
 #: Units a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Units encoded in one call: an encoding holds far more than its ids.
 TOGETHER = 4_000
+#: Text bytes whose tokens are worked on at once.
+AT_ONCE = 600_000
 #: Into how many deals the id pairs of the corpus are split.
 DEALS = 128
 #: An id pair is one number, the A id above these bits.
@@ -135,7 +137,9 @@ class Lists:
         first = self.bounds[index]
         each = self.bounds[index + 1] - first
         ends = np.cumsum(each)
-        return self.flat[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64), each
+        place = np.repeat(first - (ends - each), each)
+        place += np.arange(len(place))
+        return self.flat[place].astype(np.int64), each
 
 
 class Encoder:
@@ -244,7 +248,9 @@ def written(ids: Sequence[np.ndarray], group: Sequence[np.ndarray]) -> tuple[byt
     data, first, length = _decimals(max(1 << 16, int(order.max()) + 1 if len(order) else 0))
     each = length[order]
     ends = np.cumsum(each)
-    out = data[np.repeat(first[order] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+    place = np.repeat((first[order] - (ends - each)).astype(np.int32), each)
+    place += np.arange(len(place), dtype=np.int32)
+    out = data[place]
     out[ends - 1] = marks
     return out.tobytes(), ends[place_b[upto_b - 1]]
 
@@ -463,7 +469,7 @@ def _short(picked: DataFrame, paths: tuple[str, str], chunk: int, keep_groups: b
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
             blocks = blocks or Blocks(0, ids.type, keep_groups)
-            for lo, hi in A.chunks(texts):
+            for lo, hi in A.chunks(texts, AT_ONCE):
                 part = texts.slice(lo, hi - lo)
                 sizes = pc.fill_null(pc.binary_length(part), 0).to_pylist()
                 for i, doc, size in zip(ids.slice(lo, hi - lo).to_pylist(), documents(encoder(*paths)(part)), sizes):
@@ -527,7 +533,7 @@ def _long(picked: DataFrame, paths: tuple[str, str], chunk: int, fan: int, keep_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in A.chunks(texts):
+            for lo, hi in A.chunks(texts, AT_ONCE):
                 tokens = encoder(*paths)(texts.slice(lo, hi - lo))
                 of = [[slice(*np.searchsorted(r, [i, i + 1])) for r in tokens.rows] for i in range(hi - lo)]
                 found = []
