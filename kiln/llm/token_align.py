@@ -51,8 +51,8 @@ from kiln.llm.common import read, ship, stored
 
 #: Bytes of a chunk of a long text; fragments composed at once; text bytes of a block.
 CHUNK, FAN, BLOCK_BYTES = 32_768, 8, 6_000_000
-#: Units a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+#: Units a worker remembers before it drops those that came up once.
+REMEMBERED = 300_000
 #: Units encoded in one call: an encoding holds far more than its ids.
 TOGETHER = 4_000
 #: Text bytes whose tokens are worked on at once.
@@ -153,7 +153,18 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.lists, self.ok = (Lists(), Lists()), np.zeros(0, bool)
+        self.lists, self.ok, self.again = (Lists(), Lists()), np.zeros(0, bool), np.zeros(0, bool)
+
+    def _drop_single(self) -> None:
+        """Keep the units that came up again since they were learnt: most do not."""
+        kept = [u for u, i in self.known.items() if self.again[i]]
+        at = np.fromiter((self.known[u] for u in kept), np.int64, len(kept))
+        lists, ok = self.lists, self.ok[at]
+        self._forget()
+        for new, old in zip(self.lists, lists):
+            ids, sizes = old.take(at)
+            new.add(ids.astype(np.int32), sizes)
+        self.known, self.ok, self.again = dict(zip(kept, range(len(kept)))), ok, np.zeros(len(kept), bool)
 
     def _learn(self, units: list[str]) -> None:
         """Encode units, and see whether both sides give their bytes back."""
@@ -173,7 +184,7 @@ class Encoder:
             wrong = np.repeat(np.arange(len(units)), np.diff(bounds))[mine][got != text[mine]]
             ok[wrong] = False
         self.known.update(zip(units, range(len(self.ok), len(self.ok) + len(units))))
-        self.ok = np.concatenate([self.ok, ok])
+        self.ok, self.again = np.concatenate([self.ok, ok]), np.concatenate([self.again, np.zeros(len(units), bool)])
 
     @staticmethod
     def _units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -199,10 +210,14 @@ class Encoder:
         units, index, sizes = self._units(texts)
         used = np.zeros(len(units), bool)
         used[index] = True
-        fresh = [u for u, needed in zip(units, used.tolist()) if needed and u not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self._forget()
-            fresh = [u for u, needed in zip(units, used.tolist()) if needed]
+        needed = units if used.all() else [u for u, k in zip(units, used.tolist()) if k]
+        fresh = [u for u in needed if u not in self.known]
+        if len(fresh) < len(needed):
+            self.again[[self.known[u] for u in needed if u in self.known]] = True
+        for forget in (self._drop_single, self._forget):
+            if len(self.known) + len(fresh) > REMEMBERED:
+                forget()
+                fresh = [u for u in needed if u not in self.known]
         for lo in range(0, len(fresh), TOGETHER):
             self._learn(fresh[lo:lo + TOGETHER])
         number = np.fromiter(map(self.known.get, units, itertools.repeat(-1)), np.int64, len(units))[index]
