@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kiln.operators.quantiles import order_statistics
+from kiln.operators.quantiles import level0_splits, order_statistics
 
 
 
@@ -126,14 +126,16 @@ class PopulationScaler:
 def winsorize_percent(df: DataFrame, cols: Sequence[str], limits=(0.05, 0.05)) -> DataFrame:
     """Replace the lowest int(lo*n) and highest int(hi*n) values by the
     nearest kept order statistic (exact, via distributed order statistics)."""
-    counts = df.agg(*[F.count_if(q(c).isNotNull() & ~F.isnan(q(c).cast("double"))).alias(c)
-                      for c in cols]).first()
+    # one pass for the counts and the search's first split points
+    row = df.agg(*[F.count_if(q(c).isNotNull() & ~F.isnan(q(c).cast("double"))).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[level0_splits(q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     ranks = {}
     for c in cols:
         n = counts[c]
         if n:
             ranks[c] = {int(limits[0] * n), n - int(limits[1] * n) - 1}
-    stats = order_statistics(df, ranks)
+    stats = order_statistics(df, ranks, initial_splits={c: row[f"s{i}"] for i, c in enumerate(cols)})
     out = {}
     for c in cols:
         n = counts[c]

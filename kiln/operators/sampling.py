@@ -49,15 +49,15 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
     """Exact 0-based position of each row in ``order_cols`` order.
 
     One range exchange: the rows are sorted inside their range partition,
-    numbered there (partition id in the high bits) and written to the reliable
-    checkpoint, which fixes partition and place. One small row per partition,
+    numbered there (partition id in the high bits) and written to the shared
+    folder, which fixes partition and place. One small row per partition,
     its count, reaches the driver and gives each partition its offset.
     ``order_cols`` should be unique."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [_c(c) for c in order_cols]
-    s = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-         .withColumn("__at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    s = (snapshot(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+                  .withColumn("__at", F.monotonically_increasing_id()), "global-index")
          .withColumn("__pid", F.shiftright("__at", 33).cast("int")))
     counts = sorted((r["__pid"], r["n"]) for r in s.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, run = [], 0

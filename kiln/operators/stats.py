@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.operators.sampling import global_index
+from kiln.sources.sinks import snapshot
 
 # ---------------------------------------------------------------- ranks
 
@@ -279,7 +280,7 @@ def _sums_of_squares(df: DataFrame, response: str, subject: str, factors: Sequen
     mean, number of levels)}); the set of all keys gives the total. The cells
     are computed once, and one aggregate over grouping sets serves every set."""
     keys = [subject, *factors]
-    cells = _cell_table(df, response, subject, factors).checkpoint(eager=True)
+    cells = snapshot(_cell_table(df, response, subject, factors), "cells")
     total = cells.agg(F.avg("__y").alias("g"), F.count(F.lit(1)).alias("n")).first()
     wanted = [tuple(s) for s in sets] + [tuple(keys)]
     means = cells.groupingSets([[_c(k) for k in s] for s in wanted], *[_c(k) for k in keys]).agg(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.sources.sinks import snapshot
+
 # Fixed value: a token is a maximal run of two or more letters, digits or
 # underscores (the word-character rule, written with explicit classes).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -21,9 +23,9 @@ def tfidf(docs: DataFrame, is_train: Column, id_col: str, text_col: str) -> Data
     feeds both the document frequencies and the term weights."""
     flagged = docs.select(F.col(id_col).alias("doc"), is_train.alias("train"), F.col(text_col).alias("text"))
     n = flagged.where("train").select("doc").distinct().count()
-    # read by two branches: cut lineage once (reliable checkpoint in the shared folder)
+    # read by two branches: written once to the shared folder
     terms = flagged.select("doc", "train", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0)).alias("term"))
-    tf = terms.groupBy("doc", "train", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
+    tf = snapshot(terms.groupBy("doc", "train", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     df_t = tf.where("train").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_t.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))

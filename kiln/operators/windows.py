@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.sources.sinks import snapshot
+
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], values: Sequence[str], suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``values`` in ``order``.
 
     A window with ORDER BY and no PARTITION BY moves every row into one
     task. Here rows are range-partitioned by the order, the lineage is cut
-    (reliable checkpoint), per-partition totals (one row per partition) give
+    (written to the shared folder), per-partition totals (one row per partition) give
     each partition its starting offsets, and the running sum inside a
     partition is a window over that partition only."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(parts, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    s = snapshot(df.repartitionByRange(parts, *order).withColumn("__pid", F.spark_partition_id()), "prefix-sums")
     tot = sorted(s.groupBy("__pid").agg(*[F.sum(v).alias(v) for v in values]).collect(), key=lambda r: r["__pid"])
     run = {v: 0 for v in values}
     rows = []
@@ -42,13 +44,13 @@ def grouped_prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str
     """Inclusive running sums of ``values`` in ``order`` inside each ``group``.
 
     Rows are range-partitioned by (group, order), so a group of any size is
-    spread over tasks; the lineage is cut with a reliable checkpoint. One row
+    spread over tasks; the lineage is cut by writing them. One row
     for each partition and group that meet (at most partitions + groups rows)
     carries the group's sum over earlier partitions. (group, order) must be
     unique."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{c}`") for c in [*group, *order]]
-    s = df.repartitionByRange(parts, *keys).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    s = snapshot(df.repartitionByRange(parts, *keys).withColumn("__pid", F.spark_partition_id()), "prefix-sums")
     totals = s.groupBy("__pid", *keys[:len(group)]).agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     earlier = Window.partitionBy(*keys[:len(group)]).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(F.col("__pid").alias("__cp"), *[F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(group)],

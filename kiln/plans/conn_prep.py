@@ -16,7 +16,7 @@ from kiln.operators import prep as P
 from kiln.operators import profile as PR
 from kiln.operators import relational as O
 from kiln.operators import sampling as SM
-from kiln.operators.quantiles import order_statistics
+from kiln.operators.quantiles import level0_splits, order_statistics
 from kiln.sources.sinks import snapshot
 
 LABEL = "is_IoT_malware"
@@ -47,10 +47,14 @@ def fit(conn: DataFrame) -> dict:
     """The constants of the preparation; an empty log has no bounds and no scale."""
     base = _base(conn)
     levels = P.one_hot_levels(base, ONE_HOT)
-    n = {c: v for c, v in base.agg(*[F.count(c).alias(c) for c in WINSOR_THEN_ZSCORE]).first().asDict().items() if v}
+    # one pass for the counts and the quantile search's first split points
+    row = base.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(WINSOR_THEN_ZSCORE)],
+                   *[level0_splits(F.col(c)).alias(f"s{i}") for i, c in enumerate(WINSOR_THEN_ZSCORE)]).first()
+    n = {c: row[f"n{i}"] for i, c in enumerate(WINSOR_THEN_ZSCORE) if row[f"n{i}"]}
+    splits = {c: row[f"s{i}"] for i, c in enumerate(WINSOR_THEN_ZSCORE)}
     lo_rank = {c: int(WINSOR_LIMITS[0] * n[c]) for c in n}
     hi_rank = {c: n[c] - int(WINSOR_LIMITS[1] * n[c]) - 1 for c in n}
-    stats = order_statistics(base, {c: {lo_rank[c], hi_rank[c]} for c in n}) if n else {}
+    stats = order_statistics(base, {c: {lo_rank[c], hi_rank[c]} for c in n}, initial_splits=splits) if n else {}
     bounds = {c: (stats[c][lo_rank[c]], stats[c][hi_rank[c]]) for c in n}
     w = base.withColumns({c: P.clip_high(P.clip_low(c, lo), hi) for c, (lo, hi) in bounds.items()}) if bounds else base
     # clipping touches none of the winsorized columns, so one moments pass

@@ -47,7 +47,11 @@ def read_run_history(spark, path: str, columns: Sequence[str]) -> DataFrame:
 
 def snapshot(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a fresh folder of the shared checkpoint folder and
-    read back: later stages restart from its files."""
+    read back: later stages restart from its files. Against ``checkpoint`` the
+    rows are computed once, and readers skip columns they do not use. A column
+    of no type at all cannot be written and makes it a checkpoint."""
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return df.checkpoint(eager=True)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

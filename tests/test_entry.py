@@ -14,7 +14,7 @@ def test_entry_runs_with_stable_schema(spark):
 def test_oracles_belong_to_queries():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert len(registry.queries()) == 157 and len(registry.oracle_sql()) == 139
+    assert len(registry.queries()) == 166 and len(registry.oracle_sql()) == 145
     assert set(registry.queries()) <= set(qs)
     assert all(isinstance(v, str) and v.strip() for v in sql.values())
 

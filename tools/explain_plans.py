@@ -17,8 +17,8 @@ from kiln.registry import queries  # noqa: E402
 from kiln.session import get_spark  # noqa: E402
 
 NOTES = {
-    "risk_score_report": "Two pre-aggregations (references per vulnerability, tags per asset) meet the checkpointed "
-                         "instance table, which also gives the solutions' pairs; small dimensions are broadcast from runtime sizes. Partitionings are reused: the tag "
+    "risk_score_report": "Two pre-aggregations (references per vulnerability, tags per asset) meet the instances; "
+                         "the solutions' pairs come from a second join pruned to three key columns; small dimensions are broadcast from runtime sizes. Partitionings are reused: the tag "
                          "aggregate runs on the asset-keyed join's partitions and feeds the fact join on asset "
                          "without another exchange, and the solution table's (asset, vulnerability) partitioning "
                          "is reused by its join.",
@@ -28,13 +28,14 @@ NOTES = {
                       "plus the exact-quantile passes (approx splits, Bucketizer bucket counts), narrowed until "
                       "each rank is a bucket's edge.",
     "missing_counts": "One scan, one aggregate producing one row, unpivoted with inline.",
-    "ip_range_join": "Equi-join on the /16 bucket with the BETWEEN as residual condition, no nested loop; addresses "
-                     "without a bucket are set aside before the join.",
-    "bandwidth_24h": "Window partitioned by (pair, day) over own rows plus the previous day's context copies.",
+    "ip_range_join": "Distinct address texts are parsed once; range starts, addresses and one carry row a bucket share a "
+                     "window by /16 bucket that carries the last range forward; the points join the result by text.",
+    "bandwidth_24h": "Reads the range-partitioned enter and leave rows (one for each pair and ts); a window per (range partition, "
+                     "pair), carried sums per (partition, pair), and the rows join by (pair, ts).",
     "first_contact": "Grouped min(struct) with partial aggregation instead of a row_number window.",
-    "holm_adjust": "Reads the checkpointed index, numbered where it was sorted (one range exchange); joins per-family starts and per-partition "
+    "holm_adjust": "Reads the written index, numbered where it was sorted (one range exchange); joins per-family starts and per-partition "
                    "prefix maxima (small) and finishes with a window per range partition.",
-    "tfidf": "Term counts come from a checkpoint (one tokenization, training flag carried); document frequencies, the idf join and a "
+    "tfidf": "Term counts are written once (one tokenization, training flag carried); document frequencies, the idf join and a "
              "per-document norm window follow.",
     "network_inventory_report": "Three left joins on normalised keys after each observation table is "
                                 "deduplicated on its key.",
