@@ -7,6 +7,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +42,27 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a later stage then
-    starts from files any executor can read, and the planner knows their size.
-    ``codec`` overrides the session's Parquet compression (gzip at its fastest
-    level)."""
+    starts from files any executor can read, and the planner knows their size."""
     path = scratch_path(df.sparkSession, name)
-    (df.write.options(**{"compression": codec, "zlib.compress.level": "BEST_SPEED"}) if codec else df.write).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """(row, rf, rn): every row as a struct of all its columns, under a number
+    that any later pass over the frame finds again. Rows that come straight
+    from files have one: the file (a 64-bit hash of its path) and the place in
+    it. Others are written once with theirs."""
+    if "_metadata" not in df.columns:
+        try:
+            return df.select(whole_row(df).alias("row"), F.xxhash64("_metadata.file_path").alias("rf"), F.col("_metadata.row_index").alias("rn"))
+        except AnalysisException:  # not rows of files, or not of files that number their rows
+            pass
+    return stored(df.select(whole_row(df).alias("row"), F.lit(0).cast("long").alias("rf"), F.monotonically_increasing_id().alias("rn")), name)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that no column's name meets one of ours."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -16,8 +16,9 @@ within one edit of the lines that lead to it, so a meeting needs least members
 only, not pairs. As the lines that meet are distinct, a meeting is as small as
 the alphabet, whatever the corpus. Everything is DataFrame functions.
 
-Every row is numbered when the rows are written once at the start; places are
-joined back by that number, so one of several equal rows is the earliest.
+Every row has a number (its file and place there, or one that is written with
+the rows at the start); places are joined back by that number, so one of
+several equal rows is the earliest.
 
 Defined cases: a null text has no lines and stays null; a null id sorts first;
 rows that repeat an id count in the order of their texts' hashes, and rows equal
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.common import bounded, read, stored, whole_row
+from kiln.llm.common import bounded, numbered, read, stored
 
 MIN_CHARS = 20
 #: A variant's hash is put together from hashes of blocks of this many
@@ -39,7 +40,7 @@ BLOCK = 256
 #: A line of these characters alone is blank.
 BLANK = " \t\r\x0b\x0c"
 
-ORDER = ("id", "th", "rn", "pos")
+ORDER = ("id", "th", "rf", "rn", "pos")
 
 
 def _filled(line: Column) -> Column:
@@ -51,8 +52,8 @@ def _stays_anyway(line: Column, min_chars: int) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, th, rn, pos, line, n) of every line but short blank ones."""
-    parts = docs.select("id", F.hash("text").alias("th"), "rn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """(id, th, rf, rn, pos, line, n) of every line but short blank ones."""
+    parts = docs.select("id", F.hash("text").alias("th"), "rf", "rn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return parts.withColumn("n", F.length("line")).where(~_stays_anyway(F.col("line"), min_chars))
 
 
@@ -136,7 +137,7 @@ def _near(lines: DataFrame) -> DataFrame:
 
 
 def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(rn, places): the places of the lines of ``_lines`` that a row keeps."""
+    """(rf, rn, places): the places of the lines of ``_lines`` that a row keeps."""
     lines = _lines(docs, min_chars)
     c, c2 = _part(F.col("n")), _part(F.col("n") - 1)
     # a short line has no ends, so it meets equal lines only
@@ -152,16 +153,16 @@ def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
     near = stored(_near(stored(_closer(stored(texts, "line-texts")), "line-close")), "line-near")
     earliest = occurrences.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("order"))
     stay = earliest.join(bounded(near), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("order.rn").alias("rn")).agg(F.collect_set("order.pos").alias("places"))
+    return stay.groupBy(F.col("order.rf").alias("rf"), F.col("order.rn").alias("rn")).agg(F.collect_set("order.pos").alias("places"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, text, n_lines, n_dropped): every input row as a struct of all its
     columns, its text without the dropped lines, and line counts."""
-    rows = stored(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("rn")), "line-rows", "gzip")
-    keyed = rows.select("rn", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"))
-    kept = _kept(keyed, min_chars)
-    joined = rows.select("row", "rn", F.col("row")[text_col].cast("string").alias("text")).join(kept, "rn", "left")
+    rows = numbered(docs, "line-rows")
+    text = F.col("row")[text_col].cast("string").alias("text")
+    kept = _kept(rows.select("rf", "rn", F.col("row")[id_col].alias("id"), text), min_chars)
+    joined = rows.select("row", "rf", "rn", text).join(kept, ["rf", "rn"], "left")
     places = F.coalesce("places", F.array().cast("array<int>"))
 
     def written(parts: Column) -> Column:

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from kiln.llm import line_dedup as L
+from kiln.llm.common import numbered
 from tests.llm.odd import no_docs, odd_docs, odd_rows
 
 
@@ -109,3 +112,18 @@ def test_odd_rows_and_empty_table(spark):
     check(spark, rows + [(10, "\n".join(f"line {k % 700}" for k in range(9_000)))])
     assert L.dedup(no_docs(spark)).count() == L.rewrite(no_docs(spark)).count() == 0
     assert L.rewrite(odd_docs(spark)).schema == odd_docs(spark).schema
+
+
+def test_rows_of_files_are_numbered_by_their_place(spark, tmp_path):
+    line = "a line that is long enough"
+    rows = [(None, line)] * 3 + [(1, "another line that is long\nx")] * 2 + [(2, line), (2, line), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    numbers = numbered(df, "test-rows")
+    assert "kiln-test-rows" not in "".join(numbers.inputFiles())
+    assert len({(r.rf, r.rn) for r in numbers.collect()}) == len(rows)
+    check(spark, rows, df)
+    check(spark, rows, df.where("doc_id IS NULL OR doc_id < 9"))
+    for other in (df.unionByName(df.limit(0)), df.withColumn("_metadata", F.lit(1))):  # no numbers of their own
+        assert "kiln-test-rows" in "".join(numbered(other, "test-rows").inputFiles())
+        check(spark, rows, other)
