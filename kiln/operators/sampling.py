@@ -45,8 +45,9 @@ def _spelled(df: DataFrame, name: str) -> Column:
 
 
 def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_index",
-                 keep_partition: bool = False) -> DataFrame:
-    """Exact 0-based position of each row in ``order_cols`` order.
+                 keep_partition: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+    """Exact 0-based position of each row in ``order_cols`` order; with
+    ``keep`` only these columns are written beside the position.
 
     One range exchange: the rows are sorted inside their range partition,
     numbered there (partition id in the high bits) and written to the shared
@@ -56,8 +57,8 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [_c(c) for c in order_cols]
-    s = (snapshot(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-                  .withColumn("__at", F.monotonically_increasing_id()), "global-index")
+    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    s = (snapshot(placed if keep is None else placed.select(*[_c(c) for c in keep], "__at"), "global-index")
          .withColumn("__pid", F.shiftright("__at", 33).cast("int")))
     counts = sorted((r["__pid"], r["n"]) for r in s.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, run = [], 0
@@ -103,19 +104,20 @@ def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], see
                    n_rows: int | None = None) -> DataFrame:
     """Exactly ``n_samples`` rows drawn with replacement, reproducibly.
 
-    The rows are written once with a row number. Only the sort columns and the
-    number are sorted and indexed; the draws, counted per index, join that
+    The rows are written once with a row number (``__row``; rows that carry
+    one are taken as written). Only the sort columns and the number are sorted,
+    and only the number is indexed; the draws, counted per index, join that
     narrow index, and the rows join last, by their number."""
     spark = df.sparkSession
     n = n_rows if n_rows is not None else df.count()
     if n == 0 or n_samples <= 0:
-        return df.limit(0)
+        return df.limit(0).drop("__row")
     # the row number as last sort key keeps a heavily repeated row from filling
     # one range partition; identical rows are interchangeable, so draws are unchanged
-    rows = snapshot(df.withColumn("__row", F.monotonically_increasing_id()), "resample-rows")
+    rows = df if "__row" in df.columns else snapshot(df.withColumn("__row", F.monotonically_increasing_id()), "resample-rows")
     keys = packed_order(rows, order_cols)
     narrow = rows.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)], "__row")
-    indexed = global_index(narrow, [f"__k{i}" for i in range(len(keys))] + ["__row"], "__idx").select("__idx", "__row")
+    indexed = global_index(narrow, [f"__k{i}" for i in range(len(keys))] + ["__row"], "__idx", keep=["__row"]).select("__idx", "__row")
     draws = spark.range(n_samples).select(
         F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10)
                .cast("long"), F.lit(n)).alias("__idx"))
@@ -123,17 +125,17 @@ def resample_exact(df: DataFrame, n_samples: int, order_cols: Sequence[str], see
     picked = indexed.join(mult, "__idx").select("__row", "__k")
     j = rows.join(picked, "__row")
     return (j.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in df.columns]))
+            .select(*[F.col(f"`{c}`") for c in df.columns if c != "__row"]))
 
 
 def upsample_class(df: DataFrame, label: str, positive=1, factor: float = 1.6, order_cols=None,
                    seed=123456) -> DataFrame:
     """Positives resampled with replacement to int(factor * n_pos), then all
-    other rows appended. The input is written once (it is read by the count,
-    the resample and the append), which also cuts its lineage."""
-    df = snapshot(df, "upsample-input")
-    pos = df.where(F.col(label) == positive)
-    rest = df.where(~(F.col(label) == positive) | F.col(label).isNull())
+    other rows appended. The input is written once with row numbers (it is read
+    by the count, the resample and the append), which also cuts its lineage."""
+    rows = snapshot(df.withColumn("__row", F.monotonically_increasing_id()), "upsample-input")
+    pos = rows.where(F.col(label) == positive)
+    rest = rows.where(~(F.col(label) == positive) | F.col(label).isNull()).drop("__row")
     n_pos = pos.count()
     up = resample_exact(pos, int(n_pos * factor), order_cols or df.columns, seed, n_rows=n_pos)
     return up.unionByName(rest)

@@ -19,6 +19,7 @@ from kiln.plans import standins as S
 from kiln.plans._q import rounded, tables
 from kiln.plans.oracle import CONN_CTE, NET_CTES
 from kiln.registry import query
+from kiln.sources.sinks import snapshot
 
 MAC_RE = r"^([0-9A-Fa-f]{2}[:-]){5}([0-9A-Fa-f]{2})$"
 
@@ -326,7 +327,8 @@ LEFT JOIN rng ON {_public_sql('pts.ipn')} AND pts.ipn BETWEEN rng.start_ip AND r
 """)
 def q_ip_range_join(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return J.ip_range_join(S.document_ips(t), S.ip_ranges(t), "ip")
+    # the join reads its points twice; the addresses are taken out of the texts once
+    return J.ip_range_join(snapshot(S.document_ips(t), "document-ips"), S.ip_ranges(t), "ip")
 
 
 @query("incremental_manifest", section="2.3", sql="""
