@@ -184,7 +184,7 @@ def _reg_data(spark, sf_dir):
 
 
 def _scored(model, df, keep):
-    return model.transform(df).select(*keep, "prediction")
+    return ML.predict(model, df, keep)
 
 
 @query("linear_regression", section="2.9")
