@@ -99,9 +99,11 @@ def risk_score_report(t: Tables) -> DataFrame:
     # vulnerability's access vector, and the lookup is kept one row per type
     # so the fact is not multiplied by every vulnerability of that type.
     em = S.dim_cvss_access_vector(t)
-    j = (favi.join(at, "asset_id")
+    # solutions and tags join while the instances are narrow, in one partitioning
+    # by asset; the long texts of a vulnerability join last and are not moved again
+    j = (favi.repartition("asset_id").join(avs, ["asset_id", "vulnerability_id"])
+         .join(at, "asset_id")
          .join(vr, "vulnerability_id")
-         .join(avs, ["asset_id", "vulnerability_id"])
          .join(S.dim_protocol(t), "protocol_id")
          .join(em, vr.cvss_access_vector_id == em.type_id, "left")
          .join(S.dim_service(t), "service_id", "left"))

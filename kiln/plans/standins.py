@@ -34,12 +34,13 @@ def dim_vulnerability(t: Tables) -> DataFrame:
 
 
 def dim_vulnerability_reference(t: Tables) -> DataFrame:
-    src = F.when(F.col("l_returnflag") == "R", "CVE").otherwise("BID")
-    return t.lineitem.select(
-        F.col("l_partkey").alias("vulnerability_id"),
-        src.alias("source"),
-        F.concat(src, F.lit("-"), F.col("l_suppkey").cast("string")).alias("reference"),
-    ).distinct()
+    src = F.when(F.col("cve"), "CVE").otherwise("BID")
+    # dealt by vulnerability before the distinct, in short columns: what joins
+    # and groups the references by vulnerability then finds them in place
+    refs = t.lineitem.select(F.col("l_partkey").alias("vulnerability_id"), "l_suppkey",
+                             F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("cve"))
+    return refs.repartition("vulnerability_id").distinct().select(
+        "vulnerability_id", src.alias("source"), F.concat(src, F.lit("-"), F.col("l_suppkey").cast("string")).alias("reference"))
 
 
 def dim_asset(t: Tables) -> DataFrame:
@@ -81,7 +82,8 @@ def dim_tag_asset(t: Tables) -> DataFrame:
 def dim_asset_vulnerability_best_solution(t: Tables, fact: DataFrame | None = None) -> DataFrame:
     """``fact``: the instance table, where the caller holds it already."""
     fact = fact_asset_vulnerability_instance(t) if fact is None else fact
-    return (fact.select("asset_id", "vulnerability_id").distinct()
+    # dealt by asset alone: a join by asset and vulnerability is served by it too
+    return (fact.select("asset_id", "vulnerability_id").repartition("asset_id").distinct()
             .withColumn("solution_id", (F.col("vulnerability_id") % 5).cast("int")))
 
 
